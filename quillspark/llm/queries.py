@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, word_bpe
+from . import chat, packing, secrets, sharding, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -21,8 +25,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(_table(spark, sf_dir, "documents"), keep=False)
 
 
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), 16)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = chat.canonical_turns(_table(spark, sf_dir, "conversations"))
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user', '{said}'), (1L, 'assistant', '{said}') AS t(turn, role, text)")
+    return chat.digests(chat.read_back(chat.format_chats(given.unionByName(extra))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pack, op7_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op4_pack, op7_bpe, op9_shard, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
