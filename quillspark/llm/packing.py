@@ -79,14 +79,13 @@ _loaded: dict[str, tuple] = {}
 
 
 def _worker(file: str) -> tuple[WordBPE, Cache]:
-    """The tokenizers library encodes each distinct chunk; the cache repeats its ids for later ones."""
+    """The tokenizers library's model encodes each distinct word; caches repeat its ids, by word and by stretch of text."""
     if file not in _loaded:
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(file)
-        library.no_truncation()
-        library.no_padding()
-        _loaded[file] = WordBPE(file), Cache(lambda c: np.array(library.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
+        model, bpe = Tokenizer.from_file(file).model, WordBPE(file)
+        words = Cache(lambda w: np.array([t.id for t in model.tokenize(bpe.symbols(w))], "<u4").tobytes())
+        _loaded[file] = bpe, Cache(lambda c: b"".join(map(words.__getitem__, bpe.split(c))))
     return _loaded[file]
 
 

@@ -53,7 +53,7 @@ class WordBPE:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
-        symbols = _byte_symbols()
+        symbols = self.shown = _byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.final = [self.vocab[s + self.suffix] for s in symbols]
 
@@ -84,17 +84,25 @@ class WordBPE:
                 heapq.heappush(queue, (m[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a stretch of text without white space."""
+    def split(self, chunk: str) -> list[str]:
+        """Normalized words of a stretch of text without white space."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower-casing is by character, without final sigma
-        out: list[int] = []
-        for word in self.words.findall(chunk.lower()):
-            raw = word.encode()
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.final[raw[-1]]
-            out += self.merge(ids)
-        return out
+        return self.words.findall(chunk.lower())
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a normalized word."""
+        raw = word.encode()
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
+        return self.merge(ids)
+
+    def symbols(self, word: str) -> str:
+        """A word's bytes in their printable stand-ins."""
+        return word if word.isalpha() and word.isascii() else "".join([self.shown[b] for b in word.encode()])
+
+    def chunk(self, chunk: str) -> list[int]:
+        return [i for w in self.split(chunk) for i in self.word(w)]
 
     def segments(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """(special id, []) or (-1, chunks between white space) in the text's order."""
@@ -113,7 +121,7 @@ class WordBPE:
 
 
 class Cache(dict):
-    """chunk -> make(chunk), of the last CACHE_WORDS to twice as many chunks; long chunks aren't kept."""
+    """key -> make(key), of the last CACHE_WORDS to twice as many keys; long ones aren't kept."""
 
     def __init__(self, make: Callable):
         super().__init__()
@@ -138,7 +146,8 @@ def _worker(file: str) -> tuple[WordBPE, Cache, dict]:
     """One vocabulary and cache for all tasks of a worker."""
     if file not in _loaded:
         bpe = WordBPE(file)
-        _loaded[file] = bpe, Cache(lambda c: " ".join(map(str, bpe.chunk(c)))), {str(i): s for i, s in bpe.strings.items()}
+        words = Cache(lambda w: " ".join(map(str, bpe.word(w))))
+        _loaded[file] = bpe, Cache(lambda c: " ".join(map(words.__getitem__, bpe.split(c)))), {str(i): s for i, s in bpe.strings.items()}
     return _loaded[file]
 
 
