@@ -1,0 +1,74 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import langid
+
+PIECES = langid.read_pieces(langid.default_file())
+
+
+def brute(word, probs):
+    """Sum over all segmentations, by listing them."""
+    marked = "▁" + word
+    index = {p: i for i, p in enumerate(PIECES)}
+
+    def ways(at):
+        if at == len(marked):
+            return np.ones(probs.shape[1])
+        total = ways(at + 1) * langid.UNKNOWN
+        for end in range(at + 1, len(marked) + 1):
+            if marked[at:end] in index:
+                total = total + probs[index[marked[at:end]]] * ways(end)
+        return total
+
+    return np.log(ways(0))
+
+
+@pytest.fixture(scope="module")
+def probs():
+    p = np.random.default_rng(1).random((len(PIECES), 3))
+    return p / p.sum(0)
+
+
+def test_forward_sums_all_segmentations(probs):
+    words = ["hello", "a", "straße", "übertrag", "x", "é", "日本", "zzqq"]
+    got = langid.Lattice(PIECES).score(words, probs)
+    assert np.allclose(got, [brute(w, probs) for w in words])
+
+
+def test_expected_counts_are_derivatives(probs):
+    """d log p / d log probability of a piece is its expected count."""
+    lattice, words = langid.Lattice(PIECES), ["hello", "there"]
+    counts = np.array([[2.0, 0, 1], [1, 3, 0]])
+    got = lattice.expected(words, counts, probs)
+    for piece in ("he", "▁he", "ll", "▁there", "re"):
+        i, step = PIECES.index(piece), 1e-5
+        up = probs.copy()
+        up[i] *= 1 + step
+        change = ((lattice.score(words, up) - lattice.score(words, probs)) / step * counts).sum(0)
+        assert np.allclose(got[i], change, atol=1e-3)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs, train_docs=150)
+    rows = got.join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 100 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_edges(spark):
+    texts = [("en", "the house is on the hill and the sun is over it"), ("de", "das haus ist auf dem berg und die sonne scheint nicht")]
+    docs = spark.createDataFrame([(i, *texts[i % 2]) for i in range(1, 41)] + [(100, "en", None), (101, None, "das haus und die sonne"), (102, "en", ""), (103, "de", "123 !? ² Ⅷ"), (104, "en", "a" * 30000), (None, "en", "the house"), (105, None, "日本語")], "doc_id long, lang string, text string")
+    docs = docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("y"))
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert [got[i]["lang_pred"] for i in (100, 102, 103)] == ["und"] * 3 and got[103]["score"] == 0
+    assert got[101]["lang_pred"] == "de" and got[None]["lang_pred"] == "en" and got[104]["lang_pred"] in ("de", "en") and not got[None]["held_out"]
+    assert got[105]["lang_pred"] in ("de", "en")
+    kept = {r["doc_id"] for r in langid.accepted(docs).collect()}
+    assert {100, 102, 103}.isdisjoint(kept) and set(range(1, 41)) <= kept and langid.accepted(docs).columns == docs.columns
+    assert langid.identify(docs.limit(0)).count() == 0
+    unlabelled = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
