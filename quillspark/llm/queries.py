@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embed_dedup, langid, packing, secrets, sharding, simhash, topk, word_bpe
+from . import chat, embed_dedup, kneser_ney, langid, packing, secrets, sharding, simhash, topk, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(_table(spark, sf_dir, "documents"), keep=False)
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
 
@@ -53,7 +57,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_simhash, op3_embed_dedup, op4_pack, op5_langid, op6_topk, op7_bpe, op9_shard, op10_chat)}
+    return {f.__name__: f for f in (op1_secrets, op2_simhash, op3_embed_dedup, op4_pack, op5_langid, op6_topk, op7_bpe, op8_kneser_ney, op9_shard, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
