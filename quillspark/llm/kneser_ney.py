@@ -20,7 +20,7 @@ from .simhash import words
 
 ORDER = 2
 #: Tokens that a counting task holds before it passes on what it has, and n-grams that a shard aims at.
-TOKENS_AT_ONCE, SHARD_NGRAMS = 4_000_000, 4_000_000
+TOKENS_AT_ONCE, SHARD_NGRAMS = 4_000_000, 2_000_000
 _SCORE_TOKENS = 1_000_000
 # No word holds a space, so these are no word's bytes.
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(b)) for b in (b" begin", b" end"))
@@ -148,7 +148,8 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
             grams = np.concatenate(held)
             held.clear()
             keys, at, n = _sum_by(keys_of(grams), np.ones(len(grams), np.int64))
-            rows = list(_dealt(_GRAM, order, shards, keys, [*grams[at].T, n]))
+            grams = grams[at]
+            rows = list(_dealt(_GRAM, order, shards, keys, [*grams.T, n]))
             yield pa.RecordBatch.from_arrays(_table(rows), ["kind", "level", "shard", "n", "blob"])
 
         for batch in batches:
@@ -192,14 +193,12 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
 
     levels = {k: Level() for k in range(1, order + 1)}
     model = Model(local, order, shards, levels, 0, 0)
-    rows, path = store.materialize(slim.mapInArrow(count, _ROWS), "partials")
-    while True:
-        now = rows.where(F.col("kind") != _FACTS)
-        if now.isEmpty():
-            break
+    now, path = slim.mapInArrow(count, _ROWS), None
+    while path is None or not now.isEmpty():
         rows, to = store.materialize(now.groupBy("kind", "level", "shard").applyInArrow(merge, _ROWS), "partials")
-        store.drop(spark, path)
-        path = to
+        if path:
+            store.drop(spark, path)
+        path, now = to, rows.where(F.col("kind") != _FACTS)
         # A row of six numbers for each shard that was merged.
         for r in rows.where(F.col("kind") == _FACTS).collect():
             facts = _unpack(bytes(r["blob"]), 1, r["n"])[:, 0].tolist()
