@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .simhash import words
+from .workers import kept, map_arrow
 
 ORDER = 2
 #: Tokens that a counting task holds before it passes on what it has, and n-grams that a shard aims at.
@@ -193,7 +194,7 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
 
     levels = {k: Level() for k in range(1, order + 1)}
     model = Model(local, order, shards, levels, 0, 0)
-    now, path = slim.mapInArrow(count, _ROWS), None
+    now, path = map_arrow(slim, count, _ROWS), None
     while path is None or not now.isEmpty():
         rows, to = store.materialize(now.groupBy("kind", "level", "shard").applyInArrow(merge, _ROWS), "partials")
         if path:
@@ -265,17 +266,6 @@ class Reader:
         return np.log10(p), seen
 
 
-_readers: dict[str, Reader] = {}
-
-
-def _reader(model: Model) -> Reader:
-    """One set of maps for all tasks of a worker."""
-    if model.folder not in _readers:
-        _readers.clear()
-        _readers[model.folder] = Reader(model)
-    return _readers[model.folder]
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
@@ -286,7 +276,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model)
+        reader = kept(("kneser_ney", model.folder), lambda: Reader(model))
         floor = model.tokens + model.vocabulary + 1
         for batch in batches:
             at = 0
@@ -307,7 +297,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return map_arrow(slim, run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import kept, map_arrow
+
 #: Documents of each language, in expectation, on which the probabilities are fitted.
 TRAIN_DOCS = 2000
 MAX_LANGUAGES = 1000
@@ -177,7 +179,7 @@ def train(docs: DataFrame, vocabulary_file: str | None = None, *, train_docs: in
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in tally], pa.string()) for i in (0, 1)] + [pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
 
     # Runs of over 64 letters are no words to learn from; they are scored like any other.
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).where(F.length("word") <= 64).persist()
+    counted = map_arrow(sample, count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).where(F.length("word") <= 64).persist()
     probs = np.full((len(pieces), len(languages)), 1 / len(pieces))
     index = {k: i for i, k in enumerate(languages)}
     for _ in range(rounds):
@@ -245,15 +247,9 @@ class _Scores:
         return out
 
 
-_loaded: dict[str, _Scores] = {}
-
-
 def _worker(model: Model) -> _Scores:
-    """The last model's word scores, kept for all tasks of a worker."""
-    if model.key not in _loaded:
-        _loaded.clear()
-        _loaded[model.key] = _Scores(model)
-    return _loaded[model.key]
+    """A model's word scores, kept for all tasks of a worker."""
+    return kept(("langid", model.key), lambda: _Scores(model))
 
 
 def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -290,7 +286,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def fold(id_col: str = "doc_id"):
@@ -318,4 +314,4 @@ def accepted(docs: DataFrame, vocabulary_file: str | None = None, *, least: floa
                 keep = pa.array((scores >= least) & (np.array(langs) != "und"))
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cut.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

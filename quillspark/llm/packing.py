@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import store
 from .ranks import rank_within
 from .word_bpe import Cache, WordBPE, default_file
+from .workers import kept, map_arrow
 
 CAPACITY = 4096
 
@@ -75,18 +76,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-_loaded: dict[str, tuple] = {}
-
-
 def _worker(file: str) -> tuple[WordBPE, Cache]:
     """The tokenizers library's model encodes each distinct word; caches repeat its ids, by word and by stretch of text."""
-    if file not in _loaded:
+
+    def make():
         from tokenizers import Tokenizer
 
         model, bpe = Tokenizer.from_file(file).model, WordBPE(file)
         words = Cache(lambda w: np.array([t.id for t in model.tokenize(bpe.symbols(w))], "<u4").tobytes())
-        _loaded[file] = bpe, Cache(lambda c: b"".join(map(words.__getitem__, bpe.split(c))))
-    return _loaded[file]
+        return bpe, Cache(lambda c: b"".join(map(words.__getitem__, bpe.split(c))))
+
+    return kept(("packing", file), make)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 1 + len(columns)])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

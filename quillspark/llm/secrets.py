@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import map_arrow
+
 # Fixed values of the base scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -165,7 +167,7 @@ def scan(docs: DataFrame, models: MarkovPair | None = None, *, id_col: str = "do
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
+    return map_arrow(slim, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(docs: DataFrame, models: MarkovPair | None = None, *, text_col: str = "text") -> DataFrame:
@@ -178,7 +180,7 @@ def redacted(docs: DataFrame, models: MarkovPair | None = None, *, text_col: str
             texts = [None if (t := x.as_py()) is None else redact(t, all_spans(t, models)[1]) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def expected_false_rate(models: MarkovPair, n: int = 2000, seed: int = 99) -> tuple[float, float]:

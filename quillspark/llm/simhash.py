@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import connected_components
+from .workers import map_arrow
 
 RADIUS = 4
 #: Distinct fingerprints of a bucket beyond which it is split by a second set of masks.
 CAP = 4096
+#: Ids that are sent to every executor rather than joined by a shuffle of the texts.
+BROADCAST_ROWS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HASHES_AT_ONCE = 1 << 16
 
@@ -52,7 +55,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -183,7 +186,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest; of repeated rows with that id all stay."""
+    """The rows of ``docs`` whose id is their group's smallest; of repeated rows with that id all stay, as do null ids."""
     groups = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
+    gone, _ = store.materialize(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")), "gone")
+    if gone.count() <= BROADCAST_ROWS:  # else texts and ids are shuffled to each other
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import kept, map_arrow
+
 #: Characters that str.split() takes for white space and the tokenizer's \s does not.
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -139,16 +141,15 @@ class Cache(dict):
         return value
 
 
-_loaded: dict[str, tuple[WordBPE, Cache, dict]] = {}
-
-
 def _worker(file: str) -> tuple[WordBPE, Cache, dict]:
     """One vocabulary and cache for all tasks of a worker."""
-    if file not in _loaded:
+
+    def make():
         bpe = WordBPE(file)
         words = Cache(lambda w: " ".join(map(str, bpe.word(w))))
-        _loaded[file] = bpe, Cache(lambda c: " ".join(map(words.__getitem__, bpe.split(c)))), {str(i): s for i, s in bpe.strings.items()}
-    return _loaded[file]
+        return bpe, Cache(lambda c: " ".join(map(words.__getitem__, bpe.split(c)))), {str(i): s for i, s in bpe.strings.items()}
+
+    return kept(("word_bpe", file), make)
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -177,4 +178,4 @@ def encode_decode(docs: DataFrame, tokenizer_file: str | None = None, *, id_col:
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(slim, run, schema).withColumnRenamed("id", id_col)

@@ -57,6 +57,6 @@ def test_unknown_layout(spark):
 
 
 def test_plan_is_native(spark):
-    df = spark.range(5).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'x' AS text")
+    df = spark.range(5).selectExpr("id % 3 AS conv_id", "id AS turn", "'user' AS role", "'x' AS text")
     plan = chat.digests(chat.read_back(chat.format_chats(chat.canonical_turns(df))))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
