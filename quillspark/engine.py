@@ -9,7 +9,7 @@ import re
 import threading
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
@@ -104,7 +104,7 @@ class Engine:
         self.storage = Storage(spark, self.files)
         self.lock = threading.RLock()
         self.databases = {d.id: catalog.load(self.files, self._catalog_path(d.id), d.id, d.name) for d in self.config.databases}
-        self.frames: dict[int, dict[str, DataFrame]] = {d: {} for d in self.databases}
+        self.frames: dict[int, dict[str, DataFrame | Callable[[], DataFrame]]] = {d: {} for d in self.databases}
         self.transactions: dict[int, Transaction] = {}
         self._next_tx = itertools.count(1)
         self._views = f"quill_{uuid.uuid4().hex[:8]}"
@@ -133,8 +133,11 @@ class Engine:
     def publish(self, db: catalog.Database) -> None:
         self.files.write(self._catalog_path(db.id), db.to_json())
 
-    def register(self, db: int | str, name: str, df: DataFrame) -> None:
-        """Let queries of a database read a DataFrame under a name; numbers widen to the dialect's types."""
+    def register(self, db: int | str, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """Let queries of a database read a DataFrame under a name; numbers widen to the dialect's types. A function is called when a query first names it."""
+        if callable(df):
+            self.frames[self.database(db).id][name] = df
+            return
         wide = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
         self.frames[self.database(db).id][name] = df.select(*[df[c].cast(wide[k]).alias(c) if k in wide else df[c] for c, k in df.dtypes])
 
@@ -218,6 +221,8 @@ class Engine:
             table = db.tables[name]
             return Relation(self.view_of(self.storage.read(table).drop(catalog.ROWID), f"{db.id}_{name}"), table.fts_column)
         if name in self.frames[db.id]:
+            if callable(self.frames[db.id][name]):
+                self.register(db.id, name, self.frames[db.id][name]())
             return Relation(self.view_of(self.frames[db.id][name], f"{db.id}_f_{name}"))
         return None
 

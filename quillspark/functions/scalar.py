@@ -6,6 +6,7 @@ as a column's type is known by then.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from ..errors import SqlParseError
@@ -17,13 +18,19 @@ def kind_is(x: str, *kinds: str) -> str:
     return f"typeof({x}) IN ({', '.join(repr(k) for k in kinds)})"
 
 
-def number(x: str) -> str:
-    """The value of a numeric expression; text and bytes have none."""
+def number(x: str, kind: str | None = None) -> str:
+    """The value of a numeric expression; text and bytes have none. ``kind``: what is known of the type without asking Spark."""
+    if kind in ("number", "bool"):
+        return x
+    if kind in ("text", "blob"):
+        return "CAST(NULL AS DOUBLE)"
     return f"CASE WHEN {kind_is(x, 'string', 'binary')} THEN NULL ELSE {x} END"
 
 
-def text(x: str) -> str:
+def text(x: str, kind: str | None = None) -> str:
     """How || shows a value: whole reals without a fraction, bytes as x'hex', truth as 1 or 0."""
+    if kind == "text":
+        return x
     real = f"try_cast(CAST({x} AS STRING) AS DOUBLE)"
     return (
         f"CASE WHEN {kind_is(x, 'string')} THEN CAST({x} AS STRING) "
@@ -34,31 +41,41 @@ def text(x: str) -> str:
     )
 
 
-def truth(x: str) -> str:
+def truth(x: str, kind: str | None = None) -> str:
     """Whether a value counts as true: not null, zero or empty."""
+    if kind == "bool":
+        return x
+    if kind == "number":
+        return f"{x} <> 0"
+    if kind == "text":
+        return f"{x} <> ''"
     return (
         f"CASE WHEN {kind_is(x, 'string', 'binary')} THEN octet_length(CAST({x} AS STRING)) > 0 "
         f"WHEN {kind_is(x, 'boolean')} THEN CAST({x} AS STRING) = 'true' ELSE try_cast(CAST({x} AS STRING) AS DOUBLE) <> 0D END"
     )
 
 
-def _length(x: str) -> str:
+def _length(x: str, kind: str | None = None) -> str:
+    if kind == "text":
+        return f"char_length({x})"
     return f"CASE WHEN {kind_is(x, 'string')} THEN char_length(CAST({x} AS STRING)) WHEN {kind_is(x, 'binary')} THEN octet_length(CAST({x} AS STRING)) END"
 
 
-def _round(x: str, n: str = "0L") -> str:
-    real = f"try_cast({number(x)} AS DOUBLE)"
+def _round(x: str, n: str = "0L", *, kind: str | None = None) -> str:
+    real = f"try_cast({number(x, kind)} AS DOUBLE)"
     if n == "0L":
         return f"round({real}, 0)"
     power = f"power(10D, CAST({n} AS DOUBLE))"
     return f"(round({real} * {power}, 0) / {power})"
 
 
-def _substr(x: str, start: str, size: str | None = None) -> str:
+def _substr(x: str, start: str, size: str | None = None, *, kind: str | None = None) -> str:
     """From 1, or back from the end if negative (no further than the start); nothing from 0 or for a negative size."""
-    x, at = f"CAST({x} AS STRING)", f"CAST({start} AS INT)"
+    x = x if kind == "text" else f"CAST({x} AS STRING)"
     rest = f", greatest(CAST({size} AS INT), 0)" if size else ""
-    # A size that starts before the text still counts from the text's start.
+    if m := re.fullmatch(r"([1-9]\d{0,8})L", start):
+        return f"substring({x}, {m[1]}{rest})"
+    at = f"CAST({start} AS INT)"
     return f"CASE WHEN {at} > 0 THEN substring({x}, {at}{rest}) WHEN {at} < 0 THEN substring({x}, greatest(char_length({x}) + {at} + 1, 1){rest}) WHEN {at} = 0 AND {x} IS NOT NULL THEN '' END"
 
 
@@ -93,7 +110,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., str]]] = {
     "lower": (1, 1, lambda x: f"lower({x})"),
     "length": (1, 1, _length),
     "len": (1, 1, _length),
-    "abs": (1, 1, lambda x: f"abs({number(x)})"),
+    "abs": (1, 1, lambda x, kind=None: f"abs({number(x, kind)})"),
     "round": (1, 2, _round),
     "coalesce": (1, 255, lambda *x: f"coalesce({', '.join(x)})"),
     "ifnull": (2, 2, lambda a, b: f"coalesce({a}, {b})"),
@@ -109,11 +126,16 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., str]]] = {
 }
 
 
-def render(name: str, args: list[str]) -> str | None:
-    """Text of a call; None if the dialect doesn't define the name."""
+#: Functions that look at their first argument's type, and the type that a call has.
+TYPED = frozenset({"length", "len", "abs", "round", "substr", "substring"})
+KINDS = dict.fromkeys(["upper", "lower", "trim", "ltrim", "rtrim", "substr", "substring", "replace", "typeof", "hex", "json_extract", "json_array", "json_object", "json_set"], "text") | dict.fromkeys(["length", "len", "abs", "round", "count"], "number")
+
+
+def render(name: str, args: list[str], kind: str | None = None) -> str | None:
+    """Text of a call, with what is known of its first argument's type; None if the dialect doesn't define the name."""
     if name not in FUNCTIONS:
         return None
     fewest, most, write = FUNCTIONS[name]
     if not fewest <= len(args) <= most:
         raise SqlParseError(f"{name} takes {fewest} to {most} arguments, not {len(args)}")
-    return write(*args)
+    return write(*args, kind=kind) if name in TYPED else write(*args)
