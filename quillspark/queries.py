@@ -96,15 +96,15 @@ SELECTS: dict[str, tuple] = {
                     "SELECT event_id, '{\"id\":' || event_id || ',\"in\":[' || user_id || '],\"type\":\"' || event_type || '\"}' AS j FROM events"),
     "json_set": ("SELECT event_id, JSON_SET(props, '$.t', event_type) AS j FROM events", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"t\":\"' || event_type || '\"}' AS j FROM events"),
     "join_inner": ("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'", None),
-    "join_left": ("SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey", None),
+    "join_left": ("SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey", "SELECT o.o_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, l.l_quantity FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey"),
     "join_right": ("SELECT l.l_quantity, o.o_orderkey FROM lineitem l RIGHT JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 45", None),
     "join_full": ("SELECT c.c_custkey, s.s_suppkey FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey + 1450", None),
     "join_cross": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n", None),
-    "join_theta": ("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey", None),
+    "join_theta": ("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey", "SELECT CAST(a.n_nationkey AS BIGINT) AS x, CAST(b.n_nationkey AS BIGINT) AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey"),
     "join_multiway": ("SELECT r.r_name, COUNT(*) AS n FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name", None),
     "join_self": ("SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey", None),
-    "join_using": ("SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)", None),
-    "join_natural": ("SELECT doc_id, n_chars, toxic FROM documents NATURAL JOIN labels", None),
+    "join_using": ("SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)", "SELECT doc_id, n_chars, CAST(quality AS BIGINT) AS quality FROM documents JOIN labels USING (doc_id)"),
+    "join_natural": ("SELECT doc_id, n_chars, toxic FROM documents NATURAL JOIN labels", "SELECT doc_id, n_chars, CAST(toxic AS BIGINT) AS toxic FROM documents NATURAL JOIN labels"),
     "join_comma": ("SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey", None),
     "join_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 400000)"),
     "join_anti": ("SELECT o_orderkey FROM orders LEFT ANTI JOIN lineitem ON o_orderkey = l_orderkey", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE o_orderkey = l_orderkey)"),
@@ -130,7 +130,7 @@ SELECTS: dict[str, tuple] = {
     "set_union": ("SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer", "SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier UNION SELECT c_nationkey FROM customer"),
     "set_intersect": ("SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000", "SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000"),
     "set_except": ("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem", None),
-    "window_rank": ("SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders", None),
+    "window_rank": ("SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders", "SELECT o_orderkey, CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INTEGER) AS r FROM orders"),
     "cte_subquery": ("WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, n FROM customer JOIN big ON c_custkey = o_custkey WHERE n > (SELECT AVG(n) FROM big)", None),
     "in_and_exists": ("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)", None),
 }
