@@ -41,11 +41,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what stands between two stages is written to the shared folder and deleted when used."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs, path = store.materialize(docs, name)
-            if before:
-                store.drop(spark, before)
-            before = path
-    return docs
+    for name, stage in STAGES[:-1]:
+        with store.keeping_only(spark) as kept:
+            docs, path = store.materialize(stage(spark, docs, sf_dir), name)
+            kept.add(path)
+        if before:
+            store.drop(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

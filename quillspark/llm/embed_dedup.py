@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import connected_components
+from .workers import map_arrow
 
 LEAST = 0.93
 #: Projections counted, half width of a query's window in each, and the share of pairs at the least
@@ -149,79 +150,81 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, *, id_col: str = "
     verifies by a product, and emits a count for each class and a spanning forest, never pairs. A
     pair that meets in several tables counts in the first of them.
     """
-    slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    rows, _ = store.materialize(slim.withColumn("valid", F.col("label").isNotNull() & _valid(F.col("v"))), "vectors")
-    classes, _ = store.materialize(rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k, tables = layout(largest, least)
-    needed, half_width = least_count(least), HALF_WIDTH
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Unit vectors and, for each table, the hash of the cell."""
-        for batch in batches:
-            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(size):
-                at = pa.array(np.flatnonzero(size == dim))
-                own = [c.take(at) for c in batch.columns]
-                u = _unit(_matrix(own[1]))
-                rng = np.random.default_rng([_SEED, 2, int(dim)])
-                keys = np.full((len(u), tables), int(dim), np.uint64)
-                for t in range(tables):
-                    grid = np.floor((u @ rng.standard_normal((int(dim), k))) / CELL_WIDTH + rng.random(k)).astype(np.int64).astype(np.uint64)
-                    for j in range(k):
-                        keys[:, t] = (keys[:, t] ^ grid[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-                        keys[:, t] ^= keys[:, t] >> np.uint64(29)
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), kind))
-                yield pa.RecordBatch.from_arrays([own[0], own[2], own[3], lists(u, pa.float64()), lists(keys.view(np.int64), pa.int64())], ["label", "w", "class", "u", "keys"])
-
-    placed, _ = store.materialize(
-        classes.select("label", "v", "w", "class").mapInArrow(cells, "label string, w long, class long, u array<double>, keys array<long>"), "cells")
-    dealt = placed.select("*", F.posexplode("keys").alias("t", "key"))
-    sizes = dealt.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / (BLOCK * 0.8)))
-    # Each block meets itself and every other block of its cell: a class is copied once for each.
-    own = F.pmod(F.xxhash64("class", "t"), F.col("blocks"))
-    met = dealt.join(sizes, ["label", "t", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "w", "class", "u", "keys")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        t = table.column("t")[0].as_py()
-        second = table.column("second").to_numpy()
-        u, w, name = _matrix(table.column("u").combine_chunks()), table.column("w").to_numpy(), table.column("class").to_numpy()
-        keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(u), -1)[:, :t]
-        p = u @ _directions(u.shape[1], PROJECTIONS, 1)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        one, two = (np.arange(len(u)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-        linked = np.zeros((len(one), len(two)), bool)
-        for at in range(0, len(one), 256) if len(two) else ():
-            q = one[at : at + 256]
-            passed = collisions(p[q], p[two], half_width) >= needed
-            for earlier in range(t):
-                passed &= keys[q, earlier][:, None] != keys[two, earlier][None, :]
-            if passed.any():
-                linked[at : at + 256] = passed & (u[q] @ u[two].T >= least)
-        if same:
-            np.fill_diagonal(linked, False)
-            linked |= linked.T  # a product may round differently from its mirror image
-        n = np.zeros(len(u), np.int64)
-        n[one] += linked @ w[two]
-        if not same:
-            n[two] += w[one] @ linked
-        a, b = _bipartite_forest(linked, same)
-        has = np.flatnonzero(n)
-        none = np.full(len(has), None)
-        return pa.table({
-            "a": pa.array(np.concatenate([name[one][a], name[has]]), pa.int64()),
-            "b": pa.array([*name[two][b].tolist(), *none], pa.int64()),
-            "n": pa.array(np.concatenate([np.zeros(len(a), np.int64), n[has]]), pa.int64()),
-        })
-
-    found, _ = store.materialize(met.groupBy("label", "t", "key", "i", "j").applyInArrow(compare, "a long, b long, n long"), "links")
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    joined = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "class")
-    rooted = classes.select("class", "rep", "w", "label", "v").join(joined, "class", "left").join(counts, "class", "left").withColumn("root", F.coalesce("component", "class"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("smallest"))
-    member, _ = store.materialize(rooted.join(smallest, "root").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "smallest"), "members")
+    with store.keeping_only(vectors.sparkSession) as kept:
+        slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+        rows, rows_at = store.materialize(slim.withColumn("valid", F.col("label").isNotNull() & _valid(F.col("v"))), "vectors")
+        classes, _ = store.materialize(rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")).withColumn("class", F.monotonically_increasing_id()), "classes")
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        k, tables = layout(largest, least)
+        needed, half_width = least_count(least), HALF_WIDTH
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Unit vectors and, for each table, the hash of the cell."""
+            for batch in batches:
+                size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(size):
+                    at = pa.array(np.flatnonzero(size == dim))
+                    own = [c.take(at) for c in batch.columns]
+                    u = _unit(_matrix(own[1]))
+                    rng = np.random.default_rng([_SEED, 2, int(dim)])
+                    keys = np.full((len(u), tables), int(dim), np.uint64)
+                    for t in range(tables):
+                        grid = np.floor((u @ rng.standard_normal((int(dim), k))) / CELL_WIDTH + rng.random(k)).astype(np.int64).astype(np.uint64)
+                        for j in range(k):
+                            keys[:, t] = (keys[:, t] ^ grid[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+                            keys[:, t] ^= keys[:, t] >> np.uint64(29)
+                    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), kind))
+                    yield pa.RecordBatch.from_arrays([own[0], own[2], own[3], lists(u, pa.float64()), lists(keys.view(np.int64), pa.int64())], ["label", "w", "class", "u", "keys"])
+
+        placed, _ = store.materialize(
+            map_arrow(classes.select("label", "v", "w", "class"), cells, "label string, w long, class long, u array<double>, keys array<long>"), "cells")
+        dealt = placed.select("*", F.posexplode("keys").alias("t", "key"))
+        sizes = dealt.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / (BLOCK * 0.8)))
+        # Each block meets itself and every other block of its cell: a class is copied once for each.
+        own = F.pmod(F.xxhash64("class", "t"), F.col("blocks"))
+        met = dealt.join(sizes, ["label", "t", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        met = met.select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "w", "class", "u", "keys")
+
+        def compare(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            t = table.column("t")[0].as_py()
+            second = table.column("second").to_numpy()
+            u, w, name = _matrix(table.column("u").combine_chunks()), table.column("w").to_numpy(), table.column("class").to_numpy()
+            keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(u), -1)[:, :t]
+            p = u @ _directions(u.shape[1], PROJECTIONS, 1)
+            same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            one, two = (np.arange(len(u)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+            linked = np.zeros((len(one), len(two)), bool)
+            for at in range(0, len(one), 256) if len(two) else ():
+                q = one[at : at + 256]
+                passed = collisions(p[q], p[two], half_width) >= needed
+                for earlier in range(t):
+                    passed &= keys[q, earlier][:, None] != keys[two, earlier][None, :]
+                if passed.any():
+                    linked[at : at + 256] = passed & (u[q] @ u[two].T >= least)
+            if same:
+                np.fill_diagonal(linked, False)
+                linked |= linked.T  # a product may round differently from its mirror image
+            n = np.zeros(len(u), np.int64)
+            n[one] += linked @ w[two]
+            if not same:
+                n[two] += w[one] @ linked
+            a, b = _bipartite_forest(linked, same)
+            has = np.flatnonzero(n)
+            none = np.full(len(has), None)
+            return pa.table({
+                "a": pa.array(np.concatenate([name[one][a], name[has]]), pa.int64()),
+                "b": pa.array([*name[two][b].tolist(), *none], pa.int64()),
+                "n": pa.array(np.concatenate([np.zeros(len(a), np.int64), n[has]]), pa.int64()),
+            })
+
+        found, _ = store.materialize(met.groupBy("label", "t", "key", "i", "j").applyInArrow(compare, "a long, b long, n long"), "links")
+        counts = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+        joined = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "class")
+        rooted = classes.select("class", "rep", "w", "label", "v").join(joined, "class", "left").join(counts, "class", "left").withColumn("root", F.coalesce("component", "class"))
+        smallest = rooted.groupBy("root").agg(F.min("rep").alias("smallest"))
+        member, member_at = store.materialize(rooted.join(smallest, "root").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "smallest"), "members")
+        kept |= {rows_at, member_at}
     linked = rows.where("valid").join(member, ["label", "v"]).select("vec_id", "n_links", F.col("smallest").alias("component_id"))
     alone = rows.where("NOT valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

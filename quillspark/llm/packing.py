@@ -8,15 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .ranks import rank_within
 from .word_bpe import Cache, WordBPE, default_file
 from .workers import kept, map_arrow
 
 CAPACITY = 4096
+#: Counts by length and task that are sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -92,32 +94,34 @@ def _worker(file: str) -> tuple[WordBPE, Cache]:
 def pieces(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Tokenize whole texts, end each with ``end_id``, and cut those above ``capacity``.
 
-    Returns doc_id, piece, start, length, ids_crc32 and, with ``keep_ids``, ids. A null or empty
-    text is the one token ``end_id``.
+    Returns doc_id, piece, start, length, ids_crc32, task and nth (the piece is the task's nth of its
+    length, from 0) and, with ``keep_ids``, ids. A null or empty text is the one token ``end_id``.
     """
     file = tokenizer_file or default_file()
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = _worker(file)
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows, source, ids = [], [], []
             for n, text in enumerate(batch.column(1)):
                 raw = b"".join([np.uint32(s).tobytes() if s >= 0 else b"".join(map(cache.__getitem__, chunks)) for s, chunks in bpe.segments(text.as_py() or "")]) + ending
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
-                    rows.append((k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                    rows.append((k, at // 4, len(cut) // 4, zlib.crc32(cut), task, seen[len(cut) // 4]))
+                    seen[len(cut) // 4] += 1
                     source.append(n)
                     if keep_ids:
                         ids.append(cut)
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
             if keep_ids:
                 ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in ids], dtype=np.int64)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 1 + len(columns)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"][: 1 + len(columns)])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -125,20 +129,34 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int = 1,
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id and
     offset. Null texts pack as empty ones, repeated rows as documents of their own; other columns
-    are left out; an empty table gives no rows. Pieces of one length are alike, so which of them
-    takes which slot doesn't matter: pieces and slots meet by (length, rank). The driver sees the
-    histogram (at most ``capacity`` rows) only; the plan's runs are bounded by it too, and hot
-    lengths are ranked by part file, so no length is gathered in a task.
+    are left out; an empty table gives no rows.
+
+    Pieces of one length are alike, so which of them takes which slot doesn't matter: pieces and
+    slots meet by (length, rank). A piece's rank is its place among its task's pieces of that
+    length plus the counts of earlier tasks; it is written with the piece, so a hot length is
+    counted where it lies. The driver sees the histogram (at most ``capacity`` rows) only, and the
+    plan's runs are bounded by it too. Counts by (length, task) are sent to the pieces if there are
+    few enough, else both are shuffled to each other.
     """
     cut, _ = store.materialize(pieces(docs, tokenizer_file, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col, keep_ids=keep_ids), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts, _ = store.materialize(by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")), "shifts")
+    counts = {r["length"]: r["n"] for r in shifts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     segments = docs.sparkSession.createDataFrame(plan(counts, capacity), "l long, rank_from long, bins long, per_bin long, first_sequence long, first_offset long")
-    step = F.col("rank") - F.col("rank_from")
-    return rank_within(cut, ["length"], written=True).join(
-        F.broadcast(segments),  # a few rows for each distinct length, of which there are at most ``capacity``
-        (F.col("length") == F.col("l")) & (step >= 0) & (step < F.col("bins") * F.col("per_bin")),
-    ).select(
-        *cut.columns,
-        (F.col("first_sequence") + F.floor(step / F.col("per_bin"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + F.pmod(step, F.col("per_bin")) * F.col("length")).cast("long").alias("offset"),
+    shifts = shifts.select("length", "task", "shift")
+    if shifts.count() <= BROADCAST_ROWS:
+        shifts = F.broadcast(shifts)
+    step = F.col("nth") + F.col("shift") - F.col("rank_from")
+    return (
+        cut.join(shifts, ["length", "task"])
+        .join(
+            F.broadcast(segments),  # a few rows for each distinct length, of which there are at most ``capacity``
+            (F.col("length") == F.col("l")) & (step >= 0) & (step < F.col("bins") * F.col("per_bin")),
+        )
+        .select(
+            *[c for c in cut.columns if c not in ("task", "nth")],
+            (F.col("first_sequence") + F.floor(step / F.col("per_bin"))).cast("long").alias("sequence_id"),
+            (F.col("first_offset") + F.pmod(step, F.col("per_bin")) * F.col("length")).cast("long").alias("offset"),
+        )
     )

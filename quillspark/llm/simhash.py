@@ -175,13 +175,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc
     are left out; an empty table gives no rows. Copies collapse to one fingerprint by a partial
     aggregation before anything is compared, so a group of copies costs one row.
     """
-    spark = docs.sparkSession
-    prints, _ = store.materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
-    classes, _ = store.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = connected_components(links(classes.select("fp"), radius))
-    rooted = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    member, _ = store.materialize(rooted.join(smallest, "root").select("fp", "component_id"), "members")
+    with store.keeping_only(docs.sparkSession) as kept:
+        prints, prints_at = store.materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
+        classes, _ = store.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+        found = connected_components(links(classes.select("fp"), radius))
+        rooted = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+        member, member_at = store.materialize(rooted.join(smallest, "root").select("fp", "component_id"), "members")
+        kept |= {prints_at, member_at}
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

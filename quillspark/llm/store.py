@@ -6,13 +6,18 @@ tests on one machine, a temporary folder stands in for it.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_written: dict[str, set[str]] = {}  # application -> tables that haven't been deleted
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +50,9 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
+    if (inner := _open.get()) is not None:
+        inner.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -52,3 +60,28 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a table whose readers have all been materialized."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+@contextlib.contextmanager
+def keeping_only(spark: SparkSession) -> Iterator[set[str]]:
+    """Delete the tables that are materialized inside, but those whose paths are put into the set."""
+    kept: set[str] = set()
+    token = _open.set([])
+    try:
+        yield kept
+    finally:
+        inner = _open.get() or []
+        _open.reset(token)
+        live = _written.get(spark.sparkContext.applicationId, set())
+        for path in inner:
+            if path in live and path not in kept:
+                drop(spark, path)
+        if (outer := _open.get()) is not None:
+            outer += [p for p in inner if p in kept]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all of this application's tables in the shared folder; results that read them must have been written."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        drop(spark, path)

@@ -36,6 +36,13 @@ def test_encoding_is_the_librarys(spark):
         assert got[k]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_clashing_columns_repeats_and_empty_tables(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1L, 'a b', 'x', 0), (1L, 'a b', 'x', 0), (null, null, null, null) AS t(doc_id, text, id, n_tokens)")
+    rows = sorted(((r["doc_id"], r["n_tokens"]) for r in word_bpe.encode_decode(docs).collect()), key=str)
+    assert rows == [(1, 2), (1, 2), (None, 0)]
+    assert word_bpe.encode_decode(docs.limit(0)).count() == 0
+
+
 def test_merge_order_against_rescanning():
     bpe = word_bpe.WordBPE(FILE)
     rng = random.Random(1)

@@ -55,6 +55,27 @@ def test_stages_against_brute_force(spark, docs):
     assert sorted(map(key, corpus_pipeline.run(spark, docs).collect())) == sorted(map(key, after))
 
 
+def test_stages_keep_extra_columns_and_nulls(spark):
+    rows = [(i, "the house is on the hill and the sun is over it " * (1 + i % 3), "en", 1, [i], None) for i in range(20)] + [(None, "the river runs down to the sea", None, None, None, None), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, fp array<long>, component_id string")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = {(r["doc_id"], r["text"]) for r in out.collect()}
+        assert (None, "the river runs down to the sea") in got
+        assert ((3, None) in got) == (name != "language")
+    assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() == 22
+
+
+def test_tables_between_stages_are_deleted(spark, docs):
+    from quillspark.llm import store
+
+    rows = corpus_pipeline.run(spark, docs)
+    rows.collect()
+    store.clear(spark)
+    assert not store._written.get(spark.sparkContext.applicationId)
+
+
 def test_stages_on_an_empty_table(spark, docs):
     empty = spark.read.parquet(f"{docs}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
