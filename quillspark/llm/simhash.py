@@ -187,9 +187,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest; of repeated rows with that id all stay, as do null ids."""
+    """The rows of ``docs`` whose id is their group's smallest. Rows with null ids stay, and all rows of a repeated id if any of them does."""
     groups = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
-    gone, _ = store.materialize(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")), "gone")
+    gone = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("all")).where("all").select("__gone")
+    gone, _ = store.materialize(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:  # else texts and ids are shuffled to each other
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
