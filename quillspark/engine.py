@@ -174,10 +174,12 @@ class Engine:
             statement = parse(sql).statement
         except (SqlParseError, UnsupportedError):
             if _PASSED_ON.match(sql):
-                return QueryResult(self._pass_on(db, sql, params), tx_id=tx_id)
+                with self.lock:
+                    return QueryResult(self._pass_on(db, sql, params), tx_id=tx_id)
             raise
         if isinstance(statement, t.Query):
-            return QueryResult(self.spark.sql(self.renderer(db, params).query(statement)), tx_id=tx_id)
+            with self.lock:  # names of views are shared; only planning happens under it
+                return QueryResult(self.spark.sql(self.renderer(db, params).query(statement)), tx_id=tx_id)
         if isinstance(statement, t.Transaction):
             if statement.action == "BEGIN":
                 return QueryResult(tx_id=self.begin(db.id))
@@ -243,6 +245,22 @@ class Engine:
             for name in names:
                 self.spark.catalog.dropTempView(name)
 
+    def load(self, db: int | str, table: str, path: str, format: str = "parquet", **options: Any) -> int:
+        """Insert the rows of files, column by column of the same name; columns that the files lack take their defaults."""
+        rows = self.spark.read.format(format).options(**options).load(path)
+        found = self.database(db)
+        with self.lock, self._whole(found):
+            target = found.table(table)
+            columns = [c.name for c in target.columns if c.name.lower() in {x.lower() for x in rows.columns}]
+            try:
+                return self.changes._insert_frame(found, table, columns, rows.select(*[f"`{c}`" for c in columns]), None, 0, listed=False)
+            except PySparkException as e:
+                raise self._translated(e) from e
+
+    def export(self, db: int | str, sql: str, path: str, format: str = "parquet", params: Sequence[Any] = (), **options: Any) -> None:
+        """Write a query's rows as files of any format that Spark writes."""
+        self.query(db, sql, params).df.write.format(format).options(**options).mode("overwrite").save(path)
+
     def fts_search(self, db: int | str, table: str, query: str) -> DataFrame:
         """Rows of a full-text table with any of the query's tokens: its columns and score, best first."""
         found = self.database(db).table(table)

@@ -436,3 +436,64 @@ def test_result_as_json(run, engine):
     assert set(out["timing"]) == {"params_us", "engine_us", "encode_us", "total_us"} and out["affected_rows"] is None
     assert engine.query(0, "DELETE FROM t").to_json()["affected_rows"] == 1
     assert engine.db_id("default") == 0 and engine.db_id("nope") is None
+
+
+def test_files_in_and_out(engine, run, tmp_path):
+    run("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, n INTEGER DEFAULT 4)")
+    run("INSERT INTO t (name) VALUES ('a'), ('b')")
+    for form, options in (("csv", {"header": True}), ("json", {}), ("orc", {}), ("parquet", {})):
+        engine.export(0, "SELECT name FROM t WHERE id <= ?", f"file://{tmp_path}/{form}", form, [2], **options)
+        assert engine.load(0, "t", f"file://{tmp_path}/{form}", form, **options) == 2
+    assert run("SELECT name, COUNT(*), COUNT(DISTINCT id), MIN(n) FROM t GROUP BY name ORDER BY name") == [("a", 5, 5, 4), ("b", 5, 5, 4)]
+
+
+def test_null_matrix(run, compat):
+    """Every comparison of {NULL, 0, 1} with itself: three-valued by default, null lowest and equal to itself in compat mode."""
+    order = {None: -1, 0: 0, 1: 1}
+    for a in order:
+        for b in order:
+            for op, test in (("=", lambda x, y: x == y), ("<>", lambda x, y: x != y), ("<", lambda x, y: x < y), ("<=", lambda x, y: x <= y), (">", lambda x, y: x > y), (">=", lambda x, y: x >= y)):
+                want = None if a is None or b is None else int(test(a, b))
+                assert run(f"SELECT ? {op} ? AS r", [a, b]) == [(want,)]
+    pairs = [(a, b) for a in order for b in order]
+    text = ", ".join(f"({'NULL' if a is None else a}, {'NULL' if b is None else b})" for a, b in pairs)
+    compat.query(0, "CREATE TABLE p (a INTEGER, b INTEGER)")
+    compat.query(0, f"INSERT INTO p VALUES {text}")
+    rows = compat.query(0, "SELECT a, b, a = b AS eq, a <> b AS ne, a < b AS lt, a <= b AS le, a > b AS gt, a >= b AS ge, NOT a AND b AS nab, a IN (b, 7) AS isin, CASE a WHEN b THEN 1 ELSE 0 END AS c FROM p").rows()
+    assert len(rows) == 9
+    for r in rows:
+        x, y = order[r["a"]], order[r["b"]]
+        assert (r["eq"], r["ne"], r["lt"], r["le"], r["gt"], r["ge"]) == tuple(map(int, (x == y, x != y, x < y, x <= y, x > y, x >= y)))
+        assert r["nab"] == int(not r["a"] and bool(r["b"])) and r["isin"] == r["c"] == int(x == y)
+
+
+def test_random_changes_against_a_dictionary(engine, run):
+    """Seeded statements, some in transactions that are rolled back, leave what the same leave in a dictionary."""
+    import random
+
+    rng = random.Random(11)
+    run("CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)")
+    model: dict[int, int] = {}
+    for step in range(14):
+        tx = engine.begin(0) if step % 5 == 4 else None
+        before = dict(model)
+        for _ in range(2):
+            kind, k = rng.choice(["insert", "insert", "update", "delete"]), rng.randint(1, 6)
+            if kind == "insert":
+                rows = {rng.randint(1, 60): rng.randint(0, 9) for _ in range(3)}
+                try:
+                    run("INSERT INTO t VALUES " + ", ".join(f"({i}, {v})" for i, v in rows.items()), tx=tx)
+                    assert not rows.keys() & model.keys()
+                    model |= rows
+                except ConstraintViolation:
+                    assert rows.keys() & model.keys()
+            elif kind == "update":
+                assert run("UPDATE t SET v = v + 10 WHERE id % 6 + 1 = ?", [k], tx=tx) == sum(i % 6 + 1 == k for i in model)
+                model = {i: v + 10 * (i % 6 + 1 == k) for i, v in model.items()}
+            else:
+                assert run("DELETE FROM t WHERE v % 7 + 1 = ?", [k], tx=tx) == sum(v % 7 + 1 == k for v in model.values())
+                model = {i: v for i, v in model.items() if v % 7 + 1 != k}
+        if tx is not None:
+            engine.rollback(tx)
+            model = before
+        assert dict(run("SELECT id, v FROM t")) == model
