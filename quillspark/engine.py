@@ -333,5 +333,14 @@ class Engine:
                     for table in db.tables.values():
                         self.storage.vacuum(table)
 
+    def optimize(self, db: int | str, table: str) -> None:
+        """Rewrite a table of many small files as few large ones; what it holds and its rowids stay."""
+        found = self.database(db)
+        with self.lock, self._whole(found):
+            target = found.table(table)
+            if target.files:
+                target.files = self.storage.compact(target)
+                target.version += 1
+
     def get_config(self) -> configuration.Config:
         return self.config

@@ -58,7 +58,8 @@ class Table:
     next_rowid: int = 1
     next_column: int = 1
     version: int = 0
-    files: list[str] = field(default_factory=list)  # below ``folder``
+    files: list[str] = field(default_factory=list)  # below ``folder``: a write's folder and a file's name
+    written: dict[str, int] = field(default_factory=dict)  # files that each write's folder was given
 
     def column(self, name: str) -> Column:
         for c in self.columns:

@@ -33,7 +33,15 @@ class Storage:
 
     def _scan(self, table: Table, names: list[str]) -> DataFrame:
         fields = [T.StructField(ROWID, T.LongType()), *[T.StructField(c.physical, declared(c.type)) for c in table.columns]]
-        return self.spark.read.schema(T.StructType(fields)).parquet(*[f"{table.folder}/{n}" for n in names])
+        return self.spark.read.schema(T.StructType(fields)).parquet(*self._paths(table, names))
+
+    @staticmethod
+    def _paths(table: Table, names: list[str]) -> list[str]:
+        """Whole folders where all of their files are wanted, so a large table is a few paths."""
+        by_folder: dict[str, list[str]] = {}
+        for n in names:
+            by_folder.setdefault(n.split("/")[0], []).append(n)
+        return [f"{table.folder}/{p}" for folder, own in by_folder.items() for p in ([folder] if len(own) == table.written.get(folder) else own)]
 
     @staticmethod
     def _named(table: Table) -> list:
@@ -62,12 +70,20 @@ class Storage:
         for c in physical:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(f"{table.folder}/{folder}")
-        return [f"{folder}/{n}" for n in self.files.list(f"{table.folder}/{folder}") if n.startswith("part-")]
+        names = [f"{folder}/{n}" for n in self.files.list(f"{table.folder}/{folder}") if n.startswith("part-")]
+        table.written[folder] = len(names)
+        return names
 
     def cluster(self, table: Table, column: str) -> list[str]:
         """All rows rewritten in ranges of a column, so that a range of values is in few files."""
         return self.write(table, self.read(table).repartitionByRange(F.col(f"`{column}`")))
 
+    def compact(self, table: Table) -> list[str]:
+        """All rows rewritten in files of Spark's advisory size, in ranges of the first index's column if there is one."""
+        if table.indexes:
+            return self.cluster(table, table.indexes[0].columns[0])
+        return self.write(table, self.read(table).hint("rebalance"))
+
     def with_rowids(self, table: Table, rows: DataFrame) -> tuple[DataFrame, int]:
         """Rows numbered on from the table's next rowid, and how many there are.
 
@@ -92,6 +108,7 @@ class Storage:
     def vacuum(self, table: Table) -> None:
         """Delete files and drafts that are no part of the current version."""
         used = {n.split("/")[0] for n in table.files}
+        table.written = {k: v for k, v in table.written.items() if k in used}
         for name in self.files.list(table.folder):
             if name not in used:
                 self.files.delete(f"{table.folder}/{name}")

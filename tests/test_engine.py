@@ -397,6 +397,24 @@ def test_flush_keeps_what_is_read(run, engine):
     assert run("SELECT a FROM t ORDER BY a") == [(1,), (2,), (3,)]
 
 
+def test_optimize_gathers_small_files(run, engine):
+    run("CREATE TABLE t (a INTEGER, b TEXT)")
+    for i in range(5):
+        run("INSERT INTO t VALUES (?, 'x')", [i])
+    assert len(engine.database(0).table("t").files) == 5
+    tx = engine.begin(0)
+    run("DELETE FROM t WHERE a = 0", tx=tx)
+    engine.optimize(0, "t")
+    assert len(engine.database(0).table("t").files) == 1
+    engine.rollback(tx)
+    engine.flush()
+    assert run("SELECT a FROM t ORDER BY a") == [(i,) for i in range(5)]
+    run("CREATE INDEX i ON t (a)")
+    engine.optimize(0, "t")
+    engine.flush()
+    assert run("SELECT b FROM t WHERE a = 3") == [("x",)]
+
+
 def test_only_touched_files_are_rewritten(run, engine):
     run("CREATE TABLE t (a INTEGER)")
     run("INSERT INTO t VALUES (1), (2)")
