@@ -161,7 +161,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out(*kept)
 
     ordered = buckets.select("g", "key", "fp").repartition("g", "key").sortWithinPartitions("g", "key")
-    found, _ = store.materialize(ordered.mapInArrow(run, "a long, b long").distinct(), "links")
+    found, _ = store.materialize(map_arrow(ordered, run, "a long, b long").distinct(), "links")
     store.drop(spark, path)
     return found
 

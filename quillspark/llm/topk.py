@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
+from .workers import map_arrow
 
 #: Rows of a candidate block and queries of a query block; most centres, and the sample they are picked from.
 BLOCK, QUERIES, CENTRES, SAMPLE = 8192, 4096, 128, 4096
@@ -195,7 +196,7 @@ def top_k(vectors: DataFrame, k: int = 20, *, scale: float = 64.0, query_every:
             lists = pa.ListArray.from_arrays(_offsets(v), pa.array(np.floor(scale * v.flatten().to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "v"])
 
-    rows, _ = store.materialize(slim.mapInArrow(integers, "id long, v array<double>"), "vectors")
+    rows, _ = store.materialize(map_arrow(slim, integers, "id long, v array<double>"), "vectors")
     total = rows.count()
     per_dim: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect():
@@ -219,7 +220,7 @@ def top_k(vectors: DataFrame, k: int = 20, *, scale: float = 64.0, query_every:
                     who[nearer], best[nearer] = j, d[nearer]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(x), dim, np.int32)), pa.array(who), pa.array(np.sqrt(best))], ["id", "v", "dim", "c", "far"])
 
-    placed, _ = store.materialize(rows.mapInArrow(assign, "id long, v array<double>, dim int, c int, far double"), "placed")
+    placed, _ = store.materialize(map_arrow(rows, assign, "id long, v array<double>, dim int, c int, far double"), "placed")
     is_query = F.pmod("id", F.lit(query_every)) == 0
     # At most CENTRES rows for each vector length.
     groups = placed.groupBy("dim", "c").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.max(F.when(is_query, F.col("far"))).alias("query_radius"), F.count_if(is_query).alias("queries")).orderBy("dim", "c").collect()

@@ -11,6 +11,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 #: Rows of an Arrow batch: enough for array operations, few enough for long texts.
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -36,6 +38,7 @@ def release() -> None:
 
 def map_arrow(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
     """``mapInArrow`` in batches of at most BATCH_ROWS; sets the session's batch size, which bounds memory on both sides, unless it is lower."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
         conf.set(_ROWS, BATCH_ROWS)
