@@ -26,6 +26,7 @@ from .operators.dml import Changes
 from .plans import tree as t
 from .plans.parser import parse
 from .plans.render import Relation, Renderer, quote
+from .shipping import ship
 from .sources import catalog
 from .sources.fs import Files
 from .sources.kv import Log
@@ -110,6 +111,7 @@ class Engine:
         self._views = f"quill_{uuid.uuid4().hex[:8]}"
         self.log = Log(spark, self.files, f"{self.base_dir}/kv", self.config.server_id, self.config.batch_size, self.config.flush_interval_secs)
         self.definitions, self.changes = Definitions(self), Changes(self)
+        ship(spark)
         json.register(spark)
 
     # --- databases
