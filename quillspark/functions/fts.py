@@ -17,18 +17,19 @@ def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in found if len(w) > 2 and w not in STOPWORDS))
 
 
-def tokens(column: str) -> str:
-    """Spark SQL for the array of a text's tokens."""
-    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
-    return f"filter(regexp_extract_all(lower({column}), '[a-z0-9]+', 0), t -> char_length(t) > 2 AND NOT array_contains(array({stop}), t))"
+#: A token of lower-cased text that is indexed, as a pattern of Java's.
+TOKEN = "(?<![a-z0-9])(?!(?:" + "|".join(w for w in STOPWORDS if len(w) > 2) + ")(?![a-z0-9]))[a-z0-9]{3,}"
+
+
+def has(column: str, token: str) -> str:
+    """Whether a text has a token; a plain search spares most texts the pattern."""
+    return f"(contains(lower({column}), '{token}') AND lower({column}) RLIKE '(?<![a-z0-9]){token}(?![a-z0-9])')"
 
 
 def match(column: str, query: str) -> str:
     """Whether a text has all tokens of the query; no tokens, no match."""
     wanted = query_tokens(query)
-    if not wanted:
-        return "FALSE"
-    return f"coalesce(size(array_except(array({', '.join(repr(w) for w in wanted)}), {tokens(column)})) = 0, FALSE)"
+    return "coalesce(" + " AND ".join(has(column, w) for w in wanted) + ", FALSE)" if wanted else "FALSE"
 
 
 def rank(df: DataFrame, key: str, column: str, query: str) -> DataFrame:
@@ -40,14 +41,16 @@ def rank(df: DataFrame, key: str, column: str, query: str) -> DataFrame:
     has tokens are joined to them.
     """
     wanted = query_tokens(query)
-    listed = df.select(F.col(key), F.expr(tokens(f"`{column}`")).alias("tokens"))
-    has = [F.coalesce(F.array_contains("tokens", w), F.lit(False)) for w in wanted]
-    facts = listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.greatest(F.size("tokens"), F.lit(0)), F.lit(0))).alias("average"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(has)])
     if not wanted:
-        return listed.select(key, F.lit(0.0).alias("score")).limit(0)
-    share = F.size("tokens") / F.col("average")
-    score = sum((F.when(h, F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)).otherwise(0.0) for i, h in enumerate(has)), F.lit(0.0))
-    some = has[0]
-    for h in has[1:]:
-        some = some | h
+        return df.select(key, F.lit(0.0).alias("score")).limit(0)
+    marks = [f"has{i}" for i in range(len(wanted))]
+    listed = df.select(
+        F.col(key),
+        F.coalesce(F.regexp_count(F.lower(F.col(f"`{column}`")), F.lit(TOKEN)), F.lit(0)).alias("length"),
+        *[F.expr(f"coalesce({has(f'`{column}`', w)}, FALSE)").alias(m) for m, w in zip(marks, wanted)],
+    )
+    facts = listed.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(m).alias(f"df_{m}") for m in marks])
+    share = F.col("length") / F.col("average")
+    score = sum((F.when(F.col(m), F.ln((F.col("n") - F.col(f"df_{m}") + 0.5) / (F.col(f"df_{m}") + 0.5) + 1)).otherwise(0.0) for m in marks), F.lit(0.0))
+    some = F.greatest(*marks) if len(marks) > 1 else F.col(marks[0])
     return listed.where(some).crossJoin(F.broadcast(facts)).select(key, (score * (share + 0.5) / (share + 1.0)).alias("score"))
