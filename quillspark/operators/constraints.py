@@ -36,9 +36,8 @@ def row_facts(new: DataFrame, table: Table, check: Callable[[str], str]) -> dict
     """
     required = {c.name for c in table.columns if c.not_null} | set(table.primary)
     conditions = [c.check for c in table.columns if c.check] + table.checks
-    checked = new
     key = table.integer_key
-    return checked.agg(
+    return new.agg(
         F.count(F.lit(1)).alias("rows"),
         (F.max(f"`{key}`") if key else F.lit(None).cast("long")).alias("highest"),
         *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null {c}") for c in sorted(required)],
