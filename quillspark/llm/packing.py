@@ -79,14 +79,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def _worker(file: str) -> tuple[WordBPE, Cache]:
-    """The tokenizers library's model encodes each distinct word; caches repeat its ids, by word and by stretch of text."""
+    """The tokenizers library's model encodes each distinct word; the cache repeats its ids."""
 
     def make():
         from tokenizers import Tokenizer
 
         model, bpe = Tokenizer.from_file(file).model, WordBPE(file)
-        words = Cache(lambda w: np.array([t.id for t in model.tokenize(bpe.symbols(w))], "<u4").tobytes())
-        return bpe, Cache(lambda c: b"".join(map(words.__getitem__, bpe.split(c))))
+        return bpe, Cache(bpe.split, lambda w: np.array([t.id for t in model.tokenize(bpe.symbols(w))], "<u4").tobytes(), b"".join)
 
     return kept(("packing", file), make)
 

@@ -123,16 +123,21 @@ class WordBPE:
 
 
 class Cache(dict):
-    """key -> make(key), of the last CACHE_WORDS to twice as many keys; long ones aren't kept."""
+    """What chunks of text encode to, for the last CACHE_WORDS to twice as many of them; long ones aren't kept.
 
-    def __init__(self, make: Callable):
+    ``encode`` works on a normalized word, ``join`` puts words' results together. A word that is its
+    own and only word as a chunk, as nearly all are, shares the cache with chunks.
+    """
+
+    def __init__(self, split: Callable, encode: Callable, join: Callable):
         super().__init__()
-        self.make, self.old = make, {}
+        self.split, self.encode, self.join, self.old = split, encode, join, {}
 
     def __missing__(self, chunk: str):
         value = self.old.get(chunk)
         if value is None:
-            value = self.make(chunk)
+            words = self.split(chunk)
+            value = self.encode(chunk) if words == [chunk] else self.join([self[w] if w.isascii() or self.split(w) == [w] else self.encode(w) for w in words])
         if len(chunk) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
@@ -146,8 +151,7 @@ def _worker(file: str) -> tuple[WordBPE, Cache, dict]:
 
     def make():
         bpe = WordBPE(file)
-        words = Cache(lambda w: " ".join(map(str, bpe.word(w))))
-        return bpe, Cache(lambda c: " ".join(map(words.__getitem__, bpe.split(c)))), {str(i): s for i, s in bpe.strings.items()}
+        return bpe, Cache(bpe.split, lambda w: " ".join(map(str, bpe.word(w))), " ".join), {str(i): s for i, s in bpe.strings.items()}
 
     return kept(("word_bpe", file), make)
 

@@ -57,9 +57,9 @@ def test_merge_order_against_rescanning():
 
 def test_small_cache_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(word_bpe, "CACHE_WORDS", 3)
-    cache = word_bpe.Cache(len)
-    words = ["a", "bb", "ccc", "dddd", "eeeee", "a", "bb"] * 4 + ["z" * 100]
-    assert [cache[w] for w in words] == [len(w) for w in words] and len(cache) <= 3 and len(cache.old) <= 3
+    cache = word_bpe.Cache(lambda c: c.lower().split("-"), lambda w: f"<{w}>", "".join)
+    words = ["a", "bb", "B-a", "dddd", "eeeee", "a-A", "bb"] * 4 + ["z" * 100]
+    assert [cache[w] for w in words] == ["".join(f"<{x}>" for x in w.lower().split("-")) for w in words] and len(cache) <= 4 and len(cache.old) <= 4
 
 
 def place(counts, capacity):
