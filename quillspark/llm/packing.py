@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -85,7 +86,7 @@ def _worker(file: str) -> tuple[WordBPE, Cache]:
         from tokenizers import Tokenizer
 
         model, bpe = Tokenizer.from_file(file).model, WordBPE(file)
-        return bpe, Cache(bpe.split, lambda w: np.array([t.id for t in model.tokenize(bpe.symbols(w))], "<u4").tobytes(), b"".join)
+        return bpe, Cache(bpe.split, lambda w: struct.pack(f"<{len(ids := [t.id for t in model.tokenize(bpe.symbols(w))])}I", *ids), b"".join)
 
     return kept(("packing", file), make)
 

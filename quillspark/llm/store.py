@@ -22,7 +22,7 @@ _open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open",
 
 def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder; refuses a machine-local stand-in on a cluster."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     master = spark.sparkContext.master

@@ -22,6 +22,8 @@ from .workers import kept, map_arrow
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
+_MARKS = frozenset(".,;:!?")
+
 CACHE_WORDS = 250_000
 
 
@@ -90,7 +92,13 @@ class WordBPE:
         """Normalized words of a stretch of text without white space."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower-casing is by character, without final sigma
-        return self.words.findall(chunk.lower())
+        chunk = chunk.lower()
+        # The two commonest shapes, without the pattern: letters alone, and with a mark behind them.
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.words.findall(chunk)
 
     def word(self, word: str) -> list[int]:
         """Ids of a normalized word."""
