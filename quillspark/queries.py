@@ -22,7 +22,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or on one machine a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     base = shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return f"{base}/quillspark/engine-{uuid.uuid4().hex}"
 
