@@ -16,7 +16,7 @@ from .workers import map_arrow
 
 #: Rows of a candidate block and queries of a query block; most centres, and the sample they are picked from.
 BLOCK, QUERIES, CENTRES, SAMPLE = 8192, 4096, 128, 4096
-LEAF = 128
+LEAF = 512
 _NONE = np.iinfo(np.int64).min
 
 
@@ -114,10 +114,14 @@ class Best:
             self.score[q], self.id[q] = s[order], d[order]
 
 
+def _reach(a: np.ndarray, b: np.ndarray) -> float:
+    """No partial sum of inner products of rows is larger."""
+    return float(np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]))
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of whole-number doubles, clipped to longs."""
-    reach = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
-    if reach < 2**53:
+    if _reach(a, b) < 2**53:
         return (a @ b.T).astype(np.int64)
     exact = np.vectorize(int, otypes=[object])(a) @ np.vectorize(int, otypes=[object])(b).T
     return np.vectorize(lambda v: min(max(v, -(2**63) + 1), 2**63 - 1), otypes=[np.int64])(exact)
@@ -126,6 +130,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> Best:
     """Descend both trees together, best bounds first; drop a pair of nodes whose bound is below the query node's worst kth score."""
     best = Best(len(queries), k, floor)
+    exact = _reach(queries, candidates) < 2**53  # doubles hold every product
     a, b = cover_tree(queries, leaf=LEAF // 2), cover_tree(candidates)
     stack = [(bound(a, b), a, b)] if a and b else []
     while stack:
@@ -137,7 +142,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, c
                 rows = q.rows[at : at + 512]
                 for to in range(0, len(c.rows), 4096):
                     own = c.rows[to : to + 4096]
-                    score = products(queries[rows], candidates[own])
+                    score = (queries[rows] @ candidates[own].T).astype(np.int64) if exact else products(queries[rows], candidates[own])
                     score[query_ids[rows][:, None] == ids[own][None, :]] = _NONE
                     best.offer(rows, score, ids[own])
             continue
