@@ -173,7 +173,7 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
             keys, at, n = _sum_by(keys_of(grams), n)
             grams = grams[at]
             _save(where, f"{shard}.key", keys)
-            _save(where, f"{shard}.n", n.astype(np.uint32) if n.max() < 2**32 else n)
+            _save(where, f"{shard}.n", n.astype(np.min_scalar_type(n.max())))
             facts = [n.sum(), *[(n == k).sum() for k in (1, 2, 3, 4)], (n >= 3).sum()]
             out.append((_FACTS, level, 0, 6, _pack(np.array(facts, np.int64))))
             if level > 1:
