@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import math
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,11 @@ from . import store
 from .simhash import words
 from .workers import kept, map_arrow
 
-ORDER = 2
+ORDER = 3
 #: Tokens that a counting task holds before it passes on what it has, and n-grams that a shard aims at.
 TOKENS_AT_ONCE, SHARD_NGRAMS = 4_000_000, 2_000_000
+#: Runs that each count a range of shards, so that only its part of the n-grams is in flight at once.
+PASSES = 4
 _SCORE_TOKENS = 1_000_000
 # No word holds a space, so these are no word's bytes.
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(b)) for b in (b" begin", b" end"))
@@ -39,6 +44,15 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return x
 
 
+def gram_keys(grams: np.ndarray, shards: int) -> np.ndarray:
+    """As ``keys_of``, but from three words on the context's hash names the shard, so that all n-grams of a context meet there."""
+    keys = keys_of(grams)
+    if grams.shape[1] < 3 or shards == 1:
+        return keys
+    low = np.uint64(64 - int(math.log2(shards)))
+    return (keys_of(grams[:, :-1]) >> low << low) | (keys & (np.uint64(1) << low) - np.uint64(1))
+
+
 def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of the n-gram that ends at each token (tokens x order), and the tokens of each text."""
     digest, flat, sizes = xxhash.xxh64_intdigest, [], []
@@ -62,23 +76,55 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], order[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """In the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Rows in order of their words, which become places in a list of the distinct ones; each column byte by byte, for the compressor."""
+    names, at = np.unique(np.concatenate(words), return_inverse=True)
+    at = at.reshape(len(words), -1)
+    order = np.lexsort(at[::-1])
+    columns = [c[order] for c in (*at, *values)]
+    columns[0] = np.diff(columns[0], prepend=0)
+    columns = [_narrow(c) for c in columns]
+    head = np.array([len(names), *[c.itemsize for c in columns]], np.int64)
+    planes = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), names.tobytes(), *planes]))
+
+
+def _unpack(blob: bytes, n: int, columns: int, width: int) -> np.ndarray:
+    """Columns of ``_pack``, of which the first ``width`` are words."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    distinct, *sizes = raw[: 8 * (columns + 1)].view(np.int64).tolist()
+    at = 8 * (columns + 1)
+    names = raw[at : at + 8 * distinct].view(np.int64)
+    at += 8 * distinct
+    out = np.empty((columns, n), np.int64)
+    for k, size in enumerate(sizes):
+        own = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(f"u{size}")[:, 0].astype(np.int64)
+        out[k] = names[np.cumsum(own) if k == 0 else own] if k < width else own
+        at += n * size
+    return out
+
+
+def _dealt(kind: int, level: int, shards: int, keys: np.ndarray, words: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple]:
+    """One row for each shard of the rows of ``words`` and ``values``, whose ``keys`` are sorted."""
+    cuts = _cuts(keys, shards)
+    for s in range(shards):
+        a, b = cuts[s], cuts[s + 1]
+        if b > a:
+            yield kind, level, s, int(b - a), _pack([c[a:b] for c in words], [c[a:b] for c in values])
 
 
-def _unpack(blob: bytes, n: int, columns: int) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(columns, n)
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray | list[int]:
+    """Where each shard begins in sorted ``keys``."""
+    return np.searchsorted(keys >> np.uint64(64 - int(math.log2(shards))), np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else [0, len(keys)]
 
 
-def _dealt(kind: int, level: int, shards: int, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
-    """One row for each shard of the rows of ``columns``, whose ``keys`` are sorted."""
-    shift = np.uint64(64 - int(math.log2(shards)))
-    cuts = np.searchsorted(keys >> shift, np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else [0, len(keys)]
-    for s in range(shards):
-        a, b = cuts[s], cuts[s + 1]
-        if b > a:
-            order = np.argsort(columns[0][a:b], kind="stable")  # equal first words together, for the compressor
-            yield kind, level, s, int(b - a), _pack(*[c[a:b][order].view(np.int64) for c in columns])
+def _facts(level: int, numbers: list[int]) -> tuple:
+    return _FACTS, level, 0, len(numbers), np.array(numbers, np.int64).tobytes()
 
 
 _ROWS = "kind int, level int, shard int, n long, blob binary"
@@ -88,13 +134,88 @@ def _table(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write a shard's file; a rerun of a lost task puts the same bytes in its place."""
+def _coded(rows: np.ndarray) -> list[np.ndarray]:
+    """A byte for each row, the places of the rows of byte 255, and the distinct rows: the commonest 255 by byte, then those of byte 255 by place."""
+    keys = keys_of(rows.astype(np.uint64))
+    distinct, at, n = _sum_by(keys, np.ones(len(keys), np.int64))
+    often = np.argsort(-n, kind="stable")[:255]
+    rank = np.full(len(distinct), 255, np.uint8)
+    rank[often] = np.arange(len(often))
+    code = rank[np.searchsorted(distinct, keys)]
+    odd = np.flatnonzero(code == 255)
+    table = np.zeros((255 + len(odd), rows.shape[1]), np.int64)
+    table[: len(often)], table[255:] = rows[at[often]], rows[odd]
+    return [code, odd.astype(np.uint32), _narrow(table).ravel()]
+
+
+def _save(folder: str, shard: int, shards: int, keys: np.ndarray, *blocks: np.ndarray) -> None:
+    """Write a shard's file; a rerun of a lost task puts the same bytes in its place.
+
+    The shard and a key's next bits, by which ``start`` finds a short run, aren't stored again: the
+    rest is in ``low`` and ``high``, so that no bit is lost. Then come the columns of each block.
+    """
+    n, taken = len(keys), int(math.log2(shards))
+    sizes = {b: (4 << b) + n * np.min_scalar_type((1 << max(0, 32 - taken - b)) - 1).itemsize for b in range(min(n.bit_length() + 1, 32 - taken))}
+    bits = min(sizes, key=sizes.get)
+    rest = 64 - taken - bits
+    start = np.searchsorted(_run(keys, taken, bits), np.arange((1 << bits) + 1))
+    high = (keys & np.uint64((1 << rest) - 1)) >> np.uint64(32)
+    arrays = [start.astype(np.uint32), keys.astype(np.uint32), high.astype(np.min_scalar_type((1 << max(0, rest - 32)) - 1))]
+    for rows in blocks:
+        arrays += _coded(rows)
     os.makedirs(folder, exist_ok=True)
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    part = f"{folder}/.{shard}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        np.save(f, array)
-    os.replace(part, f"{folder}/{name}.npy")
+        f.write(np.array([len(arrays), *[x for c in arrays for x in (c.itemsize, len(c))]], np.int64).tobytes())
+        for c in arrays:
+            f.write(c.tobytes() + bytes(-c.nbytes % 8))
+    os.replace(part, f"{folder}/{shard}")
+
+
+def _run(keys: np.ndarray, taken: int, bits: int) -> np.ndarray:
+    """The ``bits`` after the first ``taken`` of each key."""
+    return (keys << np.uint64(taken) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+class Shard:
+    """A mapped file of ``_save``."""
+
+    def __init__(self, path: str, shard: int, shards: int):
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
+        columns = int(raw[:8].view(np.int64)[0])
+        at, arrays = 8 + 16 * columns, []
+        for size, n in raw[8:at].view(np.int64).reshape(-1, 2).tolist():
+            arrays.append(raw[at : at + n * size].view(f"u{size}"))
+            at += n * size + -n * size % 8
+        self.start, self.low, self.high, *self.blocks = arrays
+        self.shard, self.taken, self.bits = shard, int(math.log2(shards)), (len(self.start) - 1).bit_length() - 1
+        self.rest = 64 - self.taken - self.bits
+
+    def _at(self, place: np.ndarray | slice) -> np.ndarray:
+        return self.high[place].astype(np.uint64) << np.uint64(32) | self.low[place]
+
+    def keys(self) -> np.ndarray:
+        run = np.repeat(np.arange(1 << self.bits, dtype=np.uint64), np.diff(self.start.astype(np.int64)))
+        return self._at(slice(None)) | run << np.uint64(self.rest % 64) | np.uint64(self.shard << (64 - self.taken) if self.taken else 0)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys there are, and the places of those."""
+        run, rest = _run(keys, self.taken, self.bits), keys & np.uint64((1 << self.rest) - 1)
+        a, b = self.start[run].astype(np.int64), self.start[run + 1].astype(np.int64)
+        ends, last = b, len(self.low) - 1
+        for _ in range(int((b - a).max(initial=0)).bit_length()):
+            middle = a + b >> 1
+            less = (a < b) & (self._at(np.minimum(middle, last)) < rest)
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+        hit = (a < ends) & (self._at(np.minimum(a, last)) == rest)
+        return hit, a[hit]
+
+    def values(self, block: int, place: np.ndarray, width: int) -> np.ndarray:
+        code, odd, table = self.blocks[3 * block : 3 * block + 3]
+        row = code[place].astype(np.int64)
+        rare = row == 255
+        row[rare] += np.searchsorted(odd, place[rare])
+        return table.reshape(-1, width)[row].astype(np.int64)
 
 
 @dataclass
@@ -131,86 +252,124 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
     Level ``order`` holds raw counts, lower levels the numbers of different words seen before an
     n-gram. A task counts its texts' n-grams in sorted arrays and passes on one compressed array
     for each shard, so the shuffle has rows by task and shard rather than by n-gram, and a frequent
-    word is a partial count from each task. Shards are ranges of the n-gram's hash; their number
-    follows the size of the texts, which bounds a shard. Each shard's hashes and counts are written
-    as sorted arrays; contexts and words go on to shards of their own hashes.
+    word is a partial count from each task. Shards are ranges of a hash of the n-gram, from three
+    words on of its context, which is whole there; their number follows the size of the texts,
+    which bounds a shard. Each shard's hashes and counts are written as sorted arrays; words, and
+    contexts of one word, go on to shards of their own hashes. Contexts of two words share the
+    hashes of level 2. Every pass reads all texts and counts its range of shards.
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     shards = 1 << max(0, math.ceil(math.log2(max(1, size / 6 / SHARD_NGRAMS))))
+    parts = min(PASSES, shards)
+    ranges = [(i * shards // parts, (i + 1) * shards // parts) for i in range(parts)]
     folder = store.new_path(spark, "ngrams")
     local = store.local_view(folder)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            grams = np.concatenate(held)
-            held.clear()
-            keys, at, n = _sum_by(keys_of(grams), np.ones(len(grams), np.int64))
-            grams = grams[at]
-            rows = list(_dealt(_GRAM, order, shards, keys, [*grams.T, n]))
-            yield pa.RecordBatch.from_arrays(_table(rows), ["kind", "level", "shard", "n", "blob"])
-
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                held.append(windows(batch.column(0).slice(a, 1000).to_pylist(), order)[0])
-                if sum(map(len, held)) >= TOKENS_AT_ONCE:
-                    yield from flush()
-        if held:
-            yield from flush()
+    joined = f"{local}/{_CONTEXT}-3"
+
+    def counting(first: int, end: int) -> Callable:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                grams = np.concatenate(held)
+                held.clear()
+                keys, at, n = _sum_by(gram_keys(grams, shards), np.ones(len(grams), np.int64))
+                grams = grams[at]
+                rows = list(_dealt(_GRAM, order, shards, keys, [*grams.T], [n]))
+                yield pa.RecordBatch.from_arrays(_table(rows), ["kind", "level", "shard", "n", "blob"])
+
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1000):
+                    grams = windows(batch.column(0).slice(a, 1000).to_pylist(), order)[0]
+                    if end - first < shards:
+                        shard = keys_of(grams[:, :-1] if order > 2 else grams) >> np.uint64(64 - int(math.log2(shards)))
+                        grams = grams[(shard >= first) & (shard < end)]
+                    held.append(grams)
+                    if sum(map(len, held)) >= TOKENS_AT_ONCE:
+                        yield from flush()
+            if held:
+                yield from flush()
+
+        return count
 
     def merge(table: pa.Table) -> pa.Table:
         """All partial arrays of one kind, level and shard."""
         kind, level, shard = (table.column(c)[0].as_py() for c in ("kind", "level", "shard"))
-        columns = {_GRAM: level + 1, _CONTEXT: 5, _TOKEN: 2}[kind]
-        parts = np.concatenate([_unpack(b.as_py(), n.as_py(), columns) for b, n in zip(table.column("blob"), table.column("n"))], axis=1)
+        columns, width = {_GRAM: (level + 1, level), _CONTEXT: (5, 1), _TOKEN: (2, 1)}[kind]
+        parts = np.concatenate([_unpack(b.as_py(), n.as_py(), columns, width) for b, n in zip(table.column("blob"), table.column("n"))], axis=1)
         out: list[tuple] = []
         where = f"{local}/{kind}-{level}"
         if kind == _GRAM:
             grams, n = parts[:-1].T.view(np.uint64), parts[-1]
-            keys, at, n = _sum_by(keys_of(grams), n)
+            keys, at, n = _sum_by(gram_keys(grams, shards), n)
             grams = grams[at]
-            _save(where, f"{shard}.key", keys)
-            _save(where, f"{shard}.n", n.astype(np.min_scalar_type(n.max())))
-            facts = [n.sum(), *[(n == k).sum() for k in (1, 2, 3, 4)], (n >= 3).sum()]
-            out.append((_FACTS, level, 0, 6, _pack(np.array(facts, np.int64))))
+            if level == 2 < order:
+                stored, sums = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+                if os.path.exists(f"{joined}/{shard}"):
+                    file = Shard(f"{joined}/{shard}", shard, shards)
+                    stored = file.keys()
+                    sums = file.values(0, np.arange(len(stored)), 4)
+                both = np.union1d(keys, stored)
+                counts, contexts = np.zeros((len(both), 1), np.int64), np.zeros((len(both), 4), np.int64)
+                counts[np.searchsorted(both, keys), 0] = n
+                contexts[np.searchsorted(both, stored)] = sums
+                _save(where, shard, shards, both, counts, contexts)
+            else:
+                _save(where, shard, shards, keys, n[:, None])
+            out.append(_facts(level, [n.sum(), *[(n == k).sum() for k in (1, 2, 3, 4)], (n >= 3).sum()]))
             if level > 1:
                 context, _, *sums = _sum_by(keys_of(grams[:, :-1]), n, *[(n == k).astype(np.int64) for k in (1, 2)], (n >= 3).astype(np.int64))
-                out += _dealt(_CONTEXT, level, shards, context, [context, *sums])
-                suffix, at, types = _sum_by(keys_of(grams[:, 1:]), np.ones(len(n), np.int64))
-                out += _dealt(_GRAM, level - 1, shards, suffix, [*grams[at, 1:].T, types])
+                if level > 2:
+                    _save(f"{local}/{_CONTEXT}-{level}", shard, shards, context, np.stack(sums, 1))
+                else:
+                    out += _dealt(_CONTEXT, level, shards, context, [context], sums)
+                suffix, at, types = _sum_by(gram_keys(grams[:, 1:], shards), np.ones(len(n), np.int64))
+                out += _dealt(_GRAM, level - 1, shards, suffix, [*grams[at, 1:].T], [types])
             if level == order:
                 token, _, seen = _sum_by(keys_of(grams[:, -1:]), n)
-                out += _dealt(_TOKEN, 1, shards, token, [token, seen])
+                out += _dealt(_TOKEN, 1, shards, token, [token], [seen])
         else:
             keys, _, *sums = _sum_by(parts[0].view(np.uint64), *parts[1:])
-            _save(where, f"{shard}.key", keys)
-            _save(where, f"{shard}.n", np.stack(sums, 1) if kind == _CONTEXT else sums[0])
+            _save(where, shard, shards, keys, np.stack(sums, 1))
             if kind == _TOKEN:
-                out.append((_FACTS, 0, 0, 2, _pack(np.array([len(keys), sums[0].sum()], np.int64))))
+                out.append(_facts(0, [len(keys), sums[0].sum()]))
         return pa.table(_table(out), names=["kind", "level", "shard", "n", "blob"])
 
     levels = {k: Level() for k in range(1, order + 1)}
     model = Model(local, order, shards, levels, 0, 0)
-    now, path = map_arrow(slim, count, _ROWS), None
-    while path is None or not now.isEmpty():
-        rows, to = store.materialize(now.groupBy("kind", "level", "shard").applyInArrow(merge, _ROWS), "partials")
-        if path:
+    sources, paths, level = [map_arrow(slim, counting(*r), _ROWS) for r in ranges], [], order
+    while sources:
+        before, paths, tables = paths, [], []
+        for i, source in enumerate(sources):
+            rows, path = store.materialize(source.groupBy("kind", "level", "shard").applyInArrow(merge, _ROWS), "partials")
+            paths.append(path)
+            tables.append(rows)
+            # A row of six numbers for each shard that was merged.
+            for r in rows.where(F.col("kind") == _FACTS).collect():
+                facts = np.frombuffer(bytes(r["blob"]), np.int64).tolist()
+                if r["level"]:
+                    own = levels[r["level"]]
+                    own.total += facts[0]
+                    own.of = [x + y for x, y in zip(own.of, facts[1:])]
+                else:
+                    model.vocabulary += facts[0]
+                    model.tokens += facts[1]
+            if level == 2 < order:
+                for shard in range(*ranges[i]):
+                    with contextlib.suppress(FileNotFoundError):
+                        os.remove(f"{joined}/{shard}")
+            # Shuffle files go when the driver's JVM finds their shuffle unused.
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+        for path in before:
             store.drop(spark, path)
-        path, now = to, rows.where(F.col("kind") != _FACTS)
-        # A row of six numbers for each shard that was merged.
-        for r in rows.where(F.col("kind") == _FACTS).collect():
-            facts = _unpack(bytes(r["blob"]), 1, r["n"])[:, 0].tolist()
-            if r["level"]:
-                own = levels[r["level"]]
-                own.total += facts[0]
-                own.of = [x + y for x, y in zip(own.of, facts[1:])]
-            else:
-                model.vocabulary += facts[0]
-                model.tokens += facts[1]
-    store.drop(spark, path)
+        level -= 1
+        now = reduce(DataFrame.unionByName, tables).where(F.col("kind") != _FACTS)
+        sources = [] if now.isEmpty() else [now.where(F.col("shard").between(a, b - 1)) for a, b in ranges] if level > 1 else [now]
+    for path in paths:
+        store.drop(spark, path)
     return model
 
 
@@ -220,25 +379,23 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.open = model, {}
 
-    def _shard(self, name: str, shard: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def _shard(self, name: str, shard: int) -> Shard | None:
         if (name, shard) not in self.open:
-            at = f"{self.model.folder}/{name}/{shard}"
-            self.open[name, shard] = (np.load(f"{at}.key.npy", mmap_mode="r"), np.load(f"{at}.n.npy", mmap_mode="r")) if os.path.exists(f"{at}.key.npy") else None
+            path = f"{self.model.folder}/{name}/{shard}"
+            self.open[name, shard] = Shard(path, shard, self.model.shards) if os.path.exists(path) else None
         return self.open[name, shard]
 
-    def find(self, kind: int, level: int, keys: np.ndarray, width: int = 0) -> np.ndarray:
+    def find(self, kind: int, level: int, keys: np.ndarray, width: int = 1) -> np.ndarray:
         """The values of sorted, distinct ``keys``; zeros where there are none."""
-        out = np.zeros((len(keys), width) if width else len(keys), np.int64)
-        shards = self.model.shards
-        cuts = np.searchsorted(keys >> np.uint64(64 - int(math.log2(shards))), np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else [0, len(keys)]
-        for s in range(shards):
+        out = np.zeros((len(keys), width), np.int64)
+        name, block = (f"{_GRAM}-2", 1) if (kind, level) == (_CONTEXT, 3) else (f"{kind}-{level}", 0)
+        cuts = _cuts(keys, self.model.shards)
+        for s in range(self.model.shards):
             a, b = cuts[s], cuts[s + 1]
-            if b > a and (pair := self._shard(f"{kind}-{level}", s)):
-                stored, values = pair
-                at = np.minimum(np.searchsorted(stored, keys[a:b]), len(stored) - 1)
-                hit = stored[at] == keys[a:b]
-                out[a:b][hit] = values[at[hit]]
-        return out
+            if b > a and (file := self._shard(name, s)):
+                hit, place = file.places(keys[a:b])
+                out[a:b][hit] = file.values(block, place, width)
+        return out if width > 1 else out[:, 0]
 
     def scores(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each row's last word after the others, and that word's count in training."""
@@ -260,7 +417,7 @@ class Reader:
             context = self.find(_CONTEXT, k, keys, 4)
             share = np.where(context[:, 0] > 0, (context[:, 1:] * d[1:]).sum(1) / np.maximum(context[:, 0], 1), 1.0)
             total, share = context[back, 0], share[back]
-            keys, back = np.unique(keys_of(grams[:, -k:]), return_inverse=True)
+            keys, back = np.unique(gram_keys(grams[:, -k:], model.shards), return_inverse=True)
             n = self.find(_GRAM, k, keys)[back]
             p = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + share * p
         return np.log10(p), seen

@@ -112,3 +112,37 @@ def test_windows_stay_in_their_text():
     assert sizes.tolist() == [3, 1, 2] and grams.shape == (6, 3)
     assert (grams[[0, 3, 4], :2] == kn.BEGIN).all() and (grams[[2, 3, 5], 2] == kn.END).all()
     assert grams[5, 0] == kn.BEGIN and len(np.unique(kn.keys_of(grams))) == 6
+
+
+def test_the_query_scores_by_two_words_before(spark, monkeypatch):
+    assert kn.ORDER == 3
+    monkeypatch.setattr(kn, "SHARD_NGRAMS", 300)
+    texts = make()
+    brute = Brute([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    rows = kn.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts) and all(math.isclose(r["score"], brute.score(texts[r["doc_id"]]), rel_tol=1e-9) for r in rows)
+
+
+def test_order_four_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(kn, "SHARD_NGRAMS", 200)
+    texts = make(100)
+    brute = Brute([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], 4)
+    for passes in (1, 3):
+        monkeypatch.setattr(kn, "PASSES", passes)
+        rows = kn.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
+        assert all(math.isclose(r["score"], brute.score(texts[r["doc_id"]]), rel_tol=1e-9) for r in rows)
+
+
+@pytest.mark.parametrize(("n", "shards"), [(1, 1), (1000, 1), (100_000, 8)])
+def test_files_keep_every_bit(tmp_path, n, shards):
+    rng = np.random.default_rng(n)
+    shard = shards - 1
+    bits = int(math.log2(shards))
+    keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) >> np.uint64(bits) | np.uint64(shard << (64 - bits) if bits else 0))
+    values = [rng.zipf(1.3, (len(keys), w)).clip(0, 10**12) for w in (1, 4)]
+    kn._save(str(tmp_path), shard, shards, keys, *values)
+    file = kn.Shard(f"{tmp_path}/{shard}", shard, shards)
+    hit, place = file.places(keys)
+    assert hit.all() and (place == np.arange(len(keys))).all() and (file.keys() == keys).all()
+    assert not file.places(keys ^ np.uint64(1))[0][~np.isin(keys ^ np.uint64(1), keys)].any()
+    assert all((file.values(b, place, v.shape[1]) == v).all() for b, v in enumerate(values))
