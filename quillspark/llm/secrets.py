@@ -24,6 +24,9 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: What the models look at: runs of these characters, of a length at which chance rarely misleads.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+#: Where a run is cut, and its parts with the cuts before them.
+PART, CUT_PART = re.compile(r"[^/_=-]{20,}"), re.compile(r"[/_=-]*[^/_=-]+[/_=-]*\Z|[/_=-]*[^/_=-]+")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _INDEX = np.full(128, 0, np.int64)
 _INDEX[[ord(c) for c in _ALPHABET]] = np.arange(1, len(_ALPHABET) + 1)
@@ -106,6 +109,35 @@ class MarkovPair:
     def is_secret(self, s: str) -> bool:
         return self.score(s) > self.threshold
 
+    def secrets(self, run: str, at: int = 0) -> list[tuple[int, int]]:
+        """The whole run if it is a secret, else its stretches and parts that are; (start, end), moved by ``at``."""
+        if self.is_secret(run):
+            return [(at, at + len(run))]
+        out = [s for s in self._stretches(run) if s[1] - s[0] >= LEAST and self.is_secret(run[slice(*s)])]
+        parts = ((m.start(), m.end()) for m in PART.finditer(run))
+        out += [(a, b) for a, b in parts if not any(s < b and a < e for s, e in out) and self.is_secret(run[a:b])]
+        return sorted((a + at, b + at) for a, b in out)
+
+    def _stretches(self, run: str) -> list[tuple[int, int]]:
+        """Disjoint stretches of neighbouring parts whose sum above the threshold rises highest before it falls below 0."""
+        x = self._encode(run)
+        above = np.concatenate([[0.0], np.cumsum(self.ratio[x[:-2], x[1:-1], x[2:]] - self.threshold)])
+        out, first, peak, best = [], None, 0.0, 0
+        for m in CUT_PART.finditer(run):
+            start = m.start() + len(m[0]) - len(m[0].lstrip("/_=-"))
+            if first is None:
+                first, peak, best = start, 0.0, start
+            total = above[m.end()] - above[first]
+            if total > peak:
+                peak, best = total, m.end()
+            if total < 0:
+                if peak > 0:
+                    out.append((first, best))
+                first = None
+        if first is not None and peak > 0:
+            out.append((first, best))
+        return out
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base scan, in order; code points, end exclusive."""
@@ -115,10 +147,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _free(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the sorted ``spans`` leave of a run, where it has a candidate's length."""
+    for s, _, e in spans:
+        if s < end and start < e:
+            if s - start >= LEAST:
+                yield start, s
+            start = e
+    if end - start >= LEAST:
+        yield start, end
+
+
 def all_spans(text: str, models: MarkovPair) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those with what the models add outside of them."""
     base = base_spans(text)
-    added = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base) and models.is_secret(m[0])]
+    added = [(a, 3, b) for m in CANDIDATE.finditer(text) for start, end in _free(m.start(), m.end(), base) for a, b in models.secrets(text[start:end], start)]
     return base, sorted(base + added)
 
 

@@ -79,3 +79,13 @@ def test_redaction_keeps_rows_and_columns(spark):
     out = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
     assert len(out) == len(TEXTS) and out[0]["text"] is None and out[11]["text"] == TEXTS[11] and out[13]["text"] == TEXTS[13]
     assert out[2]["text"] == "[SECRET]" and out[4]["text"] == "[SECRET]" and out[12]["text"] == "key [SECRET]" and out[3]["lang"] == "en"
+
+
+def test_random_parts_of_longer_runs():
+    models = secrets.train()
+    key, hexes, path = "Zx81kQpW0vLm39TtYbNc7RrE2aUd5HsJ", "0123456789abcdef" * 2, "/usr/local/share/documents/archive/application/configuration/manager/"
+    for text in (path + key, f"see {path}{key}/documents/archive/application/configuration", f"{hexes}_{key}", f"{key}={hexes}"):
+        assert key not in secrets.redact(text, secrets.all_spans(text, models)[1])
+        assert "documents" in secrets.redact(text, secrets.all_spans(text, models)[1]) or "documents" not in text
+    fresh = [s for s, y in secrets.labelled_samples(2000, 99) if not y]
+    assert sum(bool(models.secrets(s)) for s in fresh) <= 0.01 * len(fresh)
