@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import math
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,14 +23,18 @@ from .simhash import words
 from .workers import kept, map_arrow
 
 ORDER = 3
-#: Tokens that a counting task holds before it passes on what it has, and n-grams that a shard aims at.
-TOKENS_AT_ONCE, SHARD_NGRAMS = 4_000_000, 2_000_000
+#: Tokens that a counting task holds before it passes on what it has, n-grams that a shard aims at, and the count from which a word is hot.
+TOKENS_AT_ONCE, SHARD_NGRAMS, HOT = 4_000_000, 2_000_000, 1_000_000
 #: Runs that each count a range of shards, so that only its part of the n-grams is in flight at once.
 PASSES = 4
+#: Ranges of shards to which a task deals; with more shards, ranges are dealt again, by SALTS tasks each.
+FAN, SALTS = 512, 16
+#: Shard files that a worker has mapped at once.
+MAPS = 128
 _SCORE_TOKENS = 1_000_000
 # No word holds a space, so these are no word's bytes.
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(b)) for b in (b" begin", b" end"))
-_GRAM, _CONTEXT, _TOKEN, _FACTS = range(4)
+_GRAM, _CONTEXT, _TOKEN, _FACTS, _HOT = range(5)
 
 
 def keys_of(grams: np.ndarray) -> np.ndarray:
@@ -44,13 +48,54 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_keys(grams: np.ndarray, shards: int) -> np.ndarray:
-    """As ``keys_of``, but from three words on the context's hash names the shard, so that all n-grams of a context meet there."""
-    keys = keys_of(grams)
-    if grams.shape[1] < 3 or shards == 1:
-        return keys
-    low = np.uint64(64 - int(math.log2(shards)))
-    return (keys_of(grams[:, :-1]) >> low << low) | (keys & (np.uint64(1) << low) - np.uint64(1))
+class Layout:
+    """Which shard holds what. Levels ``order``, ``order`` - 2 ... are primary, the others secondary.
+
+    A primary n-gram of three words and more lies in the shard of its core, the words but the first
+    and last. So a shard has all n-grams around a core, and with them, whole, their contexts, the
+    n-grams one shorter that end them and the contexts of those. Any other n-gram of two words and
+    more lies in the shard of its context. A core or context of hot words alone would overfill a
+    shard: its n-grams lie by their own hash, and what is counted by core or context is summed from
+    partial counts. Every other core holds a word that isn't hot, which bounds its n-grams.
+    """
+
+    def __init__(self, order: int, shards: int, hot: np.ndarray):
+        self.order, self.shards, self.hot, self.taken = order, shards, hot, int(math.log2(shards))
+
+    @classmethod
+    def of(cls, folder: str, order: int, shards: int) -> Layout:
+        """With the hot words of a model's folder."""
+        return cls(order, shards, np.fromfile(f"{folder}/hot", np.uint64))
+
+    def primary(self, level: int) -> bool:
+        return (self.order - level) % 2 == 0
+
+    def keys(self, kind: int, level: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of word hashes, keys whose top bits name the shard, and which are hot."""
+        own, hot = keys_of(grams), np.zeros(len(grams), bool)
+        if kind == _TOKEN or level == 1:
+            return own, hot
+        core = grams[:, :-1] if kind == _GRAM else grams
+        if self.primary(level) and level > 2:
+            core = core[:, 1:]
+        at = np.minimum(np.searchsorted(self.hot, core), len(self.hot) - 1)
+        hot = (self.hot[at] == core).all(1)
+        if not self.taken:
+            return own, hot
+        low = np.uint64(64 - self.taken)
+        return np.where(hot, own, keys_of(core)) >> low << low | own & (np.uint64(1) << low) - np.uint64(1), hot
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.taken)).astype(np.int64) if self.taken else np.zeros(len(keys), np.int64)
+
+    def per_row(self) -> int:
+        """Shards to a row of partial counts, so that a task deals to FAN ranges at most."""
+        return -(-self.shards // FAN)
+
+
+def _turn(level: int) -> list[int]:
+    """Columns of an n-gram with the core first, which shards share."""
+    return [*range(1, level - 1), 0, level - 1] if level > 2 else list(range(level))
 
 
 def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,29 +154,56 @@ def _unpack(blob: bytes, n: int, columns: int, width: int) -> np.ndarray:
     return out
 
 
-def _dealt(kind: int, level: int, shards: int, keys: np.ndarray, words: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple]:
-    """One row for each shard of the rows of ``words`` and ``values``, whose ``keys`` are sorted."""
-    cuts = _cuts(keys, shards)
-    for s in range(shards):
-        a, b = cuts[s], cuts[s + 1]
-        if b > a:
-            yield kind, level, s, int(b - a), _pack([c[a:b] for c in words], [c[a:b] for c in values])
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal ``values``."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
+    return ((int(values[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def _dealt(kind: int, level: int, ranges: np.ndarray, words: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple]:
+    """One row for each of the sorted ``ranges`` of shards of the rows of ``words`` and ``values``."""
+    for r, a, b in _runs(ranges):
+        yield kind, level, r, b - a, _pack([c[a:b] for c in words], [c[a:b] for c in values])
+
 
+def _facts(level: int, numbers: list[int]) -> list[tuple]:
+    """A row for each number, to be summed over all shards."""
+    return [(_FACTS, level, i, int(x), None) for i, x in enumerate(numbers)]
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray | list[int]:
-    """Where each shard begins in sorted ``keys``."""
-    return np.searchsorted(keys >> np.uint64(64 - int(math.log2(shards))), np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else [0, len(keys)]
 
+def _counts_of_counts(n: np.ndarray) -> list[int]:
+    return [n.sum(), *[(n == k).sum() for k in (1, 2, 3, 4)], (n >= 3).sum()]
 
-def _facts(level: int, numbers: list[int]) -> tuple:
-    return _FACTS, level, 0, len(numbers), np.array(numbers, np.int64).tobytes()
+
+def _parts(kind: int, level: int, rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Word hashes (or contexts' keys) and values of rows (n, blob) of one kind and level."""
+    columns, width = {_GRAM: (level + 1, level), _CONTEXT: (level + 3, level - 1), _TOKEN: (2, 1)}[kind]
+    parts = np.concatenate([_unpack(blob, n, columns, width) for n, blob in rows], axis=1)
+    found = parts[:width].view(np.uint64)
+    if kind == _GRAM:
+        found = found[np.argsort(_turn(level))]
+    return found.T, list(parts[width:])
+
+
+def _rows_of(layout: Layout, kind: int, level: int, grams: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows of partial counts of ``grams``, repeats summed, for ranges of ``layout.per_row()`` shards."""
+    keys, at, *sums = _sum_by(layout.keys(kind, level, grams)[0], *values)
+    columns = grams[at].T
+    return _dealt(kind, level, layout.shard(keys) // layout.per_row(), [columns[j] for j in _turn(level)] if kind == _GRAM else [*columns], sums)
 
 
 _ROWS = "kind int, level int, shard int, n long, blob binary"
 
 
-def _table(rows: list[tuple]) -> list[pa.Array]:
-    return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
+_NAMES, _TYPES = ["kind", "level", "shard", "n", "blob"], (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
+
+
+def _arrow(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
 
 
 def _coded(rows: np.ndarray) -> list[np.ndarray]:
@@ -148,28 +220,28 @@ def _coded(rows: np.ndarray) -> list[np.ndarray]:
     return [code, odd.astype(np.uint32), _narrow(table).ravel()]
 
 
-def _save(folder: str, shard: int, shards: int, keys: np.ndarray, *blocks: np.ndarray) -> None:
-    """Write a shard's file; a rerun of a lost task puts the same bytes in its place.
+def _save(path: str, taken: int, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Write a shard's tables of sorted keys and rows of values; a rerun of a lost task puts the same bytes in its place.
 
-    The shard and a key's next bits, by which ``start`` finds a short run, aren't stored again: the
-    rest is in ``low`` and ``high``, so that no bit is lost. Then come the columns of each block.
+    The ``taken`` top bits, which the shard tells, and a key's next bits, by which ``start`` finds a
+    short run, aren't stored again: the rest is in ``low`` and ``high``, so that no bit is lost.
     """
-    n, taken = len(keys), int(math.log2(shards))
-    sizes = {b: (4 << b) + n * np.min_scalar_type((1 << max(0, 32 - taken - b)) - 1).itemsize for b in range(min(n.bit_length() + 1, 32 - taken))}
-    bits = min(sizes, key=sizes.get)
-    rest = 64 - taken - bits
-    start = np.searchsorted(_run(keys, taken, bits), np.arange((1 << bits) + 1))
-    high = (keys & np.uint64((1 << rest) - 1)) >> np.uint64(32)
-    arrays = [start.astype(np.uint32), keys.astype(np.uint32), high.astype(np.min_scalar_type((1 << max(0, rest - 32)) - 1))]
-    for rows in blocks:
-        arrays += _coded(rows)
-    os.makedirs(folder, exist_ok=True)
-    part = f"{folder}/.{shard}.{uuid.uuid4().hex}"
+    arrays = []
+    for keys, rows in tables:
+        n = len(keys)
+        sizes = {b: (4 << b) + n * np.min_scalar_type((1 << max(0, 32 - taken - b)) - 1).itemsize for b in range(min(n.bit_length() + 1, 32 - taken))}
+        bits = min(sizes, key=sizes.get)
+        rest = 64 - taken - bits
+        start = np.searchsorted(_run(keys, taken, bits), np.arange((1 << bits) + 1))
+        high = (keys & np.uint64((1 << rest) - 1)) >> np.uint64(32)
+        arrays += [start.astype(np.uint32), keys.astype(np.uint32), high.astype(np.min_scalar_type((1 << max(0, rest - 32)) - 1)), *_coded(rows)]
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         f.write(np.array([len(arrays), *[x for c in arrays for x in (c.itemsize, len(c))]], np.int64).tobytes())
         for c in arrays:
             f.write(c.tobytes() + bytes(-c.nbytes % 8))
-    os.replace(part, f"{folder}/{shard}")
+    os.replace(part, path)
 
 
 def _run(keys: np.ndarray, taken: int, bits: int) -> np.ndarray:
@@ -177,32 +249,28 @@ def _run(keys: np.ndarray, taken: int, bits: int) -> np.ndarray:
     return (keys << np.uint64(taken) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-class Shard:
-    """A mapped file of ``_save``."""
+def _path(folder: str, name: str, shard: int) -> str:
+    return f"{folder}/{name}/{shard >> 10}/{shard}"
 
-    def __init__(self, path: str, shard: int, shards: int):
-        raw = np.asarray(np.memmap(path, np.uint8, "r"))
-        columns = int(raw[:8].view(np.int64)[0])
-        at, arrays = 8 + 16 * columns, []
-        for size, n in raw[8:at].view(np.int64).reshape(-1, 2).tolist():
-            arrays.append(raw[at : at + n * size].view(f"u{size}"))
-            at += n * size + -n * size % 8
-        self.start, self.low, self.high, *self.blocks = arrays
-        self.shard, self.taken, self.bits = shard, int(math.log2(shards)), (len(self.start) - 1).bit_length() - 1
-        self.rest = 64 - self.taken - self.bits
 
-    def _at(self, place: np.ndarray | slice) -> np.ndarray:
-        return self.high[place].astype(np.uint64) << np.uint64(32) | self.low[place]
+class Table:
+    """Look-ups in the arrays of one table of ``_save``."""
 
-    def keys(self) -> np.ndarray:
-        run = np.repeat(np.arange(1 << self.bits, dtype=np.uint64), np.diff(self.start.astype(np.int64)))
-        return self._at(slice(None)) | run << np.uint64(self.rest % 64) | np.uint64(self.shard << (64 - self.taken) if self.taken else 0)
+    def __init__(self, taken: int, start: np.ndarray, low: np.ndarray, high: np.ndarray, code: np.ndarray, odd: np.ndarray, rows: np.ndarray):
+        self.start, self.low, self.high, self.code, self.odd, self.rows = start, low, high, code, odd, rows
+        self.taken, self.bits = taken, (len(start) - 1).bit_length() - 1
+        self.rest = 64 - taken - self.bits
+
+    def _at(self, place: np.ndarray) -> np.ndarray:
+        return self.high[place].astype(np.uint64) << np.uint64(32) | self.low[place]
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys there are, and the places of those."""
         run, rest = _run(keys, self.taken, self.bits), keys & np.uint64((1 << self.rest) - 1)
         a, b = self.start[run].astype(np.int64), self.start[run + 1].astype(np.int64)
         ends, last = b, len(self.low) - 1
+        if last < 0:
+            return np.zeros(len(keys), bool), a[:0]
         for _ in range(int((b - a).max(initial=0)).bit_length()):
             middle = a + b >> 1
             less = (a < b) & (self._at(np.minimum(middle, last)) < rest)
@@ -210,12 +278,22 @@ class Shard:
         hit = (a < ends) & (self._at(np.minimum(a, last)) == rest)
         return hit, a[hit]
 
-    def values(self, block: int, place: np.ndarray, width: int) -> np.ndarray:
-        code, odd, table = self.blocks[3 * block : 3 * block + 3]
-        row = code[place].astype(np.int64)
+    def values(self, place: np.ndarray, width: int) -> np.ndarray:
+        row = self.code[place].astype(np.int64)
         rare = row == 255
-        row[rare] += np.searchsorted(odd, place[rare])
-        return table.reshape(-1, width)[row].astype(np.int64)
+        row[rare] += np.searchsorted(self.odd, place[rare])
+        return self.rows.reshape(-1, width)[row].astype(np.int64)
+
+
+def mapped(path: str, taken: int) -> list[Table]:
+    """The tables of a file of ``_save``, memory-mapped for as long as any of them is held."""
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
+    columns = int(raw[:8].view(np.int64)[0])
+    at, arrays = 8 + 16 * columns, []
+    for size, n in raw[8:at].view(np.int64).reshape(-1, 2).tolist():
+        arrays.append(raw[at : at + n * size].view(f"u{size}"))
+        at += n * size + -n * size % 8
+    return [Table(taken, *arrays[i : i + 6]) for i in range(0, columns, 6)]
 
 
 @dataclass
@@ -246,180 +324,218 @@ class Model:
     vocabulary: int  # V
 
 
+def settle(layout: Layout, level: int, grams: np.ndarray, keys: np.ndarray, n: np.ndarray, hot: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple]]:
+    """What a shard makes of its distinct n-grams, sorted by key: tables to store (n-grams, contexts that are whole, and likewise one level down) and rows for other shards."""
+    tables, rows = [(keys, n[:, None])], _facts(level, _counts_of_counts(n))
+    if level == 1:
+        return tables, rows
+    parts = [n, *[(n == k).astype(np.int64) for k in (1, 2)], (n >= 3).astype(np.int64)]
+    contexts, at, *sums = _sum_by(layout.keys(_CONTEXT, level, grams[:, :-1])[0][~hot], *[x[~hot] for x in parts])
+    tables.append((contexts, np.stack(sums, 1)))
+    rows += _rows_of(layout, _CONTEXT, level, grams[hot, :-1], [x[hot] for x in parts])
+    shorter = grams[:, 1:]
+    if layout.primary(level) and level > 2:
+        rows += _rows_of(layout, _GRAM, level - 1, shorter[hot], [np.ones(hot.sum(), np.int64)])
+        own = shorter[~hot]
+        below, at, types = _sum_by(layout.keys(_GRAM, level - 1, own)[0], np.ones(len(own), np.int64))
+        more, others = settle(layout, level - 1, own[at], below, types, np.zeros(len(at), bool))
+        return tables + more, rows + others
+    return tables, rows + list(_rows_of(layout, _GRAM, level - 1, shorter, [np.ones(len(n), np.int64)]))
+
+
 def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Model:
     """Count all of ``docs`` and write the model to the shared folder.
 
     Level ``order`` holds raw counts, lower levels the numbers of different words seen before an
-    n-gram. A task counts its texts' n-grams in sorted arrays and passes on one compressed array
-    for each shard, so the shuffle has rows by task and shard rather than by n-gram, and a frequent
-    word is a partial count from each task. Shards are ranges of a hash of the n-gram, from three
-    words on of its context, which is whole there; their number follows the size of the texts,
-    which bounds a shard. Each shard's hashes and counts are written as sorted arrays; words, and
-    contexts of one word, go on to shards of their own hashes. Contexts of two words share the
-    hashes of level 2. Every pass reads all texts and counts its range of shards.
+    n-gram. Words are counted first, which gives the hot ones. Then a task counts its texts' n-grams
+    in sorted arrays and passes on one compressed array for each range of shards, so the shuffle has
+    rows by task and range rather than by n-gram, and a frequent n-gram is a partial count from each
+    task. With more than FAN shards, rows are dealt to ranges of shards first, summed there and
+    dealt again, so a row holds many n-grams whatever the size. The number of shards follows the
+    size of the texts, which bounds a shard. ``Layout`` says what lies where; a shard's hashes and
+    counts are written as sorted arrays, two levels to a file. Every pass reads all texts and counts
+    its part of the shards. The driver gets sums over all shards only. Null texts count as empty;
+    an empty table gives a model without tokens.
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     shards = 1 << max(0, math.ceil(math.log2(max(1, size / 6 / SHARD_NGRAMS))))
     parts = min(PASSES, shards)
-    ranges = [(i * shards // parts, (i + 1) * shards // parts) for i in range(parts)]
     folder = store.new_path(spark, "ngrams")
-    local = store.local_view(folder)
-    joined = f"{local}/{_CONTEXT}-3"
+    local, hot_count = store.local_view(folder), HOT
+    model = Model(local, order, shards, {k: Level() for k in range(1, order + 1)}, 0, 0)
+
+    def counting(kind: int, first: int = 0, end: int = shards) -> Callable:
+        """Partial counts of the texts' tokens, or of their n-grams that lie in the shards from ``first`` to before ``end``."""
+        width = 1 if kind == _TOKEN else order
 
-    def counting(first: int, end: int) -> Callable:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            layout = Layout(order, shards, np.zeros(0, np.uint64)) if kind == _TOKEN else Layout.of(local, order, shards)
             held: list[np.ndarray] = []
 
-            def flush() -> Iterator[pa.RecordBatch]:
+            def flush() -> pa.RecordBatch:
                 grams = np.concatenate(held)
                 held.clear()
-                keys, at, n = _sum_by(gram_keys(grams, shards), np.ones(len(grams), np.int64))
-                grams = grams[at]
-                rows = list(_dealt(_GRAM, order, shards, keys, [*grams.T], [n]))
-                yield pa.RecordBatch.from_arrays(_table(rows), ["kind", "level", "shard", "n", "blob"])
+                return _batch(list(_rows_of(layout, kind, width, grams, [np.ones(len(grams), np.int64)])))
 
             for batch in batches:
                 for a in range(0, batch.num_rows, 1000):
-                    grams = windows(batch.column(0).slice(a, 1000).to_pylist(), order)[0]
+                    grams = windows(batch.column(0).slice(a, 1000).to_pylist(), width)[0]
                     if end - first < shards:
-                        shard = keys_of(grams[:, :-1] if order > 2 else grams) >> np.uint64(64 - int(math.log2(shards)))
+                        shard = layout.shard(layout.keys(kind, width, grams)[0])
                         grams = grams[(shard >= first) & (shard < end)]
                     held.append(grams)
                     if sum(map(len, held)) >= TOKENS_AT_ONCE:
-                        yield from flush()
+                        yield flush()
             if held:
-                yield from flush()
+                yield flush()
 
         return count
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of ranges of shards, summed as far as memory goes, as rows of single shards."""
+        layout = Layout.of(local, order, shards) if os.path.exists(f"{local}/hot") else Layout(order, shards, np.zeros(0, np.uint64))
+        held: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
+        sizes: dict[tuple[int, int, int], int] = {}
+
+        def flush(key: tuple[int, int, int]) -> pa.RecordBatch:
+            kind, level, _ = key
+            grams, values = _parts(kind, level, held.pop(key))
+            del sizes[key]
+            keys, at, *sums = _sum_by(layout.keys(kind, level, grams)[0], *values)
+            columns = grams[at].T
+            return _batch(list(_dealt(kind, level, layout.shard(keys), [columns[j] for j in _turn(level)] if kind == _GRAM else [*columns], sums)))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["kind"], row["level"], row["shard"])
+                held.setdefault(key, []).append((row["n"], row["blob"]))
+                sizes[key] = sizes.get(key, 0) + row["n"]
+                if sum(sizes.values()) >= TOKENS_AT_ONCE:
+                    yield flush(max(sizes, key=sizes.get))
+        for key in list(held):
+            yield flush(key)
+
     def merge(table: pa.Table) -> pa.Table:
         """All partial arrays of one kind, level and shard."""
         kind, level, shard = (table.column(c)[0].as_py() for c in ("kind", "level", "shard"))
-        columns, width = {_GRAM: (level + 1, level), _CONTEXT: (5, 1), _TOKEN: (2, 1)}[kind]
-        parts = np.concatenate([_unpack(b.as_py(), n.as_py(), columns, width) for b, n in zip(table.column("blob"), table.column("n"))], axis=1)
-        out: list[tuple] = []
-        where = f"{local}/{kind}-{level}"
-        if kind == _GRAM:
-            grams, n = parts[:-1].T.view(np.uint64), parts[-1]
-            keys, at, n = _sum_by(gram_keys(grams, shards), n)
-            grams = grams[at]
-            if level == 2 < order:
-                stored, sums = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
-                if os.path.exists(f"{joined}/{shard}"):
-                    file = Shard(f"{joined}/{shard}", shard, shards)
-                    stored = file.keys()
-                    sums = file.values(0, np.arange(len(stored)), 4)
-                both = np.union1d(keys, stored)
-                counts, contexts = np.zeros((len(both), 1), np.int64), np.zeros((len(both), 4), np.int64)
-                counts[np.searchsorted(both, keys), 0] = n
-                contexts[np.searchsorted(both, stored)] = sums
-                _save(where, shard, shards, both, counts, contexts)
+        grams, values = _parts(kind, level, list(zip(table.column("n").to_pylist(), table.column("blob").to_pylist())))
+        if kind == _TOKEN:
+            keys, at, n = _sum_by(keys_of(grams), *values)
+            _save(_path(local, "tokens", shard), int(math.log2(shards)), [(keys, n[:, None])])
+            hot = grams[at, 0][n >= hot_count]
+            return _arrow([*_facts(0, [len(keys), n.sum()]), (_HOT, 0, shard, len(hot), hot.tobytes())])
+        layout = Layout.of(local, order, shards)
+        keys, hot = layout.keys(kind, level, grams)
+        keys, at, *sums = _sum_by(keys, *values)
+        if kind == _CONTEXT:
+            _save(_path(local, f"contexts-{level}", shard), layout.taken, [(keys, np.stack(sums, 1))])
+            return _arrow([])
+        tables, rows = settle(layout, level, grams[at], keys, sums[0], hot[at])
+        _save(_path(local, f"level-{level}", shard), layout.taken, tables)
+        return _arrow(rows)
+
+    paths: list[str] = []
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """Merge partial counts shard by shard, take up the facts, and return what goes on."""
+        if -(-shards // FAN) > 1:
+            salt = F.pmod(F.crc32("blob"), F.lit(SALTS))
+            rows = map_arrow(rows.repartition("kind", "level", "shard", salt), again, _ROWS)
+        out, path = store.materialize(rows.groupBy("kind", "level", "shard").applyInArrow(merge, _ROWS), "partials")
+        paths.append(path)
+        # At most six sums a level.
+        for r in out.where(F.col("kind") == _FACTS).groupBy("level", "shard").agg(F.sum("n").alias("n")).collect():
+            level, which, n = r["level"], r["shard"], int(r["n"])
+            if level:
+                own = model.levels[level]
+                own.total, own.of = (own.total + n, own.of) if which == 0 else (own.total, [x + n * (i == which - 1) for i, x in enumerate(own.of)])
+            elif which:
+                model.tokens = n
             else:
-                _save(where, shard, shards, keys, n[:, None])
-            out.append(_facts(level, [n.sum(), *[(n == k).sum() for k in (1, 2, 3, 4)], (n >= 3).sum()]))
-            if level > 1:
-                context, _, *sums = _sum_by(keys_of(grams[:, :-1]), n, *[(n == k).astype(np.int64) for k in (1, 2)], (n >= 3).astype(np.int64))
-                if level > 2:
-                    _save(f"{local}/{_CONTEXT}-{level}", shard, shards, context, np.stack(sums, 1))
-                else:
-                    out += _dealt(_CONTEXT, level, shards, context, [context], sums)
-                suffix, at, types = _sum_by(gram_keys(grams[:, 1:], shards), np.ones(len(n), np.int64))
-                out += _dealt(_GRAM, level - 1, shards, suffix, [*grams[at, 1:].T], [types])
-            if level == order:
-                token, _, seen = _sum_by(keys_of(grams[:, -1:]), n)
-                out += _dealt(_TOKEN, 1, shards, token, [token], [seen])
-        else:
-            keys, _, *sums = _sum_by(parts[0].view(np.uint64), *parts[1:])
-            _save(where, shard, shards, keys, np.stack(sums, 1))
-            if kind == _TOKEN:
-                out.append(_facts(0, [len(keys), sums[0].sum()]))
-        return pa.table(_table(out), names=["kind", "level", "shard", "n", "blob"])
-
-    levels = {k: Level() for k in range(1, order + 1)}
-    model = Model(local, order, shards, levels, 0, 0)
-    sources, paths, level = [map_arrow(slim, counting(*r), _ROWS) for r in ranges], [], order
-    while sources:
-        before, paths, tables = paths, [], []
-        for i, source in enumerate(sources):
-            rows, path = store.materialize(source.groupBy("kind", "level", "shard").applyInArrow(merge, _ROWS), "partials")
-            paths.append(path)
-            tables.append(rows)
-            # A row of six numbers for each shard that was merged.
-            for r in rows.where(F.col("kind") == _FACTS).collect():
-                facts = np.frombuffer(bytes(r["blob"]), np.int64).tolist()
-                if r["level"]:
-                    own = levels[r["level"]]
-                    own.total += facts[0]
-                    own.of = [x + y for x, y in zip(own.of, facts[1:])]
-                else:
-                    model.vocabulary += facts[0]
-                    model.tokens += facts[1]
-            if level == 2 < order:
-                for shard in range(*ranges[i]):
-                    with contextlib.suppress(FileNotFoundError):
-                        os.remove(f"{joined}/{shard}")
-            # Shuffle files go when the driver's JVM finds their shuffle unused.
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-        for path in before:
-            store.drop(spark, path)
-        level -= 1
-        now = reduce(DataFrame.unionByName, tables).where(F.col("kind") != _FACTS)
-        sources = [] if now.isEmpty() else [now.where(F.col("shard").between(a, b - 1)) for a, b in ranges] if level > 1 else [now]
+                model.vocabulary = n
+        # Shuffle files go when the driver's JVM finds their shuffle unused.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        return out.where(F.col("kind") != _FACTS)
+
+    def write_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The start mark and all hot words, sorted: at most one for HOT tokens."""
+        found = [np.frombuffer(blob, np.uint64) for batch in batches for blob in batch.column(0).to_pylist()]
+        hot = np.sort(np.concatenate([[BEGIN], *found]))
+        os.makedirs(local, exist_ok=True)
+        part = f"{local}/hot.{uuid.uuid4().hex}"
+        hot.tofile(part)
+        os.replace(part, f"{local}/hot")
+        yield pa.RecordBatch.from_arrays([pa.array([len(hot)], pa.int64())], ["n"])
+
+    tokens = merged(map_arrow(slim, counting(_TOKEN), _ROWS))
+    map_arrow(tokens.where(F.col("kind") == _HOT).select("blob").coalesce(1), write_hot, "n long").collect()
+    on = [merged(map_arrow(slim, counting(_GRAM, i * shards // parts, (i + 1) * shards // parts), _ROWS)) for i in range(parts)]
+    for level in range(order - 1, 0, -1):
+        # Contexts of the level above are whole when its n-grams have been merged.
+        now = reduce(DataFrame.unionByName, on).where(((F.col("kind") == _GRAM) & (F.col("level") == level)) | ((F.col("kind") == _CONTEXT) & (F.col("level") == level + 1)))
+        on.append(merged(now))
     for path in paths:
         store.drop(spark, path)
     return model
 
 
 class Reader:
-    """Look-ups in a model's memory-mapped arrays."""
+    """Look-ups in a model's memory-mapped arrays, of which MAPS files at most are mapped at once."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
-
-    def _shard(self, name: str, shard: int) -> Shard | None:
-        if (name, shard) not in self.open:
-            path = f"{self.model.folder}/{name}/{shard}"
-            self.open[name, shard] = Shard(path, shard, self.model.shards) if os.path.exists(path) else None
-        return self.open[name, shard]
-
-    def find(self, kind: int, level: int, keys: np.ndarray, width: int = 1) -> np.ndarray:
-        """The values of sorted, distinct ``keys``; zeros where there are none."""
-        out = np.zeros((len(keys), width), np.int64)
-        name, block = (f"{_GRAM}-2", 1) if (kind, level) == (_CONTEXT, 3) else (f"{kind}-{level}", 0)
-        cuts = _cuts(keys, self.model.shards)
-        for s in range(self.model.shards):
-            a, b = cuts[s], cuts[s + 1]
-            if b > a and (file := self._shard(name, s)):
-                hit, place = file.places(keys[a:b])
-                out[a:b][hit] = file.values(block, place, width)
-        return out if width > 1 else out[:, 0]
+        self.model, self.layout = model, Layout.of(model.folder, model.order, model.shards)
+        self.open: OrderedDict[tuple[str, int], list[Table]] = OrderedDict()
+
+    def _tables(self, name: str, shard: int) -> list[Table]:
+        at = (name, shard)
+        if at not in self.open:
+            path = _path(self.model.folder, name, shard)
+            self.open[at] = mapped(path, self.layout.taken) if os.path.exists(path) else []
+            if len(self.open) > MAPS:
+                self.open.popitem(last=False)
+        self.open.move_to_end(at)
+        return self.open[at]
+
+    def find(self, kind: int, level: int, grams: np.ndarray, width: int = 1) -> np.ndarray:
+        """The values of ``grams``; zeros where there are none."""
+        keys, hot = self.layout.keys(kind, level, grams)
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        hot, out = hot[first], np.zeros((len(keys), width), np.int64)
+        inner = kind != _TOKEN and not self.layout.primary(level) and level > 1  # stored with the level above, where that is whole
+        own = {_TOKEN: "tokens", _GRAM: f"level-{level}", _CONTEXT: f"contexts-{level}"}[kind]
+        places = [(hot if inner or kind == _CONTEXT else np.ones(len(keys), bool), own, 0)]
+        if kind == _CONTEXT or inner:
+            places.append((~hot, f"level-{level + inner}", 2 * inner + (kind == _CONTEXT)))
+        for which, name, table in places:
+            which = np.flatnonzero(which)
+            for s, a, b in _runs(self.layout.shard(keys[which])):
+                if tables := self._tables(name, s):
+                    hit, place = tables[table].places(keys[which[a:b]])
+                    out[which[a:b][hit]] = tables[table].values(place, width)
+        return out[back] if width > 1 else out[back, 0]
 
     def scores(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each row's last word after the others, and that word's count in training."""
         model = self.model
-        keys, back = np.unique(keys_of(grams[:, -1:]), return_inverse=True)
-        seen = self.find(_TOKEN, 1, keys)
-        own, level = self.find(_GRAM, 1, keys), model.levels[1]
+        seen = self.find(_TOKEN, 1, grams[:, -1:])
+        own, level = self.find(_GRAM, 1, grams[:, -1:]), model.levels[1]
         d = np.array(level.discounts)
         new = 1 / (model.vocabulary + 1)
         if level.total:
             spare = (d[1] * level.of[0] + d[2] * level.of[1] + d[3] * level.of[4]) / level.total
             p = np.maximum(own - d[np.minimum(own, 3)], 0) / level.total + spare * new
         else:
-            p = np.full(len(keys), new)
-        p, seen = p[back], seen[back]
+            p = np.full(len(grams), new)
         for k in range(2, model.order + 1):
             d = np.array(model.levels[k].discounts)
-            keys, back = np.unique(keys_of(grams[:, -k:-1]), return_inverse=True)
-            context = self.find(_CONTEXT, k, keys, 4)
-            share = np.where(context[:, 0] > 0, (context[:, 1:] * d[1:]).sum(1) / np.maximum(context[:, 0], 1), 1.0)
-            total, share = context[back, 0], share[back]
-            keys, back = np.unique(gram_keys(grams[:, -k:], model.shards), return_inverse=True)
-            n = self.find(_GRAM, k, keys)[back]
-            p = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + share * p
+            context = self.find(_CONTEXT, k, grams[:, -k:-1], 4)
+            total = np.maximum(context[:, 0], 1)
+            share = np.where(context[:, 0] > 0, (context[:, 1:] * d[1:]).sum(1) / total, 1.0)
+            n = self.find(_GRAM, k, grams[:, -k:])
+            p = np.maximum(n - d[np.minimum(n, 3)], 0) / total + share * p
         return np.log10(p), seen
 
 

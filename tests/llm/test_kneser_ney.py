@@ -1,6 +1,10 @@
 import math
+import pathlib
+import pickle
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,16 +137,59 @@ def test_order_four_in_passes(spark, monkeypatch):
         assert all(math.isclose(r["score"], brute.score(texts[r["doc_id"]]), rel_tol=1e-9) for r in rows)
 
 
-@pytest.mark.parametrize(("n", "shards"), [(1, 1), (1000, 1), (100_000, 8)])
+@pytest.mark.parametrize(("n", "shards"), [(0, 4), (1, 1), (1000, 1), (100_000, 8)])
 def test_files_keep_every_bit(tmp_path, n, shards):
     rng = np.random.default_rng(n)
     shard = shards - 1
     bits = int(math.log2(shards))
     keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) >> np.uint64(bits) | np.uint64(shard << (64 - bits) if bits else 0))
     values = [rng.zipf(1.3, (len(keys), w)).clip(0, 10**12) for w in (1, 4)]
-    kn._save(str(tmp_path), shard, shards, keys, *values)
-    file = kn.Shard(f"{tmp_path}/{shard}", shard, shards)
-    hit, place = file.places(keys)
-    assert hit.all() and (place == np.arange(len(keys))).all() and (file.keys() == keys).all()
-    assert not file.places(keys ^ np.uint64(1))[0][~np.isin(keys ^ np.uint64(1), keys)].any()
-    assert all((file.values(b, place, v.shape[1]) == v).all() for b, v in enumerate(values))
+    kn._save(f"{tmp_path}/0/file", bits, [(keys, v) for v in values])
+    tables = kn.mapped(f"{tmp_path}/0/file", bits)
+    assert len(tables) == 2
+    for table, v in zip(tables, values):
+        hit, place = table.places(keys)
+        assert hit.all() and (place == np.arange(len(keys))).all()
+        assert not table.places(keys ^ np.uint64(1))[0][~np.isin(keys ^ np.uint64(1), keys)].any()
+        assert (table.values(place, v.shape[1]) == v).all()
+
+
+@pytest.mark.parametrize("order", [2, 3, 4, 5])
+def test_hot_words_and_ranges_of_shards(spark, monkeypatch, order):
+    monkeypatch.setattr(kn, "SHARD_NGRAMS", 20)
+    monkeypatch.setattr(kn, "HOT", 40)
+    monkeypatch.setattr(kn, "FAN", 16)
+    monkeypatch.setattr(kn, "PASSES", 2)
+    texts = make(120)
+    brute = Brute([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    assert sum(n >= 40 for n in brute.seen.values()) > 10
+    rows = kn.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order).collect()
+    assert len(rows) == len(texts) and all(math.isclose(r["score"], brute.score(texts[r["doc_id"]]), rel_tol=1e-9) for r in rows)
+
+
+def test_four_thousand_shards_with_few_descriptors(spark, monkeypatch, tmp_path):
+    """Reads a model of 4,096 shards in a process that may hold 256 descriptors."""
+    texts = make(150)
+    size = sum(len((t or "").encode()) + 6 for t in texts)
+    monkeypatch.setattr(kn, "SHARD_NGRAMS", size / 6 / 4096)
+    model = kn.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model.shards == 4096
+    brute = Brute(texts, 3)
+    (tmp_path / "in").write_bytes(pickle.dumps((model, texts)))
+    code = (
+        "import pickle, resource, sys, numpy as np; resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))\n"
+        "from quillspark.llm import kneser_ney as kn\n"
+        "model, texts = pickle.load(open(sys.argv[1], 'rb')); reader = kn.Reader(model)\n"
+        "grams, sizes = kn.windows(texts, 3); logs = reader.scores(grams)[0]; assert len(reader.open) <= kn.MAPS\n"
+        "print(*np.add.reduceat(logs, np.cumsum(sizes) - sizes).tolist())"
+    )
+    root = str(pathlib.Path(kn.__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "in")], capture_output=True, text=True, cwd=root, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert all(math.isclose(float(x), brute.score(t), rel_tol=1e-9) for x, t in zip(out.stdout.split(), texts, strict=True))
+
+
+def test_repeated_rows_and_a_clashing_column(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (3, "c", "y")], "doc_id long, text string, kind string")
+    rows = kn.score_documents(docs, 2).collect()
+    assert len(rows) == 3 and len({(r["doc_id"], r["score"]) for r in rows}) == 2
