@@ -13,13 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .simhash import words
 from .workers import kept, map_arrow
 
 ORDER = 3
@@ -32,8 +30,12 @@ FAN, SALTS = 512, 16
 #: Shard files that a worker has mapped at once.
 MAPS = 128
 _SCORE_TOKENS = 1_000_000
-# No word holds a space, so these are no word's bytes.
-BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(b)) for b in (b" begin", b" end"))
+# Bytes hashed at once; white space; and random numbers for marks, bytes and their places in a word.
+_BLOCK, _PLACES = 1 << 20, 20260101
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+BEGIN, END, *_drawn = np.random.default_rng(20260102).integers(0, 1 << 64, 258, np.uint64)
+_BYTES = np.array(_drawn)[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+_PLACE = np.random.default_rng(_PLACES).integers(0, 1 << 64, 4096, np.uint64)
 _GRAM, _CONTEXT, _TOKEN, _FACTS, _HOT = range(5)
 
 
@@ -98,29 +100,84 @@ def _turn(level: int) -> list[int]:
     return [*range(1, level - 1), 0, level - 1] if level > 2 else list(range(level))
 
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 text, A-Z taken as lower case, and where it begins.
+
+    The hash is the sum of a random number for each byte times one for its place in the word, so all
+    words of a block of bytes are hashed at once, and a word longer than a block by its stretches.
+    """
+    codes = np.frombuffer(raw, np.uint8)
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(codes):
+        gap = _SPACE[codes[at : at + _BLOCK]]
+        if at + len(gap) < len(codes):
+            spaces = np.flatnonzero(gap)
+            if not len(spaces):  # inside a long word
+                to = at + len(gap)
+                while to < len(codes) and not _SPACE[codes[to]]:
+                    more = np.flatnonzero(_SPACE[codes[to : to + _BLOCK]])
+                    to += int(more[0]) if len(more) else len(codes[to : to + _BLOCK])
+                total, rng = np.zeros(1, np.uint64), np.random.default_rng(_PLACES)
+                for a in range(at, to, _BLOCK):
+                    own = codes[a : min(to, a + _BLOCK)]
+                    total += (_BYTES[own] * rng.integers(0, 1 << 64, len(own), np.uint64)).sum(dtype=np.uint64)
+                hashes.append(total)
+                starts.append(np.array([at]))
+                at = to
+                continue
+            gap = gap[: spaces[-1] + 1]
+        inside = ~gap
+        first = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
+        if len(first):
+            where = np.flatnonzero(inside)
+            begin = np.searchsorted(where, first)
+            place = where - np.repeat(first, np.diff(begin, append=len(where)))
+            longest = int(place.max()) + 1
+            places = _PLACE if longest <= len(_PLACE) else np.random.default_rng(_PLACES).integers(0, 1 << 64, longest, np.uint64)
+            hashes.append(np.add.reduceat(_BYTES[codes[at + where]] * places[place], begin))
+            starts.append(at + first)
+        at += len(gap)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of the n-gram that ends at each token (tokens x order), and the tokens of each text."""
-    digest, flat, sizes = xxhash.xxh64_intdigest, [], []
-    pad = [int(BEGIN)] * (order - 1)
-    for text in texts:
-        own = words(text)
-        flat += pad
-        flat += map(digest, own)
-        flat.append(int(END))
-        sizes.append(len(own) + 1)
-    h, sizes = np.array(flat, np.uint64), np.array(sizes, np.int64)
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    found, starts = word_hashes(b"\n".join(raw))
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])), prepend=0) + 1
+    h = np.empty(len(found) + order * len(texts), np.uint64)
+    last, inner = np.cumsum(sizes + order - 1) - 1, np.ones(len(h), bool)
+    h[last], inner[last] = END, False
+    for j in range(1, order):
+        h[last - sizes - order + 1 + j], inner[last - sizes - order + 1 + j] = BEGIN, False
+    h[inner] = found
     ends = np.repeat((order - 1) * np.arange(1, len(sizes) + 1), sizes) + np.arange(sizes.sum())
     return np.stack([h[ends - back] for back in range(order - 1, -1, -1)], 1) if len(sizes) else np.zeros((0, order), np.uint64), sizes
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, the place of one row of each, and sums of the values by key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], order[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
 
 
+def _grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each distinct code, and which of those each code is; sorts codes and places as one number where both fit."""
+    bits = len(codes).bit_length()
+    if int(codes.max(initial=0)) < 1 << (63 - bits):
+        both = np.sort(codes << bits | np.arange(len(codes)))
+        order, codes = both & (1 << bits) - 1, both >> bits
+    else:
+        order = np.argsort(codes)
+        codes = codes[order]
+    first = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+    back = np.empty(len(codes), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return order[first], back
+
+
 def _narrow(values: np.ndarray) -> np.ndarray:
     """In the smallest unsigned type that holds them."""
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
@@ -499,11 +556,10 @@ class Reader:
         self.open.move_to_end(at)
         return self.open[at]
 
-    def find(self, kind: int, level: int, grams: np.ndarray, width: int = 1) -> np.ndarray:
-        """The values of ``grams``; zeros where there are none."""
-        keys, hot = self.layout.keys(kind, level, grams)
-        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        hot, out = hot[first], np.zeros((len(keys), width), np.int64)
+    def find(self, kind: int, level: int, keys: np.ndarray, hot: np.ndarray, width: int = 1) -> np.ndarray:
+        """The values of ``Layout.keys``; zeros where there are none. Looked up shard by shard, roughly in order, which keeps to few pages at a time."""
+        shard, out = self.layout.shard(keys), np.zeros((len(keys), width), np.int64)
+        rough = (keys >> np.uint64(48)).astype(np.uint16) if self.layout.taken <= 16 else shard
         inner = kind != _TOKEN and not self.layout.primary(level) and level > 1  # stored with the level above, where that is whole
         own = {_TOKEN: "tokens", _GRAM: f"level-{level}", _CONTEXT: f"contexts-{level}"}[kind]
         places = [(hot if inner or kind == _CONTEXT else np.ones(len(keys), bool), own, 0)]
@@ -511,32 +567,49 @@ class Reader:
             places.append((~hot, f"level-{level + inner}", 2 * inner + (kind == _CONTEXT)))
         for which, name, table in places:
             which = np.flatnonzero(which)
-            for s, a, b in _runs(self.layout.shard(keys[which])):
+            which = which[np.argsort(rough[which], kind="stable")]
+            for s, a, b in _runs(shard[which]):
                 if tables := self._tables(name, s):
                     hit, place = tables[table].places(keys[which[a:b]])
                     out[which[a:b][hit]] = tables[table].values(place, width)
-        return out[back] if width > 1 else out[back, 0]
+        return out if width > 1 else out[:, 0]
 
     def scores(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each row's last word after the others, and that word's count in training."""
-        model = self.model
-        seen = self.find(_TOKEN, 1, grams[:, -1:])
-        own, level = self.find(_GRAM, 1, grams[:, -1:]), model.levels[1]
+        """log10 probability of each row's last word after the others, and that word's count in training.
+
+        ``grams``: rows of ``windows`` in their order, or a stretch of them. Each distinct word,
+        context and n-gram is looked up once; all of them are told apart by exact codes of the words.
+        """
+        model, order = self.model, self.model.order
+        names, ids = np.unique(np.concatenate([grams[:, -1], [BEGIN], grams[: order - 1, :-1].ravel()]), return_inverse=True)
+        at = [ids[: len(grams)]]
+        for j in range(order - 2, -1, -1):  # mostly the last word of an earlier row
+            guess = np.roll(at[0], 1)
+            odd = np.flatnonzero(names[guess] != grams[:, j])
+            guess[odd] = np.searchsorted(names, grams[odd, j])
+            at.insert(0, guess)
+        seen, own = (self.find(kind, 1, *self.layout.keys(kind, 1, names[:, None])) for kind in (_TOKEN, _GRAM))
+        level = model.levels[1]
         d = np.array(level.discounts)
         new = 1 / (model.vocabulary + 1)
         if level.total:
             spare = (d[1] * level.of[0] + d[2] * level.of[1] + d[3] * level.of[4]) / level.total
             p = np.maximum(own - d[np.minimum(own, 3)], 0) / level.total + spare * new
         else:
-            p = np.full(len(grams), new)
-        for k in range(2, model.order + 1):
+            p = np.full(len(names), new)
+        p, known = p[at[-1]], seen[at[-1]]
+        context, contexts = np.zeros(len(grams), np.int64), 1
+        for k in range(2, order + 1):
             d = np.array(model.levels[k].discounts)
-            context = self.find(_CONTEXT, k, grams[:, -k:-1], 4)
-            total = np.maximum(context[:, 0], 1)
-            share = np.where(context[:, 0] > 0, (context[:, 1:] * d[1:]).sum(1) / total, 1.0)
-            n = self.find(_GRAM, k, grams[:, -k:])
-            p = np.maximum(n - d[np.minimum(n, 3)], 0) / total + share * p
-        return np.log10(p), seen
+            first, context = _grouped(at[-k] * contexts + context)
+            contexts = len(first)
+            sums = self.find(_CONTEXT, k, *(x[first] for x in self.layout.keys(_CONTEXT, k, grams[:, -k:-1])), 4)
+            total = np.maximum(sums[:, 0], 1)
+            share = np.where(sums[:, 0] > 0, (sums[:, 1:] * d[1:]).sum(1) / total, 1.0)
+            first, back = _grouped(context * len(names) + at[-1])
+            n = self.find(_GRAM, k, *(x[first] for x in self.layout.keys(_GRAM, k, grams[:, -k:])))
+            p = (np.maximum(n - d[np.minimum(n, 3)], 0) / total[context[first]])[back] + share[context] * p
+        return np.log10(p), known
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -561,7 +634,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                     to += 1
                 grams, sizes = windows(texts[at:to], model.order)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                logs, seen = reader.scores(grams)
+                parts = [reader.scores(grams[a : a + _SCORE_TOKENS]) for a in range(0, len(grams), _SCORE_TOKENS)]
+                logs, seen = (np.concatenate(x) for x in zip(*parts))
                 total = np.add.reduceat(logs, starts)
                 base = np.add.reduceat(np.log10((seen + 1) / floor), starts)
                 columns = [sizes, np.add.reduceat((seen > 0).astype(np.int64), starts), np.full(len(sizes), model.tokens), base, total, 10 ** np.minimum(-total / sizes, 300)]

@@ -193,3 +193,17 @@ def test_repeated_rows_and_a_clashing_column(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (3, "c", "y")], "doc_id long, text string, kind string")
     rows = kn.score_documents(docs, 2).collect()
     assert len(rows) == 3 and len({(r["doc_id"], r["score"]) for r in rows}) == 2
+
+
+def test_words_are_hashed_alike_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aBé 😀\t\n\x0b\x1c\xa0z", k=rng.randint(0, 60))) for _ in range(300)] + ["x" * 5000 + " y", " ", ""]
+    raw = "\n".join(texts).encode()
+    want, at = kn.word_hashes(raw)
+    own = [w for t in texts for w in tokens(t)[:-1]]
+    assert len(own) == len(want) and len(set(own)) == len(set(want.tolist())) == len(set(zip(own, want.tolist())))
+    assert all(raw[a:].lower().startswith(w.lower().encode()) for a, w in zip(at.tolist(), own))
+    for block in (7, 64, 1000):
+        monkeypatch.setattr(kn, "_BLOCK", block)
+        got, places = kn.word_hashes(raw)
+        assert (got == want).all() and (places == at).all()
