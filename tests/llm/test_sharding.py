@@ -1,6 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import sharding
@@ -31,17 +35,81 @@ def test_contract(spark):
     assert sharding.shard(docs_of(spark, 0)).count() == 0
 
 
+def plain(key, shards, weights=None, racks=2, slots=2):
+    """The shard of a long key by loops over the tree."""
+    w = list(weights or [1.0] * shards)
+    w += [1.0] * (-len(w) % (racks * slots))
+
+    def draw(level, node, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", level), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", node), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        return -math.log(((h >> 11) + 0.5) / 2.0**53) / weight if weight > 0 else math.inf
+
+    def subtree(level, node):
+        """(draw, shards taken, slots) of each child, as far above the least as it draws."""
+        n, span = {1: (racks, slots), 2: (slots, 1)}[level]
+        children = [node * n + j for j in range(n)]
+        own = [draw(level + 1, c, sum(w[c * span : (c + 1) * span])) for c in children]
+        return [(d - min(own), c, span) for d, c in zip(own, children)]
+
+    def best(level, node, at, span):
+        """The least draw among taken shards below a node, and its shard."""
+        if node * span >= shards:
+            return math.inf, None
+        if level == 3:
+            return at, node
+        if (node + 1) * span <= shards:  # taken whole: its draw is the least below it
+            return at, best(level + 1, *min((d, c, s) for d, c, s in subtree(level, node))[1:2], at, span // {1: racks, 2: slots}[level])[1]
+        return min(best(level + 1, c, at + d, s) for d, c, s in subtree(level, node))
+
+    size = racks * slots
+    regions = [best(1, r, draw(1, r, sum(w[r * size : (r + 1) * size])), size) for r in range(len(w) // size)]
+    return min(regions)[1]
+
+
+def flat(key, shards):
+    """Rendezvous hashing over all shards."""
+    return min(range(shards), key=lambda s: xxhash.xxh64_intdigest(struct.pack("<q", key), xxhash.xxh64_intdigest(struct.pack("<q", s), 42)))
+
+
+@pytest.mark.parametrize(("shards", "weights", "racks", "slots"), [(1, None, 2, 2), (16, None, 2, 2), (7, None, 2, 2), (13, None, 3, 2), (9, [1.0, 2, 0, 4, 1, 0.5, 3, 1, 1], 2, 3)])
+def test_against_loops(spark, shards, weights, racks, slots):
+    rows = sharding.descend(spark.range(600), "id", shards, weights, racks=racks, slots=slots, grown="grown").collect()
+    for r in rows:
+        assert r["shard"] == plain(r["id"], shards, weights, racks, slots)
+        assert r["grown"] == plain(r["id"], shards + 1, weights and [*weights, 1.0], racks, slots)
+    if shards == 16:
+        assert sum(r["shard"] != flat(r["id"], 16) for r in rows) > 400
+
+
+def test_cost_follows_the_levels(spark):
+    """A key's draws are those of regions, racks and slots, and not of all shards."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100000)
+    plan = sharding.descend(spark.range(5), "id", 1024, racks=16, slots=16, grown="grown")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 68 <= plan.count("xxhash64(") < 300
+
+
 def test_growth_moves_rows_into_the_new_shard_alone(spark):
     keys = spark.range(3000)
-    columns = [sharding.descend(F.col("id"), sharding.tree_of(n)).alias(f"s{n}") for n in range(1, 12)]
-    for r in keys.select(*columns).collect():
-        assert all(b in (a, n) for n, (a, b) in enumerate(zip(r, r[1:]), start=1))
+    for n in range(1, 19):
+        keys = sharding.descend(keys, "id", n, out=f"s{n}", grown=f"g{n}")
+    rows = keys.collect()
+    for r in rows:
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) and r[f"s{n + 1}"] == r[f"g{n}"] for n in range(1, 18))
+    for n in (4, 7, 16, 18):
+        shares = Counter(r[f"s{n}"] for r in rows)
+        assert len(shares) == n and all(abs(c - 3000 / n) < 5 * math.sqrt(3000 / n) for c in shares.values())
 
 
 def test_weights(spark):
-    keys = spark.range(20000)
-    before, after = [1.0, 2.0, 0.0, 1.0, 4.0], [1.0, 2.0, 0.0, 3.0, 4.0]
-    rows = keys.select(sharding.descend(F.col("id"), sharding.tree_of(5, before)).alias("a"), sharding.descend(F.col("id"), sharding.tree_of(5, after)).alias("b")).collect()
+    before, after = [1.0, 2.0, 0.0, 1.0, 4.0, 1.0, 1.0, 2.0], [1.0, 2.0, 0.0, 3.0, 4.0, 1.0, 1.0, 2.0]
+    rows = sharding.descend(sharding.descend(spark.range(20000), "id", 8, before, out="a"), "id", 8, after, out="b").collect()
     n = Counter(r["a"] for r in rows)
-    assert n[2] == 0 and all(abs(n[s] / 20000 - w / 8) < 0.02 for s, w in enumerate(before))
-    assert all(r["b"] in (r["a"], 3) for r in rows)
+    assert n[2] == 0 and all(abs(n[s] / 20000 - w / 12) < 0.02 for s, w in enumerate(before))
+    # The changed shard is in rack 1 (2, 3) of region 0 (0 to 3): all else keeps its rows, but for those that enter.
+    assert all(r["b"] == r["a"] or r["b"] < 4 for r in rows) and any(r["b"] != r["a"] for r in rows)
+    assert all(r["b"] == 3 for r in rows if r["a"] < 4 and r["b"] != r["a"])
+    with pytest.raises(ValueError):
+        sharding.weights_of(2, [0.0, 0.0])
