@@ -22,11 +22,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-#: What the models look at: runs of these characters, of a length at which chance rarely misleads.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Shortest run that the models look at by default: at this length chance rarely misleads.
 LEAST = 20
 #: Where a run is cut, and its parts with the cuts before them.
-PART, CUT_PART = re.compile(r"[^/_=-]{20,}"), re.compile(r"[/_=-]*[^/_=-]+[/_=-]*\Z|[/_=-]*[^/_=-]+")
+CUT_PART = re.compile(r"[/_=-]*[^/_=-]+[/_=-]*\Z|[/_=-]*[^/_=-]+")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _INDEX = np.full(128, 0, np.int64)
 _INDEX[[ord(c) for c in _ALPHABET]] = np.arange(1, len(_ALPHABET) + 1)
@@ -42,15 +41,15 @@ WORDS = (
 ).split()
 
 
-def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """``n`` random strings (1) and ``n`` ordinary identifiers (0), the same for the same arguments."""
+def labelled_samples(n: int = 4000, seed: int = 7, least: int = LEAST) -> list[tuple[str, int]]:
+    """``n`` random strings (1) and ``n`` ordinary identifiers (0) of mostly ``least`` characters and more, the same for the same arguments."""
     rng = random.Random(seed)
     words = [w for w in WORDS if w.isascii()]
     alphabets = [string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_uppercase + string.digits]
-    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), 1) for _ in range(n)]
+    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(least, 44 + least))), 1) for _ in range(n)]
     for _ in range(n):
         parts = [rng.choice(words)]
-        while len("".join(parts)) < rng.randint(20, 48):
+        while len("".join(parts)) < rng.randint(least, 28 + least):
             parts.append(rng.choice(words))
         style = rng.randrange(7)
         if style == 0:
@@ -68,15 +67,20 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
         else:
             s = rng.choice(("_", "-", "/")).join([*parts, str(rng.randint(0, 10 ** rng.randint(1, 8)))])
         out.append((s, 0))
-    out += [("".join(rng.choices(string.digits, k=rng.randint(20, 40))), 0) for _ in range(n // 20)]
-    out += [(rng.choice("-=_x0") * rng.randint(20, 60), 0) for _ in range(n // 20)]
+    out += [("".join(rng.choices(string.digits, k=rng.randint(least, 20 + least))), 0) for _ in range(n // 20)]
+    out += [(rng.choice("-=_x0") * rng.randint(least, 40 + least), 0) for _ in range(n // 20)]
     return out
 
 
 class MarkovPair:
-    """Second-order character models of both classes; ``score`` is the log-likelihood ratio by character."""
+    """Second-order character models of both classes; ``score`` is the log-likelihood ratio by character.
 
-    def __init__(self, samples: Iterable[tuple[str, int]], smoothing: float = 2.0):
+    ``least``: runs, and stretches and parts of runs, of fewer characters are not looked at.
+    """
+
+    def __init__(self, samples: Iterable[tuple[str, int]], smoothing: float = 2.0, least: int = LEAST):
+        self.least = least
+        self.candidate, self.part = re.compile(rf"[A-Za-z0-9+/_=-]{{{least},}}"), re.compile(rf"[^/_=-]{{{least},}}")
         samples = [(s, y) for s, y in samples if s]
         held, kept = samples[::5], [x for i, x in enumerate(samples) if i % 5]
         self.ratio = self._model([s for s, y in kept if y], smoothing) - self._model([s for s, y in kept if not y], smoothing)
@@ -113,9 +117,9 @@ class MarkovPair:
         """The whole run if it is a secret, else its stretches and parts that are; (start, end), moved by ``at``."""
         if self.is_secret(run):
             return [(at, at + len(run))]
-        out = [s for s in self._stretches(run) if s[1] - s[0] >= LEAST and self.is_secret(run[slice(*s)])]
-        parts = ((m.start(), m.end()) for m in PART.finditer(run))
-        out += [(a, b) for a, b in parts if not any(s < b and a < e for s, e in out) and self.is_secret(run[a:b])]
+        out = [s for s in self._stretches(run) if s[1] - s[0] >= self.least and self.is_secret(run[slice(*s)])]
+        parts = _clear_of(((m.start(), m.end()) for m in self.part.finditer(run)), list(out))
+        out += [(a, b) for a, b in parts if self.is_secret(run[a:b])]
         return sorted((a + at, b + at) for a, b in out)
 
     def _stretches(self, run: str) -> list[tuple[int, int]]:
@@ -147,21 +151,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _free(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """What the sorted ``spans`` leave of a run, where it has a candidate's length."""
+def _clear_of(ranges: Iterable[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The sorted, disjoint ``ranges`` that none of ``taken``, likewise, overlaps."""
+    i = 0
+    for a, b in ranges:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            yield a, b
+
+
+def _free(runs: Iterable[tuple[int, int]], spans: list[tuple[int, int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """What the sorted ``spans`` leave of sorted, disjoint runs, where it has ``least`` characters; one pass over both."""
+    taken: list[list[int]] = []
     for s, _, e in spans:
-        if s < end and start < e:
-            if s - start >= LEAST:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    i = 0
+    for start, end in runs:
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        while i < len(taken) and taken[i][0] < end:
+            s, e = taken[i]
+            if s - start >= least:
                 yield start, s
-            start = e
-    if end - start >= LEAST:
-        yield start, end
+            start = max(start, e)
+            if e > end:  # it may reach into the next run
+                break
+            i += 1
+        if end - start >= least:
+            yield start, end
 
 
 def all_spans(text: str, models: MarkovPair) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and those with what the models add outside of them."""
+    """The base spans, and those with what the models add outside of them; time grows with the length of the text."""
     base = base_spans(text)
-    added = [(a, 3, b) for m in CANDIDATE.finditer(text) for start, end in _free(m.start(), m.end(), base) for a, b in models.secrets(text[start:end], start)]
+    runs = (m.span() for m in models.candidate.finditer(text))
+    added = [(a, 3, b) for start, end in _free(runs, base, models.least) for a, b in models.secrets(text[start:end], start)]
     return base, sorted(base + added)
 
 
@@ -179,21 +207,27 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def train(labelled: DataFrame | None = None, *, max_rows: int = 50_000) -> MarkovPair:
-    """Models from rows (text, label 1 for random, 0 for ordinary), at most ``max_rows`` of them by hash; without any, from the built-in samples."""
+def train(labelled: DataFrame | None = None, *, max_rows: int = 50_000, least: int = LEAST) -> MarkovPair:
+    """Models from rows (text, label 1 for random, 0 for ordinary), at most ``max_rows`` of them by hash; without any, from the built-in samples.
+
+    Rows without text or label are left out; repeated rows count again; other columns aren't read.
+    """
     if labelled is None:
-        return MarkovPair(labelled_samples())
+        return MarkovPair(labelled_samples(least=least), least=least)
     rows = labelled.where("text IS NOT NULL AND label IS NOT NULL").select("text", "label").orderBy(F.xxhash64("text", "label")).limit(max_rows).collect()
-    return MarkovPair([(r["text"], int(r["label"])) for r in rows])
+    return MarkovPair([(r["text"], int(r["label"])) for r in rows], least=least)
 
 
 def scan(docs: DataFrame, models: MarkovPair | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find secrets in every whole text.
 
-    Returns doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 (of the base spans), spans
-    (all as kind:start:end) and found (the same as an array of structs). A null text counts as
-    empty; repeated rows give repeated results; other columns are left out; an empty table gives no
-    rows. A map over rows: no shuffle, and the models are a fixed-size table.
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans), spans (all as
+    kind:start:end), n_markov and found (the spans as an array of structs). A null text counts as
+    empty; a null id stays null; repeated rows give repeated results; other columns are left out; an
+    empty table gives no rows. The models look at runs of ``models.least`` characters and more, and
+    at what base spans leave of them; random strings below that length are found by the patterns
+    only. A map over rows: no shuffle, the models are a fixed-size table, and time is linear in a
+    text's length.
     """
     models = models or train()
 
@@ -203,14 +237,14 @@ def scan(docs: DataFrame, models: MarkovPair | None = None, *, id_col: str = "do
             for text in batch.column(1):
                 base, spans = all_spans(text.as_py() or "", models)
                 n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-                rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans), [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]))
+                rows.append((*n[:3], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans), n[3], [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]))
             found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "found"])
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64(), found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov", "found"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_arrow(slim, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
+    return map_arrow(slim, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long, found array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(docs: DataFrame, models: MarkovPair | None = None, *, text_col: str = "text") -> DataFrame:
