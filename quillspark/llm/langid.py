@@ -17,17 +17,21 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .workers import kept, map_arrow
 
-#: Documents of each language, in expectation, on which the probabilities are fitted.
-TRAIN_DOCS = 2000
-MAX_LANGUAGES = 1000
-#: Longest piece, and the share of a character that no piece covers.
-LONGEST, UNKNOWN = 16, 1e-7
-CACHE_WORDS = 250_000
+#: Documents of each language, at most, on which the probabilities are fitted; longer runs of letters are learned in stretches of so many.
+TRAIN_DOCS, FIT_LETTERS = 2000, 512
+#: The share of a character that no piece covers.
+UNKNOWN = 1e-7
+#: Word scores that a worker keeps, and numbers that a batch of words takes at a position's width; runs of more letters are scored one at a time.
+CACHE_SCORES, BATCH_SCORES, LONG = 1_000_000, 160_000, 4096
+#: How far below the worst fitted document's log probability a letter a text may be and still count as one of the languages.
+MARGIN = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -44,7 +48,7 @@ def read_pieces(file: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=file)
     found = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return list(dict.fromkeys(p for p in found if len(p) <= LONGEST and (p == _START or p.removeprefix(_START).isalpha())))
+    return list(dict.fromkeys(p for p in found if (p == _START or p.removeprefix(_START).isalpha())))
 
 
 class Lattice:
@@ -72,7 +76,9 @@ class Lattice:
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """Word lengths with the start mark, and for each piece length the ids (words x ends, -1: no piece)."""
-        marked = [_START + w for w in words]
+        return self._edges([_START + w for w in words])
+
+    def _edges(self, marked: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         size = np.array([len(w) for w in marked])
         codes = np.zeros((len(marked), size.max()), np.uint64)
         codes[np.arange(size.max()) < size[:, None]] = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
@@ -118,6 +124,27 @@ class Lattice:
         alpha, size, _ = self.forward(words, probs)
         return alpha[np.arange(len(words)), size]
 
+    def score_long(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """As ``score`` for one word of any length: the sums before the last piece's reach are carried from stretch to stretch."""
+        marked, reach = _START + word, self.lengths[-1]
+        total = np.zeros(probs.shape[1])
+        before = np.zeros((reach, probs.shape[1]))  # sums n + 1 positions back, relative to the last
+        before[0] = 1
+        for at in range(0, len(marked), LONG):
+            first = max(0, at - reach)
+            part = marked[first : at + LONG]
+            _, edges = self._edges([part])
+            found = np.full((reach, len(part) + 1), -1)
+            for n, ids in edges.items():
+                found[n - 1, n:] = ids[0]
+            for j in range(at - first + 1, len(part) + 1):
+                hit = np.flatnonzero(found[:, j] >= 0)
+                now = UNKNOWN + (before[hit] * probs[found[hit, j]]).sum(0)
+                total += np.log(now)
+                before[1:] = before[:-1] / now
+                before[0] = 1
+        return total
+
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces x languages) over all segmentations of counted words: forward, then backward."""
         alpha, size, edges = self.forward(words, probs)
@@ -145,29 +172,55 @@ class Model:
     languages: list[str]
     pieces: list[str]
     probs: np.ndarray  # pieces x languages
+    floor: float = -np.inf  # log probability a letter that the worst fitted documents have
 
     @cached_property
     def key(self) -> str:
         return hashlib.sha256(repr(self.languages).encode() + self.probs.tobytes()).hexdigest()
 
 
-def train(docs: DataFrame, vocabulary_file: str | None = None, *, train_docs: int = TRAIN_DOCS, rounds: int = 2, text_col: str = "text", lang_col: str = "lang") -> Model:
+def _batches(words: list[str], languages: int, scores: int) -> Iterator[list[int]]:
+    """Places of words of like length together, so many that a batch's tables stay bounded."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        cut = order[at : at + max(1, scores // ((len(words[order[at]]) + 8) * languages))]
+        while len(cut) > 1 and len(words[cut[-1]]) > 2 * len(words[cut[0]]) + 8:
+            cut = cut[: len(cut) // 2]
+        yield cut
+        at += len(cut)
+
+
+def _sample(docs: DataFrame, train_docs: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list[str]]:
+    """At most ``train_docs`` labelled rows of each language, by a hash of id and text (a row that repeats both is one), and the languages."""
+    own = [F.col(id_col).cast("string")] if id_col in docs.columns else []
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    known = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*own, text_col, F.lit("langid")).alias("draw"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # the model's classes
+    if not sizes:
+        return known, []
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, train_docs / n)) for k, n in sizes.items()], "lang string, share double")
+    drawn = known.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))  # a row for each class
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return drawn.dropDuplicates(["lang", "draw"]).withColumn("place", place).where(F.col("place") <= train_docs).select("text", "lang"), sorted(sizes)
+
+
+def train(docs: DataFrame, vocabulary_file: str | None = None, *, train_docs: int = TRAIN_DOCS, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit piece probabilities by expectation maximization on labelled rows (``text_col``, ``lang_col``).
 
-    The fit uses a sample bounded by ``train_docs`` documents a language in expectation, drawn by a
-    hash of the text. Words are counted in Spark, and each round's expected counts are summed in
-    tasks; the driver gets one row for each piece and language. Rows without text or label are left
-    out; without any left the model has no languages.
+    The fit uses a sample of at most ``train_docs`` documents a language, drawn by a hash of id (if
+    there is that column) and text; runs of over FIT_LETTERS letters are learned in stretches. All
+    labels are learned. Words are counted in Spark, and each round's expected counts are summed
+    there; the model, and what the driver gets, is a number for each piece of the fixed vocabulary
+    and language. Rows without text or label are left out; without any left the model has no
+    languages. ``floor`` is what one in a thousand fitted documents, or fewer, are below in log
+    probability a letter.
     """
-    pieces = read_pieces(vocabulary_file or default_file())
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
+    pieces, spark = read_pieces(vocabulary_file or default_file()), docs.sparkSession
+    sample, languages = _sample(docs, train_docs, id_col, text_col, lang_col)
     if not languages:
         return Model([], pieces, np.zeros((len(pieces), 0)))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, train_docs / sizes[k])))])
-    draw = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(draw < share[F.col("lang")])
+    sample = sample.persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,34 +228,53 @@ def train(docs: DataFrame, vocabulary_file: str | None = None, *, train_docs: in
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w in _WORD.findall(text.lower()):
                     if w.isalpha():
-                        tally[lang, w] = tally.get((lang, w), 0) + 1
+                        for at in range(0, len(w), FIT_LETTERS):
+                            key = (lang, w[at : at + FIT_LETTERS])
+                            tally[key] = tally.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in tally], pa.string()) for i in (0, 1)] + [pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
 
-    # Runs of over 64 letters are no words to learn from; they are scored like any other.
-    counted = map_arrow(sample, count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).where(F.length("word") <= 64).persist()
+    counted = map_arrow(sample, count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).persist()
     probs = np.full((len(pieces), len(languages)), 1 / len(pieces))
     index = {k: i for i, k in enumerate(languages)}
     for _ in range(rounds):
-        now = probs
+        now = spark.sparkContext.broadcast(probs)
 
         def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lattice, total = Lattice(pieces), np.zeros((len(pieces), len(languages)))
             for df in frames:
                 df = df.groupby(["word", "lang"], as_index=False)["n"].sum()
-                for at in range(0, len(df), 2048):
-                    cut = df.iloc[at : at + 2048]
+                words, k, n = df["word"].tolist(), df["lang"].map(index).to_numpy(), df["n"].to_numpy()
+                for cut in _batches(words, len(languages), 3 * BATCH_SCORES):
                     counts = np.zeros((len(cut), len(languages)))
-                    counts[np.arange(len(cut)), cut["lang"].map(index)] = cut["n"]
-                    total += lattice.expected(cut["word"].tolist(), counts, now)
+                    counts[np.arange(len(cut)), k[cut]] = n[cut]
+                    total += lattice.expected([words[i] for i in cut], counts, now.value)
             p, k = np.nonzero(total)
             yield pd.DataFrame({"piece": p, "k": k, "n": total[p, k]})
 
         got = counted.mapInPandas(expect, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
+        now.unpersist()
         counts = np.zeros_like(probs)
         counts[got["piece"], got["k"]] = got["n"]
         probs = (counts + 0.01) / (counts + 0.01).sum(0)
     counted.unpersist()
-    return Model(languages, pieces, probs)
+    model = Model(languages, pieces, probs)
+    sent = _send(spark, model)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _judge(sent.value, batch.column(0).to_pylist())[2]
+            yield pa.RecordBatch.from_arrays([pa.array(own[np.isfinite(own)], pa.float64())], ["fit"])
+
+    worst = map_arrow(sample, fit, "fit double").agg(F.percentile_approx("fit", 0.001, 10_000)).first()[0]
+    sample.unpersist()
+    model.floor = -np.inf if worst is None else float(worst)
+    return model
+
+
+def _send(spark: SparkSession, model: Model) -> Broadcast:
+    """The model once for each executor: a number for each piece of the vocabulary and language."""
+    ship(spark)
+    return spark.sparkContext.broadcast(model)
 
 
 class _Scores:
@@ -214,11 +286,12 @@ class _Scores:
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.languages)))
+        self.table = np.zeros((1024, len(self.model.languages) + 1))  # the last: letters, with the start mark
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
-        """Summed scores of each text."""
-        if len(self.rows) > CACHE_WORDS:
+        """Summed scores of each text, and its letters."""
+        languages = len(self.model.languages)
+        if len(self.rows) * (languages + 1) > CACHE_SCORES:
             self.clear()
         rows, ids, ends = self.rows, [], []
         old = len(rows)
@@ -228,15 +301,10 @@ class _Scores:
         new = list(islice(rows, old, None))
         if len(rows) + 1 > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((len(rows) + 1 - len(self.table) + len(self.table) // 2, self.table.shape[1]))])
-        order = sorted(range(len(new)), key=lambda i: len(new[i]))  # words of like length together
-        at = 0
-        while at < len(order):
-            take = max(1, 40_000 // (len(new[order[at]]) + 8))
-            cut = order[at : at + take]
-            while len(cut) > 1 and len(new[cut[-1]]) > 2 * len(new[cut[0]]) + 8:
-                cut = cut[: len(cut) // 2]
-            self.table[old + np.array(cut)] = _piecewise(self.lattice, [new[i] for i in cut], self.model.probs)
-            at += len(cut)
+        for cut in _batches(new, languages, BATCH_SCORES):
+            at = old + np.array(cut)
+            self.table[at, :-1] = _scores(self.lattice, [new[i] for i in cut], self.model.probs)
+            self.table[at, -1] = [len(new[i]) + 1 for i in cut]
         ends = np.array(ends)
         starts = np.concatenate([[0], ends[:-1]])
         ids = np.array(ids, np.int64)
@@ -252,20 +320,22 @@ def _worker(model: Model) -> _Scores:
     return kept(("langid", model.key), lambda: _Scores(model))
 
 
-def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Predicted languages and posteriors."""
+def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted languages, posteriors, and log probabilities a letter in the predicted language (-inf: no letter)."""
     letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     if not model.languages:
-        return ["und"] * len(texts), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
     total = _worker(model).texts(texts)
+    total, size = total[:, :-1], total[:, -1]
     posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-    return [model.languages[b] if has else "und" for b, has in zip(total.argmax(1), letters)], np.where(letters, posterior, 0.0)
+    fit = np.where(letters, total.max(1) / np.maximum(size, 1), -np.inf)
+    return [model.languages[b] if has else "und" for b, has in zip(total.argmax(1), letters)], np.where(letters, posterior, 0.0), fit
 
 
-def _piecewise(lattice: Lattice, words: list[str], probs: np.ndarray) -> np.ndarray:
-    """Scores of words; one beyond 4096 letters is scored in stretches of that length, to bound memory."""
-    if len(words) == 1 and len(words[0]) > 4096:
-        return sum(lattice.score([words[0][i : i + 4096]], probs) for i in range(0, len(words[0]), 4096))
+def _scores(lattice: Lattice, words: list[str], probs: np.ndarray) -> np.ndarray:
+    """Scores of words; long ones by themselves, which bounds memory."""
+    if max(map(len, words)) > LONG:
+        return np.array([lattice.score_long(w, probs) for w in words])
     return lattice.score(words, probs)
 
 
@@ -275,14 +345,16 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     ``score`` is the posterior of the predicted language under equal priors. A text that is null or
     has no letter, and any text if the model knows no language, is ``und`` with score 0. Ties go to
     the first language by name. Other columns are left out; an empty table gives no rows. A map over
-    rows: no shuffle; a worker holds the fixed model and a bounded table of word scores.
+    rows: no shuffle; a worker holds the fixed model and a bounded table of word scores. Repeated rows
+    give repeated results and a null id stays null; texts and words of any length are scored whole.
     """
+    sent = _send(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 cut = batch.slice(at, 1000)
-                langs, scores = _judge(model, cut.column(1).to_pylist())
+                langs, scores, _ = _judge(sent.value, cut.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -301,17 +373,22 @@ def identify(docs: DataFrame, vocabulary_file: str | None = None, *, train_docs:
 
 
 def accepted(docs: DataFrame, vocabulary_file: str | None = None, *, least: float = 0.5, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language that the model recognizes: not ``und``, and a posterior of ``least``."""
+    """The rows of ``docs`` whose text is in a language that the model recognizes.
+
+    That is: not ``und`` (null, empty, without letters), a posterior of ``least``, and a log
+    probability a letter that is not more than MARGIN below what the worst fitted documents have,
+    which an unlearned language or script falls below. Without labels nothing is recognized.
+    Repeated rows are judged alike; all columns stay; an empty table stays empty.
+    """
     model = train(docs.where(F.col("doc_id").isNotNull() & ~fold()), vocabulary_file, train_docs=train_docs)
-    at = docs.columns.index("text")
-    names = docs.columns
+    at, names, sent = docs.columns.index("text"), docs.columns, _send(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 cut = batch.slice(a, 1000)
-                langs, scores = _judge(model, cut.column(at).to_pylist())
-                keep = pa.array((scores >= least) & (np.array(langs) != "und"))
+                langs, scores, fit = _judge(sent.value, cut.column(at).to_pylist())
+                keep = pa.array((scores >= least) & (np.array(langs) != "und") & (fit >= sent.value.floor - MARGIN))
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cut.columns], names)
 
     return map_arrow(docs, run, docs.schema)

@@ -66,9 +66,44 @@ def test_edges(spark):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert [got[i]["lang_pred"] for i in (100, 102, 103)] == ["und"] * 3 and got[103]["score"] == 0
     assert got[101]["lang_pred"] == "de" and got[None]["lang_pred"] == "en" and got[104]["lang_pred"] in ("de", "en") and not got[None]["held_out"]
-    assert got[105]["lang_pred"] in ("de", "en")
+    assert got[105]["lang_pred"] in ("de", "en")  # a language must be named, but the text isn't accepted
     kept = {r["doc_id"] for r in langid.accepted(docs).collect()}
-    assert {100, 102, 103}.isdisjoint(kept) and set(range(1, 41)) <= kept and langid.accepted(docs).columns == docs.columns
+    assert {100, 102, 103, 105}.isdisjoint(kept) and set(range(1, 41)) <= kept and langid.accepted(docs).columns == docs.columns
     assert langid.identify(docs.limit(0)).count() == 0
     unlabelled = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+@pytest.mark.parametrize("stretch", [16, 50, 4096])
+def test_long_words_are_summed_whole(probs, monkeypatch, stretch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeinstrhl"), n)) for n in (1, 15, 16, 17, 49, 50, 51, 5000)]
+    lattice = langid.Lattice(PIECES)
+    want = lattice.score(words, probs)
+    monkeypatch.setattr(langid, "LONG", stretch)
+    assert np.allclose([lattice.score_long(w, probs) for w in words], want, rtol=1e-9)
+    assert np.allclose(langid._scores(lattice, words[-2:], probs), want[-2:], rtol=1e-9)
+
+
+def test_a_repeated_text_stays_within_the_bound(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'the same house again' AS text", "'en' AS lang")
+    sample, languages = langid._sample(docs, 50, "doc_id", "text", "lang")
+    assert languages == ["en"] and 20 < sample.count() <= 50
+    same = docs.withColumn("doc_id", F.lit(1))
+    assert langid._sample(same, 5000, "doc_id", "text", "lang")[0].count() == 1
+    assert langid._sample(docs.drop("doc_id"), 50, "doc_id", "text", "lang")[0].count() <= 1
+
+
+def test_every_label_is_learned(spark):
+    docs = spark.range(1200).selectExpr("id AS doc_id", "concat('word ', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "cast(id AS string) AS lang")
+    model = langid.train(docs, rounds=1)
+    assert len(model.languages) == 1200 and model.probs.shape[1] == 1200
+    rows = langid.predict(docs.where("doc_id % 100 = 0"), model).collect()
+    assert len(rows) == 12 and all(r["lang_pred"] in model.languages for r in rows)
+
+
+def test_long_runs_are_learned_from_and_other_scripts_rejected(spark):
+    runs = [(i, "straßenbahnhaltestelle" * 40, "de") for i in range(1, 40)] + [(i, "the railway station and the street", "en") for i in range(40, 80)]
+    docs = spark.createDataFrame([*runs, (200, "восемь документов на русском языке", None), (201, "straßenbahn", None), (202, "the street", None), (202, "the street", None)], "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in langid.accepted(docs).collect()]
+    assert 200 not in kept and 201 in kept and kept.count(202) == 2 and set(range(1, 80)) <= set(kept)
