@@ -90,10 +90,10 @@ def brute_top(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize(("block", "queries", "leaf"), [(8192, 4096, 128), (40, 4, 4)])
-def test_top_k(spark, monkeypatch, block, queries, leaf):
-    monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "QUERIES", queries)
+@pytest.mark.parametrize(("block", "queries", "centres", "sample"), [(8192, 4096, 128, 4096), (40, 4, 128, 4096), (20, 2, 3, 60)])
+def test_top_k(spark, monkeypatch, block, queries, centres, sample):
+    for name, value in (("BLOCK", block), ("QUERIES", queries), ("CENTRES", centres), ("SAMPLE", sample)):
+        monkeypatch.setattr(topk, name, value)
     rows = [*make(np.random.default_rng(9), 300), (None, [1.0] * 16, 1, 0, 1), (-40, [0.5] * 16, 1, 0, 1)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = defaultdict(list)
@@ -107,6 +107,23 @@ def test_top_k(spark, monkeypatch, block, queries, leaf):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 10])
+def test_rows_that_share_an_id_all_ask(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = [(i % 30, [float(x) for x in rng.integers(-3, 3, 4)]) for i in range(90)] + [(0, [1.0, 0.0, 0.0, 0.0])] * 3
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5).collect():
+        got[r["query_id"], r["rank"]].append((r["score"], r["vec_id"]))
+    want = defaultdict(list)
+    for n, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            others = sorted((-int(sum(64 * 64 * a * b for a, b in zip(v, w))), j) for m, (j, w) in enumerate(rows) if m != n)
+            for rank, (s, j) in enumerate(others[:5], 1):
+                want[i, rank].append((-s, j))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
 def test_cover_tree_invariants():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.integers(-20, 20, (400, 5)), np.repeat(rng.integers(-20, 20, (1, 5)), 300, 0)]).astype(float)
@@ -117,6 +134,9 @@ def test_cover_tree_invariants():
         if node.children:
             assert sorted(r for c in node.children for r in c.rows) == sorted(node.rows)
             assert (node.children[0].centre == node.centre).all()
+            apart = [np.sqrt(((a.centre - b.centre) ** 2).sum()) for i, a in enumerate(node.children) for b in node.children[:i]]
+            assert min(apart) > node.radius / 2 - 1e-9 and len(node.children) <= topk.FANOUT
+            assert len(node.children) == topk.FANOUT or all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)
             stack += node.children
         else:
             leaves.append(node)
@@ -130,7 +150,7 @@ def test_dual_search_prunes_and_is_exact():
     x = np.floor(centres[rng.integers(0, 10, 2000)] + rng.standard_normal((2000, 8)))
     ids = rng.permutation(2000)
     q = x[:50]
-    best = topk.dual_search(q, ids[:50], np.full(50, topk._NONE), x, ids, 5)
+    best = topk.dual_search(q, np.arange(50), np.full(50, topk._NONE), x, ids, np.arange(2000), 5)
     for i in range(50):
         s = sorted((-int(v), int(d)) for v, d in zip(x @ q[i], ids) if d != ids[i])[:5]
         assert [(-int(a), int(b)) for a, b in zip(best.score[i], best.id[i])] == s
