@@ -18,8 +18,6 @@ from .word_bpe import Cache, WordBPE, default_file
 from .workers import kept, map_arrow
 
 CAPACITY = 4096
-#: Counts by length and task that are sent to every executor.
-BROADCAST_ROWS = 200_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -135,21 +133,21 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, *, end_id: int = 1,
     slots meet by (length, rank). A piece's rank is its place among its task's pieces of that
     length plus the counts of earlier tasks; it is written with the piece, so a hot length is
     counted where it lies. The driver sees the histogram (at most ``capacity`` rows) only, and the
-    plan's runs are bounded by it too. Counts by (length, task) are sent to the pieces if there are
-    few enough, else both are shuffled to each other.
+    plan's runs are bounded by it too. Pieces are written in buckets of their task, and the tasks'
+    counts, a row for each task, are shuffled to them: ids are written once and not shuffled.
     """
-    cut, _ = store.materialize(pieces(docs, tokenizer_file, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col, keep_ids=keep_ids), "pieces")
+    cut = store.materialize_by(pieces(docs, tokenizer_file, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col, keep_ids=keep_ids), "pieces", "task")
     by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts, _ = store.materialize(by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")), "shifts")
     counts = {r["length"]: r["n"] for r in shifts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     segments = docs.sparkSession.createDataFrame(plan(counts, capacity), "l long, rank_from long, bins long, per_bin long, first_sequence long, first_offset long")
-    shifts = shifts.select("length", "task", "shift")
-    if shifts.count() <= BROADCAST_ROWS:
-        shifts = F.broadcast(shifts)
+    # A row for each task, with at most ``capacity`` entries.
+    shifts = shifts.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "shift"))).alias("shifts"))
     step = F.col("nth") + F.col("shift") - F.col("rank_from")
     return (
-        cut.join(shifts, ["length", "task"])
+        cut.join(shifts.hint("shuffle_hash"), "task")
+        .withColumn("shift", F.col("shifts")[F.col("length")])
         .join(
             F.broadcast(segments),  # a few rows for each distinct length, of which there are at most ``capacity``
             (F.col("length") == F.col("l")) & (step >= 0) & (step < F.col("bins") * F.col("per_bin")),

@@ -56,6 +56,19 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``materialize``, in as many buckets of ``column`` as a shuffle has partitions, so that a join on it leaves the rows where they are."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"quillspark_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(table)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    if (inner := _open.get()) is not None:
+        inner.append(path)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: the files are its path's
+    return out
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table whose readers have all been materialized."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -125,3 +125,25 @@ def test_packed_documents(spark):
     slim = packing.pack(docs, keep_ids=False)
     assert "ids" not in slim.columns and slim.count() == len(rows)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_ids_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, "some words " * (i % 7 * 300)) for i in range(60)], "doc_id long, text string").repartition(5)
+    out = packing.pack(docs)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: next(i for i, c in enumerate(line) if c.isalpha())
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "ids#" in line)
+    above, indent = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if any(map(str.isalpha, line)) and depth(line) < indent:
+            above.append(line)
+            indent = depth(line)
+    assert any("Join" in line for line in above) and not any("Exchange" in line or " Sort" in line for line in above), lines
+    assert "Bucketed: true" in lines[at]
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows if r["piece"] == 0) == list(range(60))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and len(r["ids"]) == r["length"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096
