@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
@@ -299,21 +300,72 @@ class Changes:
         return n
 
     def _fire(self, db: Database, name: str, timing: str, event: str, transition: DataFrame, journal: list | None, depth: int) -> None:
-        """Run the triggers of an event over its rows (rowid, OLD and NEW as far as the event has them), as whole statements where they can be."""
+        """Run the triggers of an event over its rows (rowid, OLD and NEW as far as the event has them).
+
+        Triggers go row by row: every statement of every trigger for one row, then the next row. Where
+        no statement reads or writes a table that another one writes, statement by statement comes to
+        the same, and each runs over all rows at once if it can.
+        """
+        bound = {k: self._field(k) for k in ("OLD", "NEW") if k in transition.columns}
+        missing = {"OLD", "NEW"} - set(bound)
+        todo = []
         for trigger in [x for x in db.triggers.values() if (x.table, x.timing, x.event) == (name, timing, event)]:
-            bound = {k: self._field(k) for k in ("OLD", "NEW") if k in transition.columns}
-            rows = transition
-            if trigger.condition:
-                rows = rows.where(self.engine.renderer(db, rows=bound).predicate(parse_expr(trigger.condition)))
-            if rows.isEmpty():
+            condition = self.engine.renderer(db, rows=bound).predicate(parse_expr(trigger.condition)) if trigger.condition else "true"
+            if transition.where(condition).isEmpty():
+                continue
+            statements = [parse(text).statement for text in trigger.body]
+            if any(mentions(s, frozenset(missing)) for s in statements):
+                raise TriggerError(f"{trigger.name}: {event} has no {' or '.join(sorted(missing))}")
+            todo.append((condition, statements))
+        if self._independent(db, [s for _, statements in todo for s in statements]):
+            for condition, statements in todo:
+                for s in statements:
+                    rows = transition.where(condition)
+                    if not self._at_once(db, s, rows, bound, journal, depth):
+                        self._row_by_row(db, [(None, [s])], rows, journal, depth)
+            return
+        flags = {f"__when{n}": F.coalesce(F.expr(condition), F.lit(False)) for n, (condition, _) in enumerate(todo)}
+        self._row_by_row(db, [(f"__when{n}", statements) for n, (_, statements) in enumerate(todo)], transition.withColumns(flags), journal, depth)
+
+    def _independent(self, db: Database, statements: list[Any]) -> bool:
+        """Whether no statement reads or writes a table that another one writes, itself or through triggers and foreign keys."""
+        effects = [self._effects(db, s) for s in statements]
+        return not any(writes & (reads | others) for i, (_, writes) in enumerate(effects) for j, (reads, others) in enumerate(effects) if i != j)
+
+    @staticmethod
+    def _effects(db: Database, statement: Any) -> tuple[set[str], set[str]]:
+        """The tables that a statement reads, and those that it writes, with all that follows from it."""
+        reads, writes, todo = set(), set(), [statement]
+
+        def read(x: Any) -> None:
+            if isinstance(x, tuple):
+                for y in x:
+                    read(y)
+            elif isinstance(x, t.Table) or isinstance(x, t.Call) and x.name == "fts_match":
+                for name in [x.name] if isinstance(x, t.Table) else re.findall(r"\w+", repr(x)):
+                    if name not in reads and (name in db.tables or name in db.views):
+                        reads.add(name)
+                        if name in db.views:
+                            read(parse(db.views[name].text).statement)
+            else:
+                for y in getattr(x, "__dict__", {}).values():
+                    read(y)
+
+        while todo:
+            s = todo.pop()
+            read(s)
+            if not isinstance(s, (t.Insert, t.Update, t.Delete)):
+                continue
+            if not isinstance(s, t.Insert):
+                reads.add(s.table)
+            if s.table in writes:
                 continue
-            for text in trigger.body:
-                s = parse(text).statement
-                missing = {"OLD", "NEW"} - set(bound)
-                if mentions(s, frozenset(missing)):
-                    raise TriggerError(f"{trigger.name}: {event} has no {' or '.join(sorted(missing))}")
-                if not self._at_once(db, s, rows, bound, journal, depth):
-                    self._row_by_row(db, s, rows, journal, depth)
+            writes.add(s.table)
+            todo += [parse(text).statement for x in db.triggers.values() if x.table == s.table for text in x.body]
+            if s.table in db.tables:
+                reads |= {fk.table for fk in db.tables[s.table].foreign}
+            todo += [t.Delete(child.name, None) for child in db.tables.values() if any(fk.table == s.table and (fk.on_delete or fk.on_update) for fk in child.foreign)]
+        return reads, writes
 
     @staticmethod
     def _field(name: str) -> Callable[[str], str]:
@@ -353,11 +405,15 @@ class Changes:
                 return True
         return False
 
-    def _row_by_row(self, db: Database, s: Any, rows: DataFrame, journal: list | None, depth: int) -> None:
-        """A statement for each row in order, where a later one may see what an earlier one did."""
+    def _row_by_row(self, db: Database, todo: list[tuple[str | None, list[Any]]], rows: DataFrame, journal: list | None, depth: int) -> None:
+        """The statements of each (flag, statements) for each row in order, where a later one may see what an earlier one did."""
         for row in rows.orderBy(ROWID).toLocalIterator():
             bound = {k: self._constant(row[k]) for k in ("OLD", "NEW") if k in rows.columns}
-            self.run(db, s, [], journal, depth + 1, bound)
+            for flag, statements in todo:
+                if flag is None or row[flag]:
+                    for s in statements:
+                        if not isinstance(s, t.Query):
+                            self.run(db, s, [], journal, depth + 1, bound)
 
     @staticmethod
     def _constant(row: Any) -> Callable[[str], str]:

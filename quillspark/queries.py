@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .errors import ConstraintViolation
 from .sources.kv import SCHEMA, live
 from .streaming.replication import replicate
 
@@ -23,6 +24,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or on one machine a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return f"{base}/quillspark/engine-{uuid.uuid4().hex}"
 
@@ -132,6 +136,10 @@ SELECTS: dict[str, tuple] = {
     "set_except": ("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem", None),
     "window_rank": ("SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders", "SELECT o_orderkey, CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INTEGER) AS r FROM orders"),
     "cte_subquery": ("WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, n FROM customer JOIN big ON c_custkey = o_custkey WHERE n > (SELECT AVG(n) FROM big)", None),
+    "star_of_one_table": ("SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", "SELECT CAST(n.n_nationkey AS BIGINT) AS n_nationkey, n.n_name, CAST(n.n_regionkey AS BIGINT) AS n_regionkey, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"),
+    "select_without_from": ("SELECT 1 + 2 AS a, 'x' || 'y' AS b, 7 / 2 AS c", "SELECT CAST(3 AS BIGINT) AS a, 'xy' AS b, CAST(3.5 AS DOUBLE) AS c"),
+    "derived_table": ("SELECT d.k, COUNT(*) AS n FROM (SELECT o_custkey % 7 AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 1000) d WHERE d.p < 300000 GROUP BY d.k", "SELECT o_custkey % 7 AS k, COUNT(*) AS n FROM orders WHERE o_totalprice > 1000 AND o_totalprice < 300000 GROUP BY 1"),
+    "statistical_aggregates": ("SELECT o_orderstatus, ROUND(STDDEV(o_totalprice), 2) AS s, ROUND(VAR_POP(o_custkey), 4) AS v FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, ROUND(stddev_samp(o_totalprice), 2) AS s, ROUND(var_pop(o_custkey), 4) AS v FROM orders GROUP BY o_orderstatus"),
     "in_and_exists": ("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)", None),
 }
 
@@ -220,6 +228,64 @@ def _replication(engine: Engine) -> DataFrame:
     return replica.kv_table(0, "t").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def _replication_after_compaction(engine: Engine) -> DataFrame:
+    """A source that compacts between two runs of one replica, and before the first of another."""
+    spark = engine.spark
+    replicas = [Engine(spark, base_dir=scratch(spark)) for _ in range(2)]
+    events = spark.sql(f"SELECT * FROM {engine._resolve(engine.database(0), 'events').sql}")
+    for part in (0, 1):
+        rows = events.where(F.col("event_id") % 2 == part).groupBy("user_id").agg(F.max("event_id").alias("last"))
+        engine.log.put_all(rows.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.col("last").cast("string").cast("binary").alias("value")), 0, "t")
+        if part == 0:
+            replicate(engine.log, replicas[0].log, f"{engine.base_dir}/replica-0", once=True).awaitTermination()
+        engine.log.compact()
+    for n, replica in enumerate(replicas):
+        replicate(engine.log, replica.log, f"{engine.base_dir}/replica-{n}", once=True).awaitTermination()
+    tables = [x.kv_table(0, "t").select(F.lit(n).alias("replica"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")) for n, x in enumerate(replicas)]
+    return tables[0].unionAll(tables[1])
+
+
+def _single_puts(engine: Engine) -> DataFrame:
+    engine.put(0, "t", b"a", b"1")
+    engine.put(0, "t", b"b", b"2")
+    engine.flush()
+    engine.put(0, "t", b"a", (engine.get(0, "t", b"a") or b"") + b"x")
+    engine.remove(0, "t", b"b")
+    engine.put(0, "t", b"c", b"3")
+    return engine.kv_table(0, "t").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def _refused(engine: Engine) -> DataFrame:
+    """Statements that break a rule leave nothing behind."""
+    engine.query(0, "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT NOT NULL, size INTEGER CHECK (size > 0))")
+    engine.query(0, "INSERT INTO t SELECT p_partkey, p_name, p_size FROM part")
+    refused = 0
+    for sql in ("INSERT INTO t (id, name, size) VALUES (-1, 'x', 1), (-2, NULL, 1)", "INSERT INTO t VALUES (-1, 'x', 0)", "INSERT INTO t SELECT id, name, size FROM t WHERE id < 5", "UPDATE t SET name = NULL WHERE id < 10"):
+        try:
+            engine.query(0, sql)
+        except ConstraintViolation:
+            refused += 1
+    return engine.query(0, "SELECT *, ? AS refused FROM t", [refused]).df
+
+
+def _restarted(engine: Engine) -> DataFrame:
+    """Tables, views, indexes and triggers of an engine that starts anew in the same folder."""
+    for sql in (*_ORDERS, "CREATE VIEW dear AS SELECT * FROM t WHERE price > 300000", "CREATE TABLE gone (id INTEGER)", "DROP TABLE gone", "CREATE VIEW old AS SELECT 1 AS x", "DROP VIEW old", "CREATE INDEX i ON t (cust)", "DROP INDEX i",
+                "CREATE TABLE log (id INTEGER)", "CREATE TRIGGER kept AFTER DELETE ON t BEGIN INSERT INTO log VALUES (OLD.id); END", "CREATE TRIGGER dropped AFTER DELETE ON t BEGIN INSERT INTO log VALUES (-1); END", "DROP TRIGGER dropped"):
+        engine.query(0, sql)
+    engine.flush()
+    again = Engine(engine.spark, base_dir=engine.base_dir)
+    again.query(0, "DELETE FROM t WHERE status = 'P'")
+    return again.query(0, "SELECT id, 'dear' AS what FROM dear UNION ALL SELECT id, 'log' FROM log").df
+
+
+def _counts(engine: Engine) -> DataFrame:
+    """How many rows each statement says that it touched."""
+    engine.query(0, _ORDERS[0])
+    done = [engine.query(0, sql).affected_rows for sql in (_ORDERS[1], "INSERT INTO t DEFAULT VALUES", "UPDATE t SET price = 0 WHERE cust < 100", "DELETE FROM t WHERE price = 0", "DELETE FROM t WHERE price = 0")]
+    return engine.spark.createDataFrame(list(enumerate(done)), "statement long, n long")
+
+
 def _late_stream(engine: Engine) -> DataFrame:
     """Batches that arrive out of order and twice leave a replica as one that came in order."""
     log = _stream_log(engine)
@@ -281,6 +347,25 @@ STORIES: dict[str, tuple[Story, str]] = {
                "CREATE TRIGGER d BEFORE DELETE ON t BEGIN DELETE FROM shadow WHERE id = OLD.id; END", "UPDATE t SET price = -1 WHERE status = 'F'", "DELETE FROM t WHERE status = 'P'", "SELECT * FROM shadow"),
         "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'P'",
     ),
+    "trigger_two_statements": (
+        _after("CREATE TABLE t (id INTEGER PRIMARY KEY, prev INTEGER)", "CREATE TABLE log (id INTEGER)", "CREATE TRIGGER a AFTER INSERT ON t BEGIN INSERT INTO log VALUES (NEW.id); DELETE FROM log WHERE id = NEW.prev; END",
+               "INSERT INTO t SELECT n_nationkey + 1, (n_nationkey + 1) % 3 * 5 FROM nation WHERE n_nationkey < 6 ORDER BY n_nationkey", "SELECT id FROM log"),
+        # Row by row: 1 (deletes 5), 2 (10), 3 (0), 4 (5), 5 (10), 6 (0).
+        "SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4), (5), (6)) v(id)",
+    ),
+    "trigger_row_order": (
+        _after("CREATE TABLE t (id INTEGER PRIMARY KEY, prev INTEGER)", "CREATE TABLE log (id INTEGER)", "CREATE TRIGGER a AFTER INSERT ON t BEGIN INSERT INTO log VALUES (NEW.id); DELETE FROM log WHERE id = NEW.prev; END", "INSERT INTO t VALUES (1, 2), (2, 1)", "SELECT id FROM log"),
+        "SELECT CAST(2 AS BIGINT) AS id",
+    ),
+    "trigger_cascade": (
+        _after(*_ORDERS, "CREATE TABLE a (id INTEGER)", "CREATE TABLE b (id INTEGER)", "CREATE TRIGGER one AFTER DELETE ON t BEGIN INSERT INTO a VALUES (OLD.id); END", "CREATE TRIGGER two AFTER INSERT ON a BEGIN INSERT INTO b VALUES (NEW.id * 2); END", "DELETE FROM t WHERE status = 'P'", "SELECT id FROM b"),
+        "SELECT o_orderkey * 2 AS id FROM orders WHERE o_orderstatus = 'P'",
+    ),
+    "refused_statements": (_refused, "SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_size AS BIGINT) AS size, 4 AS refused FROM part"),
+    "restart": (_restarted, "SELECT o_orderkey AS id, 'dear' AS what FROM orders WHERE o_totalprice > 300000 AND o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'log' FROM orders WHERE o_orderstatus = 'P'"),
+    "affected_rows": (_counts, "WITH n AS (SELECT count(*) FILTER (WHERE o_custkey < 100) AS few, count(*) AS all_ FROM orders) SELECT * FROM (SELECT CAST(0 AS BIGINT) AS statement, all_ AS n FROM n UNION ALL SELECT 1, 1 UNION ALL SELECT 2, few FROM n UNION ALL SELECT 3, few FROM n UNION ALL SELECT 4, 0)"),
+    "kv_single_puts": (_single_puts, "SELECT * FROM (VALUES ('a', '1x'), ('c', '3')) v(key, value)"),
+    "replication_after_compaction": (_replication_after_compaction, "SELECT replica, CAST(user_id AS VARCHAR) AS key, CAST(coalesce(max(event_id) FILTER (WHERE event_id % 2 = 1), max(event_id)) AS VARCHAR) AS value FROM events, (VALUES (0), (1)) r(replica) GROUP BY replica, user_id"),
     "txn_rollback": (_txn, f"{_SAME} UNION ALL SELECT -1, -1, 'X', 1.5"),
     "kv_latest": (_kv, "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'"),
     "replication_apply": (_replication, "SELECT CAST(user_id AS VARCHAR) AS key, CAST(coalesce(max(event_id) FILTER (WHERE event_id % 2 = 1), max(event_id)) AS VARCHAR) AS value FROM events GROUP BY user_id"),

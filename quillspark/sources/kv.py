@@ -2,14 +2,17 @@
 
 A log is a folder of Parquet files with rows (seq, node, key, value, deleted). The newest operation
 of a key counts: the highest (seq, node). Operations are collected in memory and appended in
-batches; compaction keeps the newest of each key. The same files feed replicas as a stream.
+batches, at the latest after an interval; compaction keeps the newest of each key. The same files feed replicas as a stream.
 """
 
 from __future__ import annotations
 
+import json
+import logging
 import threading
 import time
 import uuid
+import zlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +46,7 @@ class Log:
         self.spark, self.files, self.folder, self.node, self.batch_size, self.interval = spark, files, folder, node, batch_size, interval
         self.buffer: list[tuple] = []
         self.lock = threading.RLock()
-        self.flushed = time.monotonic()
+        self.timer: threading.Timer | None = None
         self.seq = self._replay()
 
     @property
@@ -75,8 +78,12 @@ class Log:
         with self.lock:
             self.seq += 1
             self.buffer.append((self.seq, self.node, db, table, bytes(key), None if value is None else bytes(value), value is None))
-            if len(self.buffer) >= self.batch_size or time.monotonic() - self.flushed >= self.interval and len(self.buffer) > 1:
+            if len(self.buffer) >= self.batch_size:
                 self.flush()
+            elif self.timer is None:
+                self.timer = threading.Timer(self.interval, self._due)
+                self.timer.daemon = True
+                self.timer.start()
 
     def put_all(self, rows: DataFrame, db: int, table: str) -> None:
         """Put every (key, value) of a DataFrame by one distributed append."""
@@ -90,7 +97,22 @@ class Log:
             if self.buffer:
                 self.spark.createDataFrame(self.buffer, SCHEMA).coalesce(1).write.mode("append").parquet(self.operations)
                 self.buffer.clear()
-            self.flushed = time.monotonic()
+            if self.timer is not None:
+                self.timer.cancel()
+                self.timer = None
+
+    def _due(self) -> None:
+        """Append what has waited for the interval; if that fails, it waits for another one."""
+        with self.lock:
+            self.timer = None
+            try:
+                self.flush()
+            except Exception:
+                logging.getLogger(__name__).exception("operations are still in memory: the log can't be written")
+                if self.spark.sparkContext._jsc is not None:
+                    self.timer = threading.Timer(self.interval, self._due)
+                    self.timer.daemon = True
+                    self.timer.start()
 
     def get(self, db: int, table: str, key: bytes) -> bytes | None:
         with self.lock:
@@ -107,16 +129,51 @@ class Log:
         self.flush()
         return live(self.stored().where((F.col("db") == db) & (F.col("table") == table))).select("key", "value")
 
+    def snapshot(self) -> DataFrame | None:
+        """What the newest snapshot holds."""
+        found = [x for x in self._parts() if x != self.operations]
+        return self.spark.read.schema(SCHEMA).parquet(*found) if found else None
+
+    def register(self, checkpoint: str) -> None:
+        """Keep operations until the replica with this checkpoint has read them."""
+        self.files.write(f"{self.folder}/replicas/{zlib.crc32(checkpoint.encode()):08x}-{len(checkpoint)}", checkpoint)
+
+    def forget(self, checkpoint: str) -> None:
+        """Wait for this replica no longer."""
+        self.files.delete(f"{self.folder}/replicas/{zlib.crc32(checkpoint.encode()):08x}-{len(checkpoint)}")
+
+    def _passed(self, checkpoint: str) -> set[str]:
+        """Names of the operation files in the finished batches of a stream's checkpoint."""
+        last = max((int(n) for n in self.files.list(f"{checkpoint}/commits") if n.isdigit()), default=-1)
+        out = set()
+        for n in self.files.list(f"{checkpoint}/sources/0"):
+            if n.removesuffix(".compact").isdigit():
+                entries = map(json.loads, self.files.read(f"{checkpoint}/sources/0/{n}").splitlines()[1:])
+                out |= {x["path"].rsplit("/", 1)[-1] for x in entries if x["batchId"] <= last}
+        return out
+
     def compact(self) -> None:
-        """Fold snapshot and operations into a new snapshot, in key ranges; deleted keys leave no trace."""
+        """Fold snapshot and operations into a new snapshot, in key ranges; deleted keys leave no trace.
+
+        Operation files go when every registered replica has read them; till then they count beside
+        the snapshot, which changes nothing, as the newest operation of a key does.
+        """
         with self.lock:
             self.flush()
             parts = self._parts()
-            names = self.files.list(self.operations)
+            names = set(self.files.list(self.operations))
             if not parts:
                 return
+            for n in self.files.list(f"{self.folder}/replicas"):
+                if "." not in n:
+                    names &= self._passed(self.files.read(f"{self.folder}/replicas/{n}"))
             at = f"{self.snapshots}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-            newest(self.spark.read.schema(SCHEMA).parquet(*parts)).where(~F.col("deleted") | (F.col("seq") == self.seq)).repartitionByRange("db", "table", "key").sortWithinPartitions("db", "table", "key").write.parquet(at)
+            last = newest(self.spark.read.schema(SCHEMA).parquet(*parts))
+            if names != set(self.files.list(self.operations)):
+                kept = last  # a deletion must outweigh the older operations that stay
+            else:
+                kept = last.where(~F.col("deleted") | (F.col("seq") == self.seq))
+            kept.repartitionByRange("db", "table", "key").sortWithinPartitions("db", "table", "key").write.parquet(at)
             for name in names:
                 self.files.delete(f"{self.operations}/{name}")
             for old in self.files.list(self.snapshots):

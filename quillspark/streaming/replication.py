@@ -18,9 +18,15 @@ def replicate(source: Log, replica: Log, checkpoint: str, *, once: bool = False,
 
     The highest (seq, node) of a key wins whenever its batch arrives, and a batch that is repeated
     after a failure adds nothing, so order, delay and duplicates don't change what a replica holds.
-    ``once``: all that is there now, then stop.
+    A replica starts from the source's snapshot, and the source's compaction keeps the operations
+    that a replica has not read (``Log.forget`` ends that). ``once``: all that is there now, then stop.
     """
-    source.flush()
+    with source.lock:
+        source.flush()
+        source.register(checkpoint)
+        before = None if replica.files.list(f"{checkpoint}/commits") else source.snapshot()
+        if before is not None:
+            before.write.mode("append").parquet(replica.operations)
 
     def apply(batch: DataFrame, _: int) -> None:
         newest(batch).select(*SCHEMA.names).write.mode("append").parquet(replica.operations)

@@ -1,6 +1,7 @@
 import base64
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -33,13 +34,13 @@ id = 0
 name = "default"
 [[databases]]
 id = 1
-name = "user_data"
+name = "second"
 """
 
 
 def test_config():
     c = config.parse(TOML)
-    assert (c.server_id, c.base_dir, c.batch_size, c.peer_address, [d.name for d in c.databases]) == (7, "/data", 3, "10.0.0.1:9999", ["default", "user_data"])
+    assert (c.server_id, c.base_dir, c.batch_size, c.peer_address, [d.name for d in c.databases]) == (7, "/data", 3, "10.0.0.1:9999", ["default", "second"])
     assert config.parse("").http_port == 3000
     for bad in ("[[databases]]\nid = 1", "not toml ["):
         with pytest.raises(ConfigError):
@@ -144,3 +145,33 @@ def test_allow_list():
     trusted = ("127.0.0.1", "::1", "192.168.1.0/24")
     assert server.allowed("192.168.1.77", trusted) and server.allowed("::ffff:127.0.0.1", trusted) and server.allowed("::1", trusted)
     assert not server.allowed("192.168.2.1", trusted) and not server.allowed("10.0.0.1", ())
+
+
+def test_a_lone_put_is_written_after_the_interval(spark, tmp_path):
+    e = Engine(spark, config.Config(batch_size=100, flush_interval_secs=1), base_dir=f"file://{tmp_path}")
+    e.put(0, "t", b"k", b"v")
+    for _ in range(200):
+        if not e.log.buffer:
+            break
+        time.sleep(0.1)
+    assert Engine(spark, base_dir=e.base_dir).get(0, "t", b"k") == b"v"
+
+
+def test_compaction_waits_for_replicas(spark, tmp_path):
+    one, two, three = (Engine(spark, config.Config(server_id=i), base_dir=f"file://{tmp_path}/{i}") for i in (1, 2, 3))
+    one.put(0, "t", b"x", b"1")
+    replicate(one.log, two.log, f"file://{tmp_path}/cp2", once=True).awaitTermination()
+    one.put(0, "t", b"z", b"9")
+    one.flush()
+    one.remove(0, "t", b"x")
+    one.log.compact()
+    one.put(0, "t", b"y", b"2")
+    one.log.compact()
+    one.put(0, "t", b"w", b"3")
+    for replica, at in ((two, "cp2"), (three, "cp3")):
+        replicate(one.log, replica.log, f"file://{tmp_path}/{at}", once=True).awaitTermination()
+        assert {bytes(r["key"]): bytes(r["value"]) for r in replica.kv_table(0, "t").collect()} == {b"z": b"9", b"y": b"2", b"w": b"3"}
+    assert one.get(0, "t", b"x") is None
+    one.log.forget(f"file://{tmp_path}/cp3")
+    one.log.compact()
+    assert not [n for n in one.files.list(one.log.operations) if n.endswith(".parquet")] and one.get(0, "t", b"z") == b"9"
