@@ -60,6 +60,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_simhash, op3_embed_dedup, op4_pack, op5_langid, op6_topk, op7_bpe, op8_kneser_ney, op9_shard, op10_chat)}
 
 
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+#: Marks take 12 + 1 + 11 characters a turn; a backslash, and the first character of what could begin a control string, take one more.
+_CHAT = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) e(conv_id, turn, role, text)
+), n AS (
+  SELECT *, 24 + length(role) + 2 * length(text) - length(replace(text, '\\', ''))
+    + (length(text) - length(replace(text, '<|', ''))) // 2 + (length(text) - length(replace(text, '</', ''))) // 2 + (length(text) - length(replace(text, '<s', ''))) // 2
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '<+'), lambda x: length(x) - 1)), 0)
+    + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 AS chars
+  FROM t
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM n GROUP BY conv_id
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be written in SQL with whole results; tests hold them against brute force."""
-    return {}
+    """DuckDB's SQL where SQL has what an operator needs; the others need a tokenizer, XXH64, a fitted model or a graph search, and tests hold them against brute force."""
+    return {"op6_topk": _TOPK, "op10_chat": _CHAT}
