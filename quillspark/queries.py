@@ -361,7 +361,7 @@ STORIES: dict[str, tuple[Story, str]] = {
         _after(*_ORDERS, "CREATE TABLE a (id INTEGER)", "CREATE TABLE b (id INTEGER)", "CREATE TRIGGER one AFTER DELETE ON t BEGIN INSERT INTO a VALUES (OLD.id); END", "CREATE TRIGGER two AFTER INSERT ON a BEGIN INSERT INTO b VALUES (NEW.id * 2); END", "DELETE FROM t WHERE status = 'P'", "SELECT id FROM b"),
         "SELECT o_orderkey * 2 AS id FROM orders WHERE o_orderstatus = 'P'",
     ),
-    "refused_statements": (_refused, "SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_size AS BIGINT) AS size, 4 AS refused FROM part"),
+    "refused_statements": (_refused, "SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_size AS BIGINT) AS size, CAST(4 AS BIGINT) AS refused FROM part"),
     "restart": (_restarted, "SELECT o_orderkey AS id, 'dear' AS what FROM orders WHERE o_totalprice > 300000 AND o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'log' FROM orders WHERE o_orderstatus = 'P'"),
     "affected_rows": (_counts, "WITH n AS (SELECT count(*) FILTER (WHERE o_custkey < 100) AS few, count(*) AS all_ FROM orders) SELECT * FROM (SELECT CAST(0 AS BIGINT) AS statement, all_ AS n FROM n UNION ALL SELECT 1, 1 UNION ALL SELECT 2, few FROM n UNION ALL SELECT 3, few FROM n UNION ALL SELECT 4, 0)"),
     "kv_single_puts": (_single_puts, "SELECT * FROM (VALUES ('a', '1x'), ('c', '3')) v(key, value)"),
