@@ -30,8 +30,9 @@ TRAIN_DOCS, FIT_LETTERS = 2000, 512
 UNKNOWN = 1e-7
 #: Word scores that a worker keeps, and numbers that a batch of words takes at a position's width; runs of more letters are scored one at a time.
 CACHE_SCORES, BATCH_SCORES, LONG = 1_000_000, 160_000, 4096
-#: How far below the worst fitted document's log probability a letter a text may be and still count as one of the languages.
-MARGIN = 1.0
+#: How far below the worst fitted document's log probability a letter a text may be and still count as one of the languages:
+#: a short text with a key or code in it stays, a script that few pieces cover (about -16 a letter) doesn't.
+MARGIN = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
