@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import config as configuration
 from . import types
@@ -108,6 +109,7 @@ class Engine:
         self.frames: dict[int, dict[str, DataFrame | Callable[[], DataFrame]]] = {d: {} for d in self.databases}
         self.transactions: dict[int, Transaction] = {}
         self._next_tx = itertools.count(1)
+        self._searches: list[str] = []  # views that the statement under way made
         self._views = f"quill_{uuid.uuid4().hex[:8]}"
         self.log = Log(spark, self.files, f"{self.base_dir}/kv", self.config.server_id, self.config.batch_size, self.config.flush_interval_secs)
         self.definitions, self.changes = Definitions(self), Changes(self)
@@ -180,8 +182,11 @@ class Engine:
                     return QueryResult(self._pass_on(db, sql, params), tx_id=tx_id)
             raise
         if isinstance(statement, t.Query):
-            with self.lock:  # names of views are shared; only planning happens under it
-                return QueryResult(self.spark.sql(self.renderer(db, params).query(statement)), tx_id=tx_id)
+            with self.lock:  # names of views are shared; only planning and looking up terms happen under it
+                try:
+                    return QueryResult(self.spark.sql(self.renderer(db, params).query(statement)), tx_id=tx_id)
+                finally:
+                    self._forget_searches()
         if isinstance(statement, t.Transaction):
             if statement.action == "BEGIN":
                 return QueryResult(tx_id=self.begin(db.id))
@@ -209,6 +214,12 @@ class Engine:
             for i, n in lengths.items():
                 del self.transactions[i].journal[n:]
             raise
+        finally:
+            self._forget_searches()
+
+    def _forget_searches(self) -> None:
+        while self._searches:
+            self.spark.catalog.dropTempView(self._searches.pop())
 
     def renderer(self, db: catalog.Database, params: Sequence[Any] = (), rows: dict | None = None) -> Renderer:
         return Renderer(list(params), lambda name: self._resolve(db, name), self.compat, rows or {})
@@ -223,13 +234,24 @@ class Engine:
             return Relation(f"({text})" if not view.columns else f"(SELECT * FROM ({text}) AS v({', '.join(map(quote, view.columns))}))")
         if name in db.tables:
             table = db.tables[name]
-            return Relation(self.view_of(self.storage.read(table).drop(catalog.ROWID), f"{db.id}_{name}"), table.fts_column)
+            return Relation(self.view_of(self.storage.read(table).drop(catalog.ROWID), f"{db.id}_{name}"), table.fts_column, lambda queries: self._having(table, queries))
         if name in self.frames[db.id]:
             if callable(self.frames[db.id][name]):
                 self.register(db.id, name, self.frames[db.id][name]())
             return Relation(self.view_of(self.frames[db.id][name], f"{db.id}_f_{name}"))
         return None
 
+    def files_having(self, table: catalog.Table, queries: list[str]) -> list[str]:
+        """The files of a full-text table that have texts with each of the queries' tokens; none of them for a query without tokens."""
+        asked = [fts.query_tokens(q) for q in queries]
+        return [r["file"] for r in self.storage.found(table, [w for words in asked for w in words], all_of_them=True)] if all(asked) else []
+
+    def _having(self, table: catalog.Table, queries: list[str]) -> str:
+        """Spark SQL's name for the rows of those files. The statement that asked drops it."""
+        self._searches.append(f"{self._views}_search_{uuid.uuid4().hex}")
+        self.storage.read(table, self.files_having(table, queries)).drop(catalog.ROWID).createOrReplaceTempView(self._searches[-1])
+        return quote(self._searches[-1])
+
     def view_of(self, df: DataFrame, name: str) -> str:
         """Spark SQL's name for a DataFrame."""
         view = f"{self._views}_{name}"
@@ -268,16 +290,20 @@ class Engine:
         found = self.database(db).table(table)
         if not found.fts_column:
             raise SchemaError(f"{table} is no full-text table")
-        rows = self.storage.read(found)
-        scores = fts.rank(rows, catalog.ROWID, found.fts_column, query)
-        return rows.join(scores, catalog.ROWID).orderBy(scores["score"].desc(), catalog.ROWID).drop(catalog.ROWID)
+        terms = self.storage.found(found, fts.query_tokens(query))
+        rows = self.storage.read(found, [r["file"] for r in terms if r["having"]])
+        return fts.rank(rows, found.fts_column, query, terms).orderBy(F.col("score").desc(), catalog.ROWID).drop(catalog.ROWID)
 
     def table(self, db: int | str, name: str) -> DataFrame:
         """The rows of a table or view."""
-        found = self._resolve(self.database(db), name)
-        if found is None:
-            raise SchemaError(f"no table or view {name}")
-        return self.spark.sql(f"SELECT * FROM {found.sql}")
+        with self.lock:
+            found = self._resolve(self.database(db), name)
+            if found is None:
+                raise SchemaError(f"no table or view {name}")
+            try:
+                return self.spark.sql(f"SELECT * FROM {found.sql}")
+            finally:
+                self._forget_searches()
 
     # --- transactions
 

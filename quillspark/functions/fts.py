@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that aren't indexed.
@@ -12,9 +15,8 @@ STOPWORDS = "a an the is are was were in on at to for of with without and or but
 
 
 def query_tokens(text: str) -> list[str]:
-    """Runs of ASCII letters and digits in lower case, longer than two and no stopwords, in order, each once."""
-    found = re.findall(r"[a-z0-9]+", text.lower())
-    return list(dict.fromkeys(w for w in found if len(w) > 2 and w not in STOPWORDS))
+    """Runs of ASCII letters and digits in lower case, longer than two and no stopwords, in order."""
+    return [w for w in re.findall(r"[a-z0-9]+", text.lower()) if len(w) > 2 and w not in STOPWORDS]
 
 
 #: A token of lower-cased text that is indexed, as a pattern of Java's.
@@ -28,29 +30,43 @@ def has(column: str, token: str) -> str:
 
 def match(column: str, query: str) -> str:
     """Whether a text has all tokens of the query; no tokens, no match."""
-    wanted = query_tokens(query)
+    wanted = list(dict.fromkeys(query_tokens(query)))
     return "coalesce(" + " AND ".join(has(column, w) for w in wanted) + ", FALSE)" if wanted else "FALSE"
 
 
-def rank(df: DataFrame, key: str, column: str, query: str) -> DataFrame:
-    """(``key``, score) of the rows with any of the query's tokens.
+def tokens(text: Column) -> Column:
+    """The indexed tokens of a text in order, repeats included; none of a null."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+
+
+def terms(texts: DataFrame) -> DataFrame:
+    """(token, file, docs, tokens): for each token of each file, how many of its ``texts`` (file, text) have it.
+
+    The empty token stands for all texts that aren't null, with the number of their tokens.
+    """
+    listed = texts.where("text IS NOT NULL").select("file", tokens(F.col("text")).alias("list"))
+    each = listed.select(F.explode(F.array_distinct("list")).alias("token"), "file").groupBy("token", "file").agg(F.count(F.lit(1)).alias("docs"))
+    whole = listed.groupBy("file").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("list")).alias("tokens"))
+    return whole.select(F.lit("").alias("token"), "file", "docs", "tokens").unionByName(each.withColumn("tokens", F.lit(None).cast("long")))
+
+
+def rank(rows: DataFrame, column: str, query: str, found: Iterable) -> DataFrame:
+    """The rows with any of the query's tokens and their score, from what the term table says of each file (``Storage.found``).
 
-    A token's weight is ln((N - df + 0.5) / (df + 0.5) + 1) over all N rows; each adds weight *
-    (l + 0.5) / (l + 1), with l the row's tokens against the average, repeats included. One pass
-    counts rows and lengths, a second scores the rows that match; only as many numbers as the query
-    has tokens are joined to them.
+    A token's weight is ln((N - df + 0.5) / (df + 0.5) + 1) over all N texts, once for each time that the query has it; each
+    adds weight * (l + 0.5) / (l + 1), with l the row's tokens against the average, repeats included.
     """
     wanted = query_tokens(query)
-    if not wanted:
-        return df.select(key, F.lit(0.0).alias("score")).limit(0)
-    marks = [f"has{i}" for i in range(len(wanted))]
-    listed = df.select(
-        F.col(key),
-        F.coalesce(F.regexp_count(F.lower(F.col(f"`{column}`")), F.lit(TOKEN)), F.lit(0)).alias("length"),
-        *[F.expr(f"coalesce({has(f'`{column}`', w)}, FALSE)").alias(m) for m, w in zip(marks, wanted)],
-    )
-    facts = listed.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(m).alias(f"df_{m}") for m in marks])
-    share = F.col("length") / F.col("average")
-    score = sum((F.when(F.col(m), F.ln((F.col("n") - F.col(f"df_{m}") + 0.5) / (F.col(f"df_{m}") + 0.5) + 1)).otherwise(0.0) for m in marks), F.lit(0.0))
-    some = F.greatest(*marks) if len(marks) > 1 else F.col(marks[0])
-    return listed.where(some).crossJoin(F.broadcast(facts)).select(key, (score * (share + 0.5) / (share + 1.0)).alias("score"))
+    n, total, df = 0, 0, dict.fromkeys(wanted, 0)
+    for f in found:
+        n, total = n + f["docs"], total + f["tokens"]
+        for w in df:
+            df[w] += f["having"].get(w, 0)
+    asked = [w for w in df if df[w]]
+    if not asked:
+        return rows.limit(0).withColumn("score", F.lit(0.0))
+    text = f"`{column}`"
+    weights = [F.when(F.expr(has(text, w)), F.lit(wanted.count(w) * math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1))).otherwise(0.0) for w in asked]
+    share = F.size(tokens(F.col(text))) / F.lit(total / n)
+    score = sum(weights, F.lit(0.0)) * (share + 0.5) / (share + 1.0)
+    return rows.where(" OR ".join(has(text, w) for w in asked)).withColumn("score", score)

@@ -145,7 +145,9 @@ class Changes:
     def _matched(self, db: Database, table: Table, select: list[str], where: t.Expr | None, params: list[Any], rows: dict | None, sets: tuple = ()) -> str:
         """Spark SQL for the rowid and file of the rows that a statement is about, and ``select``ed values."""
         render = self._renderer(db, table, params, rows)
-        view = self.engine.view_of(self.storage.with_files(table), f"{db.id}_{table.name}_dml")
+        queries = render.required(where, t.Table(table.name)).get(table.name) if table.fts_column else None
+        only = self.engine.files_having(table, queries) if queries else None
+        view = self.engine.view_of(self.storage.with_files(table, only), f"{db.id}_{table.name}_dml")
         values = {c.lower(): render.value(x) for c, x in sets}  # SET before WHERE, as parameters are numbered
         listed = [f"CAST({values[c.lower()]} AS {declared(table.column(c).type).simpleString()}) AS {quote(c)}" if c.lower() in values else quote(c) for c in select]
         return f"SELECT {', '.join([ROWID, FILE, *listed])} FROM {view} AS {quote(table.name)}" + (f" WHERE {render.predicate(where)}" if where is not None else "")

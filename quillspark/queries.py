@@ -188,6 +188,18 @@ def _fts_rank(engine: Engine) -> DataFrame:
     return engine.fts_search(0, "docs", "license released").select("id", F.round("score", 6).alias("score"))
 
 
+def _fts_changes(engine: Engine) -> DataFrame:
+    """Searches after an update, a delete and a rollback, all by the term table."""
+    engine.query(0, "CREATE VIRTUAL TABLE docs USING fts5(content, id)")
+    engine.query(0, "INSERT INTO docs SELECT text, doc_id FROM documents")
+    engine.query(0, "UPDATE docs SET content = 'released zebra' WHERE CAST(id AS INTEGER) % 7 = 0 AND fts_match(docs, 'that')")
+    engine.query(0, "DELETE FROM docs WHERE fts_match(docs, 'erre')")
+    tx = engine.begin(0)
+    engine.query(0, "UPDATE docs SET content = 'quagga' WHERE fts_match(docs, 'released')", tx_id=tx)
+    engine.rollback(tx)
+    return engine.query(0, "SELECT id, 'zebra' AS what FROM docs WHERE fts_match(docs, 'zebra') UNION ALL SELECT id, 'that' FROM docs WHERE fts_match(docs, 'that') UNION ALL SELECT id, 'quagga' FROM docs WHERE fts_match(docs, 'quagga')").df
+
+
 def _violations(kind: str) -> Story:
     def tell(engine: Engine) -> DataFrame:
         from .operators import constraints
@@ -310,6 +322,10 @@ STORIES: dict[str, tuple[Story, str]] = {
     "index_point": (_after(*_ORDERS, "CREATE INDEX by_cust ON t (cust)", "SELECT id, price FROM t WHERE cust = 77"), "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_custkey = 77"),
     "index_range": (_after(*_ORDERS, "CREATE INDEX by_cust ON t (cust)", "SELECT id FROM t WHERE cust BETWEEN 100 AND 120 OR cust > 1450"), "SELECT o_orderkey AS id FROM orders WHERE o_custkey BETWEEN 100 AND 120 OR o_custkey > 1450"),
     "fts_match": (_fts_match, f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE list_has_all({_FTS}, ['that', 'erre'])"),
+    "fts_changes": (
+        _fts_changes,
+        f"WITH d AS (SELECT doc_id, {_FTS} AS t FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'zebra' ELSE 'that' END AS what FROM d WHERE list_contains(t, 'that') AND (doc_id % 7 = 0 OR NOT list_contains(t, 'erre'))",
+    ),
     "fts_rank": (
         _fts_rank,
         f"WITH d AS (SELECT doc_id, {_FTS} AS t FROM documents), f AS (SELECT count(*) AS n, avg(len(t)) AS a, count(*) FILTER (WHERE list_contains(t, 'license')) AS x, count(*) FILTER (WHERE list_contains(t, 'released')) AS y FROM d) "

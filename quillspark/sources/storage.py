@@ -3,21 +3,27 @@
 A version is a list of immutable files. Inserts add files; updates and deletes rewrite only the
 files that hold a touched row. A new list takes effect with the catalog's atomic replacement, so
 readers and failed statements see whole versions, and undoing a statement is going back to a list.
+
+Beside each write of a full-text table stands its term table: the tokens of each of its files, sorted,
+with the number of texts that have them. It is as immutable as the files, so whatever list of files is
+current, rollbacks included, has its terms.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fts
 from ..types import declared
 from .catalog import ROWID, Table
 from .fs import Files
 
 FILE = "__file"
+_TERMS = "terms-"
 
 
 class Storage:
@@ -47,12 +53,13 @@ class Storage:
     def _named(table: Table) -> list:
         return [F.col(ROWID), *[F.col(c.physical).alias(c.name) for c in table.columns]]
 
-    def with_files(self, table: Table) -> DataFrame:
+    def with_files(self, table: Table, only: list[str] | None = None) -> DataFrame:
         """``read`` with the name of each row's file."""
-        if not table.files:
-            return self.read(table).withColumn(FILE, F.lit(""))
+        names = table.files if only is None else only
+        if not names:
+            return self.read(table, []).withColumn(FILE, F.lit(""))
         file = F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name"))
-        return self._scan(table, table.files).select(*self._named(table), file.alias(FILE))
+        return self._scan(table, names).select(*self._named(table), file.alias(FILE))
 
     def write(self, table: Table, rows: DataFrame) -> list[str]:
         """Write rows (any order of columns) as new files of the table; returns their names. Not yet part of a version.
@@ -72,8 +79,36 @@ class Storage:
         writer.parquet(f"{table.folder}/{folder}")
         names = [f"{folder}/{n}" for n in self.files.list(f"{table.folder}/{folder}") if n.startswith("part-")]
         table.written[folder] = len(names)
+        if table.fts_column and names:
+            texts = self.with_files(table, names).select(F.col(FILE).alias("file"), F.col(f"`{table.fts_column}`").alias("text"))
+            fts.terms(texts).sortWithinPartitions("token").write.parquet(self._terms(table, folder))
         return names
 
+    @staticmethod
+    def _terms(table: Table, folder: str) -> str:
+        return f"{table.folder}/{_TERMS}{folder}"
+
+    def found(self, table: Table, wanted: list[str], *, all_of_them: bool = False) -> list[Row]:
+        """What the term table says of the query's tokens: (file, docs, tokens, having: token -> docs) of each current file.
+
+        ``all_of_them``: of those files only that have texts with every token. The term table is read
+        for the query's tokens alone; a row for each file, as many as the catalog lists, comes back.
+        """
+        if not table.files:
+            return []
+        folders = dict.fromkeys(n.split("/")[0] for n in table.files)
+        terms = self.spark.read.schema("token string, file string, docs long, tokens long").parquet(*[self._terms(table, f) for f in folders])
+        is_whole = F.col("token") == ""
+        by_file = terms.where(F.col("token").isin(["", *wanted])).groupBy("file").agg(
+            F.sum(F.when(is_whole, F.col("docs"))).alias("docs"),
+            F.sum(F.when(is_whole, F.col("tokens"))).alias("tokens"),
+            F.map_from_entries(F.collect_list(F.when(~is_whole, F.struct("token", "docs")))).alias("having"),  # one entry for each of the query's tokens
+        )
+        if all_of_them:
+            by_file = by_file.where(F.size("having") == len(set(wanted)))
+        current = set(table.files)
+        return [r for r in by_file.collect() if r["file"] in current]
+
     def cluster(self, table: Table, column: str) -> list[str]:
         """All rows rewritten in ranges of a column, so that a range of values is in few files."""
         return self.write(table, self.read(table).repartitionByRange(F.col(f"`{column}`")))
@@ -110,5 +145,5 @@ class Storage:
         used = {n.split("/")[0] for n in table.files}
         table.written = {k: v for k, v in table.written.items() if k in used}
         for name in self.files.list(table.folder):
-            if name not in used:
+            if name.removeprefix(_TERMS) not in used:
                 self.files.delete(f"{table.folder}/{name}")

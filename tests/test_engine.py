@@ -74,6 +74,71 @@ def test_full_text(run, engine):
     assert run("DELETE FROM articles WHERE fts_match('articles', 'boats')") == 1
 
 
+def test_full_text_terms_follow_changes(run, engine):
+    run("CREATE VIRTUAL TABLE notes USING fts5(body, tag)")
+    for body in ("copper kettle boils", "copper wire and wire", "paper kite"):
+        run("INSERT INTO notes VALUES (?, 't')", [body])
+    run("INSERT INTO notes VALUES (NULL, 'none')")
+    table = engine.database(0).tables["notes"]
+
+    def bodies(where, *params):
+        got = sorted(r[0] or "" for r in run(f"SELECT body FROM notes WHERE {where}", params))
+        assert got == sorted(r[0] or "" for r in run(f"SELECT body FROM notes WHERE {where} OR (NOT TRUE)", params)), "the scan says the same"
+        return got
+
+    def files(*queries):
+        return len(engine.files_having(table, list(queries)))
+
+    assert files("copper") == 2 and files("copper wire") == 1 and files("copper", "wire") == 1 and files("kettle kite") == 0 and files("the of") == 0
+    assert bodies("fts_match(notes, 'copper')") == ["copper kettle boils", "copper wire and wire"]
+    assert bodies("fts_match(notes, ?) AND tag = 't' AND fts_match(notes, ?)", "wire", "copper") == ["copper wire and wire"]
+    assert run("UPDATE notes SET body = 'tin kettle' WHERE fts_match(notes, 'kettle')") == 1
+    assert bodies("fts_match(notes, 'copper')") == ["copper wire and wire"] and bodies("fts_match(notes, 'tin')") == ["tin kettle"]
+    tx = engine.begin(0)
+    assert run("DELETE FROM notes WHERE fts_match('notes', 'paper')", (), tx) == 1
+    run("UPDATE notes SET body = body || ' gold'", (), tx)
+    assert bodies("fts_match(notes, 'gold')") == [" gold", "copper wire and wire gold", "tin kettle gold"] and files("paper") == 0
+    engine.rollback(tx)
+    assert bodies("fts_match(notes, 'gold')") == [] and bodies("fts_match(notes, 'paper')") == ["paper kite"]
+    engine.flush()
+    engine.optimize(0, "notes")
+    engine.flush()
+    run("ALTER TABLE notes RENAME COLUMN body TO words")
+    run("ALTER TABLE notes RENAME TO memos")
+    again = Engine(engine.spark, base_dir=engine.base_dir)
+    assert again.query(0, "SELECT words FROM memos WHERE fts_match(memos, 'paper')").rows() == [{"words": "paper kite"}]
+    assert not engine._searches and not [x for x in engine.spark.catalog.listTables() if x.name.startswith(f"{engine._views}_search")]
+
+
+def test_full_text_next_to_outer_joins(run):
+    run("CREATE VIRTUAL TABLE notes USING fts5(body, id)")
+    run("CREATE TABLE k (id INTEGER PRIMARY KEY)")
+    run("INSERT INTO k VALUES (1), (2), (3)")
+    run("INSERT INTO notes VALUES ('copper kettle', '1')")
+    run("INSERT INTO notes VALUES ('paper kite', '2')")
+    for kind in ("LEFT", "FULL", "RIGHT", "INNER"):
+        assert run(f"SELECT k.id, body FROM k {kind} JOIN notes n ON k.id = n.id WHERE fts_match(n, 'kite')") == [(2, "paper kite")]
+        assert run(f"SELECT k.id, body FROM notes {kind} JOIN k ON k.id = notes.id WHERE fts_match(notes, 'kite')") == [(2, "paper kite")]
+    assert run("SELECT k.id FROM k LEFT JOIN notes n ON k.id = n.id AND fts_match(n, 'kite') WHERE n.body IS NULL ORDER BY 1") == [(1,), (3,)]
+    assert run("SELECT count(*) FROM notes a JOIN notes b ON a.id < b.id WHERE fts_match(a, 'copper') AND fts_match(b, 'paper')") == [(1,)]
+    run("CREATE VIEW kites AS SELECT id FROM notes WHERE fts_match(notes, 'kite')")
+    assert run("SELECT id FROM k WHERE id IN (SELECT id FROM kites)") == [(2,)]
+
+
+def test_full_text_rank(run, engine):
+    from math import log
+
+    run("CREATE VIRTUAL TABLE notes USING fts5(body)")
+    run("INSERT INTO notes VALUES ('copper kettle boils'), ('copper wire and wire'), ('paper kite'), (NULL)")
+    weight = lambda df: log((3 - df + 0.5) / (df + 0.5) + 1)  # noqa: E731  (a null is no text)
+    part = lambda n: (n / (8 / 3) + 0.5) / (n / (8 / 3) + 1)
+    got = {r["body"]: r["score"] for r in engine.fts_search(0, "notes", "Copper kettle copper absent").collect()}
+    assert got == pytest.approx({"copper kettle boils": (2 * weight(2) + weight(1)) * part(3), "copper wire and wire": 2 * weight(2) * part(3)})
+    assert engine.fts_search(0, "notes", "absent").collect() == [] and engine.fts_search(0, "notes", "of the").collect() == []
+    run("DELETE FROM notes")
+    assert engine.fts_search(0, "notes", "copper").columns == ["body", "score"] and engine.fts_search(0, "notes", "copper").collect() == []
+
+
 def test_compare_and_swap_parameters(run):
     run("CREATE TABLE cas (uuid TEXT PRIMARY KEY, inventory TEXT, updated_at INTEGER)")
     run("INSERT INTO cas VALUES ('u', 'old', 1)")
