@@ -145,7 +145,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role, text), loss_texts and formatted, parsed from the output alone."""
+    """conv_id, turns (array of role, text), loss_texts and formatted, parsed from the output alone.
+
+    A row for each row given, repeated ones too; null ids stay, an empty table gives none, and other
+    columns are left out. Text without turns, as an empty one, reads as no turns; a null one as null.
+    """
     cut = F.split("formatted", r"<\|im_end\|>\n", -1)
     bare = lambda x: F.substr(x, F.lit(len(OPEN) + 1))
     return formatted.select(
@@ -163,7 +167,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(back: DataFrame) -> DataFrame:
-    """The digest columns of conversations that were read back."""
+    """The digest columns of conversations that were read back, row by row; without turns the digests are those of empty text."""
     loss = F.array_join("loss_texts", "")
     return back.select(
         "conv_id",
