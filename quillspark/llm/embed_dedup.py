@@ -147,11 +147,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, *, id_col: str = "
 
     Equal vectors become one weighted class by a partial aggregation. A class goes to one cell of
     each table, cells are cut into blocks, and a task compares two blocks: it counts collisions,
-    verifies by a product, and emits a count for each class and a spanning forest, never pairs. A
-    pair that meets in several tables counts in the first of them.
+    verifies by a product, and emits a count for each class and a spanning forest, never pairs: a
+    group of near copies would otherwise give all of its pairs, so vectors go to the tasks, in the
+    precision that they came in, and not to pairs. A pair that meets in several tables counts in the
+    first of them.
     """
     with store.keeping_only(vectors.sparkSession) as kept:
-        slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+        stored = "array<float>" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "array<double>"  # single precision is enough where it is what was given
+        slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(stored).alias("v"), F.col(label_col).cast("string").alias("label"))
         rows, rows_at = store.materialize(slim.withColumn("valid", F.col("label").isNotNull() & _valid(F.col("v"))), "vectors")
         classes, _ = store.materialize(rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")).withColumn("class", F.monotonically_increasing_id()), "classes")
         largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
@@ -159,7 +162,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, *, id_col: str = "
         needed, half_width = least_count(least), HALF_WIDTH
 
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Unit vectors and, for each table, the hash of the cell."""
+            """For each table, the hash of the cell."""
             for batch in batches:
                 size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 for dim in np.unique(size):
@@ -173,24 +176,24 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, *, id_col: str = "
                         for j in range(k):
                             keys[:, t] = (keys[:, t] ^ grid[:, j]) * np.uint64(0x9E3779B97F4A7C15)
                             keys[:, t] ^= keys[:, t] >> np.uint64(29)
-                    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel(), kind))
-                    yield pa.RecordBatch.from_arrays([own[0], own[2], own[3], lists(u, pa.float64()), lists(keys.view(np.int64), pa.int64())], ["label", "w", "class", "u", "keys"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+                    yield pa.RecordBatch.from_arrays([own[0], own[2], own[3], own[1], lists], ["label", "w", "class", "v", "keys"])
 
         placed, _ = store.materialize(
-            map_arrow(classes.select("label", "v", "w", "class"), cells, "label string, w long, class long, u array<double>, keys array<long>"), "cells")
+            map_arrow(classes.select("label", "v", "w", "class"), cells, f"label string, w long, class long, v {stored}, keys array<long>"), "cells")
         dealt = placed.select("*", F.posexplode("keys").alias("t", "key"))
         sizes = dealt.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / (BLOCK * 0.8)))
         # Each block meets itself and every other block of its cell: a class is copied once for each.
         own = F.pmod(F.xxhash64("class", "t"), F.col("blocks"))
         met = dealt.join(sizes, ["label", "t", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        met = met.select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "w", "class", "u", "keys")
+        met = met.select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "w", "class", "v", F.slice("keys", 1, F.col("t")).alias("keys"))
 
         def compare(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
             t = table.column("t")[0].as_py()
             second = table.column("second").to_numpy()
-            u, w, name = _matrix(table.column("u").combine_chunks()), table.column("w").to_numpy(), table.column("class").to_numpy()
-            keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(u), -1)[:, :t]
+            u, w, name = _unit(_matrix(table.column("v").combine_chunks())), table.column("w").to_numpy(), table.column("class").to_numpy()
+            keys = np.array(table.column("keys").combine_chunks().flatten()).reshape(len(u), t)
             p = u @ _directions(u.shape[1], PROJECTIONS, 1)
             same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
             one, two = (np.arange(len(u)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))

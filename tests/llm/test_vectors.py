@@ -65,6 +65,15 @@ def test_embedding_duplicates(spark, monkeypatch, cell, block):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_duplicates_with_null_and_repeated_ids(spark, kind):
+    one, near, far = [1.0, 0.0, 0.0], [1.0, 0.125, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, one, 1, "x"), (5, one, 1, "x"), (5, near, 1, None), (None, far, 1, "x"), (7, far, 2, "x"), (8, [1e300 if kind == "double" else 1e30, 0.0, 0.0], 1, "x")]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, class string")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == [("5", 3, "5", True), ("5", 3, "5", True), ("7", 0, "7", True), ("8", 3, "5", False), ("None", 0, "None", False), ("None", 3, "5", False)]
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     needed = embed_dedup.least_count(0.93)
