@@ -42,12 +42,11 @@ def tokens(text: Column) -> Column:
 def terms(texts: DataFrame) -> DataFrame:
     """(token, file, docs, tokens): for each token of each file, how many of its ``texts`` (file, text) have it.
 
-    The empty token stands for all texts that aren't null, with the number of their tokens.
+    The empty token stands for all texts that aren't null, with the number of their tokens, repeats included.
     """
     listed = texts.where("text IS NOT NULL").select("file", tokens(F.col("text")).alias("list"))
-    each = listed.select(F.explode(F.array_distinct("list")).alias("token"), "file").groupBy("token", "file").agg(F.count(F.lit(1)).alias("docs"))
-    whole = listed.groupBy("file").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("list")).alias("tokens"))
-    return whole.select(F.lit("").alias("token"), "file", "docs", "tokens").unionByName(each.withColumn("tokens", F.lit(None).cast("long")))
+    each = listed.select("file", F.size("list").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("list"))).alias("token"))
+    return each.groupBy("token", "file").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("token") == "", F.col("n"))).alias("tokens"))
 
 
 def rank(rows: DataFrame, column: str, query: str, found: Iterable) -> DataFrame:
