@@ -53,6 +53,8 @@ class WordBPE:
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         self.words = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        shared = set.intersection(*map(set, self.special)) if self.special else set()
+        self.hint = min(shared, key=lambda c: (c.isalnum(), c), default="")  # a character of all special tokens, a rare one if there is
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -116,7 +118,7 @@ class WordBPE:
 
     def segments(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """(special id, []) or (-1, chunks between white space) in the text's order."""
-        for part in self.cut.split(text) if self.cut and "<" in text else [text]:
+        for part in self.cut.split(text) if self.cut and self.hint in text else [text]:
             if part in self.special:
                 yield self.special[part], []
             elif part:

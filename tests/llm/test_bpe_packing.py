@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -43,6 +44,19 @@ def test_clashing_columns_repeats_and_empty_tables(spark):
     assert word_bpe.encode_decode(docs.limit(0)).count() == 0
 
 
+def test_special_tokens_of_any_shape(tmp_path):
+    spec = json.load(open(FILE, encoding="utf-8"))
+    renamed = ["[stop]", "{go}"]
+    for token, name in zip(spec["added_tokens"], renamed):
+        token["content"] = name
+    file = tmp_path / "other.json"
+    file.write_text(json.dumps(spec), encoding="utf-8")
+    bpe, library = word_bpe.WordBPE(str(file)), Tokenizer.from_file(str(file))
+    assert word_bpe.WordBPE(FILE).hint == "<"
+    for text in ("a [stop] b{go}c", "[stop]", "go stop", "x{go}"):
+        assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_merge_order_against_rescanning():
     bpe = word_bpe.WordBPE(FILE)
     rng = random.Random(1)
