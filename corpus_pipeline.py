@@ -13,22 +13,37 @@ from quillspark.llm import langid, packing, secrets, simhash, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or without a language that the model, fitted on their labels, recognizes."""
+    """Drop documents without letters or without a language that the model, fitted on their labels, recognizes.
+
+    Null and empty texts go, as they have no letter; repeated rows stay or go together; without a
+    labelled row nothing is learned and all go; an empty table stays empty. Long texts are read whole.
+    """
     return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
+    """Keep the document with the smallest id of each group of near-duplicates.
+
+    Texts without a word have one fingerprint and are a group like any other. Rows with a null id
+    stay, and all rows of a repeated id if any of them does; an empty table stays empty.
+    """
     return simhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep all documents, with the secrets in their texts replaced by a mark; n_chars counts the new text."""
+    """Keep all documents, with the secrets in their texts replaced by a mark; n_chars counts the new text.
+
+    A null text stays null; repeated rows stay repeated; an empty table stays empty.
+    """
     return secrets.redacted(docs).selectExpr(*["CAST(length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document in pieces, each with its sequence and its place there."""
+    """Token ids of every document in pieces, each with its sequence and its place there.
+
+    A null or empty text is a piece of the end token alone; repeated rows are packed each for
+    itself; an empty table gives no sequence.
+    """
     return packing.pack(docs)
 
 
