@@ -195,7 +195,7 @@ class Engine:
             (self.commit if statement.action == "COMMIT" else self.rollback)(tx_id)
             return QueryResult()
         with self.lock, self._whole(db):
-            if isinstance(statement, (t.Insert, t.Update, t.Delete)):
+            if isinstance(statement, (t.Insert, t.Update, t.Delete, t.Truncate)):
                 journal = self.transactions[tx_id].journal if tx_id is not None else None
                 return QueryResult(affected_rows=self.changes.run(db, statement, params, journal), tx_id=tx_id)
             self.definitions.run(db, statement)
@@ -203,8 +203,11 @@ class Engine:
 
     @contextmanager
     def _whole(self, db: catalog.Database) -> Iterator[None]:
-        """All of a statement or none: the catalog is replaced at the end, or goes back."""
-        before = copy.deepcopy((db.tables, db.views, db.triggers))
+        """All of a statement or none: the catalog is replaced at the end, or goes back.
+
+        Lists of files are replaced and never changed, so they are kept as they are.
+        """
+        before = copy.deepcopy((db.tables, db.views, db.triggers), {id(x.files): x.files for x in db.tables.values()})
         lengths = {i: len(x.journal) for i, x in self.transactions.items()}
         try:
             yield

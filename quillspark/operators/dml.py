@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintViolation, SchemaError, SqlParseError, TriggerError
+from ..errors import ConstraintViolation, SchemaError, SqlParseError, TriggerError, UnsupportedError
 from ..plans import tree as t
 from ..plans.parser import parse, parse_expr
 from ..plans.render import Renderer, literal, quote
@@ -69,6 +69,8 @@ class Changes:
             return self._update(db, s, params, journal, depth, rows)
         if isinstance(s, t.Delete):
             return self._delete(db, s, params, journal, depth, rows)
+        if isinstance(s, t.Truncate):
+            return self._truncate(db, s, journal)
         return 0  # a SELECT in a trigger changes nothing
 
     # --- inserts
@@ -86,7 +88,7 @@ class Changes:
             given = self.engine.spark.sql(render.query(s.query))
             if len(given.columns) != len(columns):
                 raise SqlParseError(f"{len(columns)} columns are wanted, the query has {len(given.columns)}")
-            return self._insert_frame(db, s.table, columns, given, journal, depth, listed=False)
+            return self._insert_frame(db, s.table, columns, given, journal, depth, listed=False, conflict=s.conflict, render=render)
         width = {len(r) for r in s.rows}
         if len(width) > 1 or (s.columns and width != {len(columns)}) or max(width) > len(columns):
             raise SqlParseError(f"{len(columns)} values are wanted in each row of {s.table}")
@@ -95,7 +97,7 @@ class Changes:
             text = " UNION ALL ".join("SELECT " + ", ".join([*map(render.value, r), f"{n}L"]) for n, r in enumerate(s.rows))
         else:
             text = "SELECT * FROM VALUES " + ", ".join("(" + ", ".join([*map(render.value, r), f"{n}L"]) + ")" for n, r in enumerate(s.rows))
-        return self._insert_frame(db, s.table, columns, self.engine.spark.sql(text), journal, depth, listed=True)
+        return self._insert_frame(db, s.table, columns, self.engine.spark.sql(text), journal, depth, listed=True, conflict=s.conflict, render=render)
 
     def _columns(self, db: Database, name: str) -> list[str]:
         if name in db.tables:
@@ -104,11 +106,13 @@ class Changes:
             return self.engine.table(db.id, name).columns
         raise SchemaError(f"no table {name}")
 
-    def _insert_frame(self, db: Database, name: str, columns: list[str], given: DataFrame, journal: list | None, depth: int, *, listed: bool) -> int:
+    def _insert_frame(self, db: Database, name: str, columns: list[str], given: DataFrame, journal: list | None, depth: int, *, listed: bool, conflict: t.Conflict | None = None, render: Renderer | None = None) -> int:
         """Insert the rows of ``given``, by position into ``columns``. ``listed``: a last column numbers them from 0."""
         given = given.toDF(*[f"v{i}" for i in range(len(columns))], *["__n"] * listed)
         at = {c: f"v{i}" for i, c in enumerate(columns)}
         if self._instead(db, name, "INSERT"):
+            if conflict:
+                raise UnsupportedError("ON CONFLICT where INSTEAD OF triggers stand in for the INSERT")
             names = self._columns(db, name)
             new = F.struct(*[(F.col(at[c]) if c in at else F.lit(None)).alias(c) for c in names])
             transition, n = self.storage.with_rowids(Table(name, f"{self.engine.base_dir}/db_{db.id}/drafts", []), given.select(new.alias("NEW")))
@@ -127,7 +131,10 @@ class Changes:
                 return F.col(ROWID)
             return F.expr(default_sql(c)).cast(declared(c.type))
 
-        files = self.storage.write(table, numbered.select(ROWID, *[value(c).alias(c.name) for c in table.columns]))
+        rows, updated = numbered.select(ROWID, *[value(c).alias(c.name) for c in table.columns]), 0
+        if conflict:
+            rows, updated = self._resolved(db, table, rows, conflict, render, journal, depth)
+        files = self.storage.write(table, rows)
         new, was = self.storage.read(table, files), list(table.files)
         facts = self._validate(db, table, new, self.storage.read(table))
         table.next_rowid = max(table.next_rowid + facts["rows"], (facts["highest"] or 0) + 1)
@@ -138,7 +145,59 @@ class Changes:
         table.files = table.files + files
         table.version += 1
         self._fire(db, name, "AFTER", "INSERT", transition, journal, depth)
-        return facts["rows"]
+        return facts["rows"] + updated
+
+    def _resolved(self, db: Database, table: Table, rows: DataFrame, conflict: t.Conflict, render: Renderer, journal: list | None, depth: int) -> tuple[DataFrame, int]:
+        """The rows whose key isn't there yet, and how many rows that have the key of another one were updated.
+
+        Keys with a null never meet. Of several new rows with one key, the first is inserted if the
+        others do nothing; an update by several rows is refused, as which comes last would be chance.
+        """
+        key = [table.column(c).name for c in conflict.columns]
+        if not key and len(table.keys) == 1:
+            key = table.keys[0]
+        if not any(set(key) == set(k) for k in table.keys):
+            raise SchemaError(f"ON CONFLICT wants the columns of one of {table.name}'s keys")
+        rows, names = self._draft(table, rows), [f"__k{i}" for i in range(len(key))]
+        table.next_rowid = max(table.next_rowid, (rows.agg(F.max(ROWID)).first()[0] or 0) + 1)  # numbers of rows that fall out aren't used again
+        keyed = rows.select("*", *[F.col(f"`{c}`").alias(k) for c, k in zip(key, names)])
+        held = self.storage.read(table).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(key, names)])
+        firsts = keyed.na.drop("any", subset=names).groupBy(*names).agg(F.min(ROWID).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        if not conflict.sets:
+            firsts = firsts.join(held, names, "left_anti")
+            loose = F.lit(False)
+            for k in names:
+                loose = loose | F.col(k).isNull()
+            kept = keyed.where(loose).select(ROWID).unionAll(firsts.select(F.col("__first").alias(ROWID)))
+            return self._draft(table, rows.join(kept, ROWID, "left_semi")), 0
+        twice = firsts.where("__n > 1").select(*names).limit(1).collect()
+        if twice:
+            raise ConstraintViolation(f"ON CONFLICT ({', '.join(key)}) of {table.name}: several rows have {tuple(twice[0])}")
+        sets = dict(zip([table.column(c).name for c, _ in conflict.sets], [x for _, x in conflict.sets]))
+        texts = {c: render.value(x) for c, x in sets.items()}
+        excluded = keyed.select(*names, F.struct(*[F.col(f"`{c.name}`") for c in table.columns]).alias("excluded"))
+        here = self.storage.with_files(table)
+        view, other = self.engine.view_of(here, f"{db.id}_{table.name}_held"), self.engine.view_of(excluded, f"{db.id}_{table.name}_excluded")
+        mine = quote(table.name)
+        listed = [f"CAST({texts[c.name] if c.name in texts else f'{mine}.{quote(c.name)}'} AS {declared(c.type).simpleString()}) AS {quote(c.name)}" for c in table.columns]
+        on = " AND ".join(f"{mine}.{quote(c)} = __new.{k}" for c, k in zip(key, names))
+        bound = f" WHERE {render.predicate(conflict.where)}" if conflict.where is not None else ""
+        matched = self._draft(table, self.engine.spark.sql(f"SELECT {mine}.{ROWID}, {mine}.{FILE}, {', '.join(listed)} FROM {view} AS {mine} JOIN {other} AS __new ON {on}{bound}"))
+        fresh = self._draft(table, keyed.join(held, names, "left_anti").drop(*names))
+        return fresh, self._change(db, table, matched, set(sets), journal, depth)
+
+    def _truncate(self, db: Database, s: t.Truncate, journal: list | None) -> int:
+        """Empty a table without reading its rows and without triggers; refused while another table's rows refer to it."""
+        table = db.table(s.table)
+        for child in db.tables.values():
+            if child is not table and any(fk.table == table.name for fk in child.foreign) and not self.storage.read(child).isEmpty():
+                raise ConstraintViolation(f"TRUNCATE: {child.name} refers to {table.name}")
+        rows = self.storage.read(table)
+        n = rows.count()
+        if journal is not None:
+            self._note(journal, table, list(table.files), rows)
+        table.files, table.version = [], table.version + 1
+        return n
 
     # --- updates and deletes
 
@@ -356,10 +415,12 @@ class Changes:
         while todo:
             s = todo.pop()
             read(s)
-            if not isinstance(s, (t.Insert, t.Update, t.Delete)):
+            if not isinstance(s, (t.Insert, t.Update, t.Delete, t.Truncate)):
                 continue
-            if not isinstance(s, t.Insert):
+            if not isinstance(s, t.Insert) or s.conflict:
                 reads.add(s.table)
+            if isinstance(s, t.Truncate):
+                reads |= {child.name for child in db.tables.values() if any(fk.table == s.table for fk in child.foreign)}
             if s.table in writes:
                 continue
             writes.add(s.table)
@@ -380,7 +441,7 @@ class Changes:
         if depth >= DEPTH:
             raise TriggerError(f"triggers set each other off more than {DEPTH} deep")
         spark = self.engine.spark
-        if isinstance(s, t.Insert) and s.query is None and not _has_query(s.rows):
+        if isinstance(s, t.Insert) and s.query is None and not _has_query(s.rows) and not (s.conflict and s.conflict.sets):
             if any(len(r) != len(s.columns or self._columns(db, s.table)) for r in s.rows):
                 return False
             view = self.engine.view_of(rows.orderBy(ROWID), f"{db.id}_rows_{depth}")
@@ -390,7 +451,7 @@ class Changes:
             columns = [known.get(c.lower()) for c in s.columns] or list(known.values())
             if None in columns:
                 raise SchemaError(f"no such column in {s.table}: {s.columns}")
-            self._insert_frame(db, s.table, columns, spark.sql(text), journal, depth + 1, listed=False)
+            self._insert_frame(db, s.table, columns, spark.sql(text), journal, depth + 1, listed=False, conflict=s.conflict, render=render)
             return True
         if isinstance(s, (t.Update, t.Delete)) and s.table in db.tables and _joins_rows(s.where) and not self._instead(db, s.table, "UPDATE" if isinstance(s, t.Update) else "DELETE"):
             table = db.tables[s.table]

@@ -259,12 +259,27 @@ class Alter:
     steps: tuple[tuple, ...]  # ("add", ColumnDef, if not exists) ("drop", name, if exists) ("column", old, new) ("table", new)
 
 
+@dataclass(frozen=True)
+class Conflict:
+    """What an INSERT does with rows whose key is there: nothing, or an update of the row that has it."""
+
+    columns: tuple[str, ...] = ()
+    sets: tuple[tuple[str, Expr], ...] = ()
+    where: Expr | None = None
+
+
 @dataclass(frozen=True)
 class Insert:
     table: str
     columns: tuple[str, ...]
     rows: tuple[tuple[Expr, ...], ...] = ()
     query: Any = None
+    conflict: Conflict | None = None
+
+
+@dataclass(frozen=True)
+class Truncate:
+    table: str
 
 
 @dataclass(frozen=True)

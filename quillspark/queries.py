@@ -128,6 +128,7 @@ SELECTS: dict[str, tuple] = {
     "order_multi_key": ("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand DESC, p_size ASC, 1", "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part ORDER BY p_brand DESC, p_size, p_partkey"),
     "order_by_alias_and_aggregate": ("SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, k LIMIT 20", None),
     "limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 100", None),
+    "fetch_first": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 7 ROWS FETCH NEXT 20 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 7"),
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", None),
     "param_binding": ("SELECT o_orderkey, ? AS tag FROM orders WHERE o_custkey BETWEEN ? AND ? AND o_orderstatus = ?",
                       "SELECT o_orderkey, 'x' AS tag FROM orders WHERE o_custkey BETWEEN 10 AND 90 AND o_orderstatus = 'O'", ("x", 10, 90, "O")),
@@ -322,6 +323,8 @@ STORIES: dict[str, tuple[Story, str]] = {
     "index_point": (_after(*_ORDERS, "CREATE INDEX by_cust ON t (cust)", "SELECT id, price FROM t WHERE cust = 77"), "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_custkey = 77"),
     "index_range": (_after(*_ORDERS, "CREATE INDEX by_cust ON t (cust)", "SELECT id FROM t WHERE cust BETWEEN 100 AND 120 OR cust > 1450"), "SELECT o_orderkey AS id FROM orders WHERE o_custkey BETWEEN 100 AND 120 OR o_custkey > 1450"),
     "fts_match": (_fts_match, f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE list_has_all({_FTS}, ['that', 'erre'])"),
+    "fts_match_operator": (_after("CREATE VIRTUAL TABLE docs USING fts5(content, id)", "INSERT INTO docs SELECT text, doc_id FROM documents", "SELECT id FROM docs WHERE docs MATCH 'that With erre' AND NOT content MATCH 'license'"),
+                           f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE list_has_all({_FTS}, ['that', 'erre']) AND NOT list_contains({_FTS}, 'license')"),
     "fts_changes": (
         _fts_changes,
         f"WITH d AS (SELECT doc_id, {_FTS} AS t FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'zebra' ELSE 'that' END AS what FROM d WHERE list_contains(t, 'that') AND (doc_id % 7 = 0 OR NOT list_contains(t, 'erre'))",
@@ -337,6 +340,14 @@ STORIES: dict[str, tuple[Story, str]] = {
         "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x', CAST(1.5 AS DOUBLE)), (2, 'y', 0.5), (10, NULL, -1), (11, 'd', 7)) v(id, a, b)",
     ),
     "insert_select": (_after(*_ORDERS, "INSERT INTO t (cust, status) SELECT cust + 1, 'new' FROM t WHERE price > 450000", "SELECT cust, status, price FROM t"), f"SELECT cust, status, price FROM ({_SAME}) UNION ALL SELECT o_custkey + 1, 'new', NULL FROM orders WHERE o_totalprice > 450000"),
+    "insert_do_nothing": (_after(*_ORDERS, "INSERT INTO t SELECT c_custkey - 700, c_custkey, 'c', c_acctbal FROM customer ON CONFLICT (id) DO NOTHING", "SELECT * FROM t"),
+                          f"{_SAME} UNION ALL SELECT c_custkey - 700, c_custkey, 'c', c_acctbal FROM customer WHERE c_custkey - 700 NOT IN (SELECT o_orderkey FROM orders)"),
+    "insert_do_update": (
+        _after(*_ORDERS, "INSERT INTO t (id, cust, price) SELECT c_custkey - 700, c_custkey, c_acctbal FROM customer ON CONFLICT (id) DO UPDATE SET price = t.price + excluded.price, status = 'u' WHERE t.cust > 100", "SELECT * FROM t"),
+        "SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN c_custkey IS NOT NULL AND o_custkey > 100 THEN 'u' ELSE o_orderstatus END AS status, CASE WHEN c_custkey IS NOT NULL AND o_custkey > 100 THEN o_totalprice + c_acctbal ELSE o_totalprice END AS price "
+        "FROM orders LEFT JOIN customer ON o_orderkey = c_custkey - 700 UNION ALL SELECT c_custkey - 700, c_custkey, NULL, c_acctbal FROM customer WHERE c_custkey - 700 NOT IN (SELECT o_orderkey FROM orders)",
+    ),
+    "truncate_reload": (_after(*_ORDERS, "TRUNCATE TABLE t", "INSERT INTO t SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey < 100", "SELECT * FROM t"), f"SELECT * FROM ({_SAME}) WHERE cust < 100"),
     "insert_rowids": (_after("CREATE TABLE k (id INTEGER PRIMARY KEY, v INTEGER)", "INSERT INTO k (v) SELECT o_orderkey FROM orders", "SELECT COUNT(*) AS n, MIN(id) AS lo, MAX(id) AS hi, COUNT(DISTINCT id) AS d FROM k"), "SELECT COUNT(*) AS n, CAST(1 AS BIGINT) AS lo, COUNT(*) AS hi, COUNT(*) AS d FROM orders"),
     "update_expr": (_after(*_ORDERS, "UPDATE t SET price = price * 2, status = status || cust WHERE cust % 3 = 0 AND price > 50000", "SELECT * FROM t"),
                     "SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_custkey % 3 = 0 AND o_totalprice > 50000 THEN o_orderstatus || o_custkey ELSE o_orderstatus END AS status, CASE WHEN o_custkey % 3 = 0 AND o_totalprice > 50000 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders"),

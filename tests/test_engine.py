@@ -38,6 +38,105 @@ def test_audit_trigger(run):
     assert run("SELECT * FROM audit ORDER BY id") == [(1, "UPDATE", "Ines", "Inesx"), (2, "UPDATE", "Omar", "Omarx")]
 
 
+def test_conflicts(run):
+    run("CREATE TABLE stock (id INTEGER PRIMARY KEY, code TEXT UNIQUE, n INTEGER)")
+    run("INSERT INTO stock VALUES (1, 'a', 10), (2, 'b', 20)")
+    assert run("INSERT INTO stock VALUES (3, 'b', 1), (4, 'c', 2), (5, 'c', 3), (6, NULL, 4), (7, NULL, 5) ON CONFLICT (code) DO NOTHING") == 3
+    assert run("SELECT * FROM stock ORDER BY id") == [(1, "a", 10), (2, "b", 20), (4, "c", 2), (6, None, 4), (7, None, 5)]
+    assert run("INSERT INTO stock VALUES (8, 'a', 5), (9, 'd', 6) ON CONFLICT (code) DO UPDATE SET n = stock.n + excluded.n, id = id") == 2
+    assert run("SELECT * FROM stock WHERE code IN ('a', 'd') ORDER BY id") == [(1, "a", 15), (9, "d", 6)]
+    assert run("INSERT INTO stock SELECT id, code, 99 FROM stock WHERE code IS NOT NULL ON CONFLICT (id) DO UPDATE SET n = excluded.n WHERE stock.n > 10") == 2
+    assert run("SELECT id, n FROM stock WHERE n = 99 ORDER BY id") == [(1, 99), (2, 99)]
+    assert run("INSERT INTO stock VALUES (2, 'z', 0) ON CONFLICT (id) DO UPDATE SET code = ?", ["y"]) == 1
+    assert run("SELECT code FROM stock WHERE id = 2") == [("y",)]
+    with pytest.raises(ConstraintViolation):  # the other key still holds
+        run("INSERT INTO stock VALUES (1, 'new', 0), (50, 'a', 0) ON CONFLICT (id) DO NOTHING")
+    with pytest.raises(ConstraintViolation):
+        run("INSERT INTO stock VALUES (1, 'p', 0), (1, 'q', 0) ON CONFLICT (id) DO UPDATE SET n = 0")
+    with pytest.raises(SchemaError):
+        run("INSERT INTO stock VALUES (1, 'p', 0) ON CONFLICT DO NOTHING")
+    with pytest.raises(SchemaError):
+        run("INSERT INTO stock VALUES (1, 'p', 0) ON CONFLICT (n) DO NOTHING")
+
+
+def test_conflicts_fire_triggers_and_roll_back(engine, run):
+    run("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER)")
+    run("CREATE TABLE log (what TEXT, id INTEGER)")
+    run("CREATE TRIGGER i AFTER INSERT ON t BEGIN INSERT INTO log VALUES ('i', NEW.id); END")
+    run("CREATE TRIGGER u AFTER UPDATE ON t BEGIN INSERT INTO log VALUES ('u', NEW.id); END")
+    run("INSERT INTO t VALUES (1, 1)")
+    tx = engine.begin(0)
+    engine.query(0, "INSERT INTO t VALUES (1, 5), (2, 6) ON CONFLICT DO UPDATE SET n = excluded.n", tx_id=tx)
+    assert run("SELECT * FROM t ORDER BY id") == [(1, 5), (2, 6)]
+    assert run("SELECT * FROM log ORDER BY what, id") == [("i", 1), ("i", 2), ("u", 1)]
+    engine.rollback(tx)
+    assert run("SELECT * FROM t") == [(1, 1)] and run("SELECT * FROM log") == [("i", 1)]
+
+
+def test_conflicts_leave_rowids_apart(run):
+    run("CREATE TABLE s (code TEXT UNIQUE, n INTEGER)")
+    run("INSERT INTO s VALUES ('a', 1)")
+    assert run("INSERT INTO s VALUES ('a', 2), ('a', 3), ('b', 4), ('c', 5) ON CONFLICT DO NOTHING") == 2
+    run("INSERT INTO s VALUES ('d', 6), ('e', 7), ('f', 8)")
+    assert run("DELETE FROM s WHERE n >= 6") == 3
+    assert run("SELECT * FROM s ORDER BY n") == [("a", 1), ("b", 4), ("c", 5)]
+
+
+def test_conflicts_in_triggers(run):
+    run("CREATE TABLE t (id INTEGER PRIMARY KEY, kind TEXT)")
+    run("CREATE TABLE kinds (kind TEXT PRIMARY KEY, first INTEGER)")
+    run("CREATE TABLE counts (kind TEXT PRIMARY KEY, n INTEGER)")
+    run("CREATE TRIGGER a AFTER INSERT ON t BEGIN INSERT INTO kinds VALUES (NEW.kind, NEW.id) ON CONFLICT (kind) DO NOTHING; END")
+    run("CREATE TRIGGER b AFTER INSERT ON t BEGIN INSERT INTO counts VALUES (NEW.kind, 1) ON CONFLICT (kind) DO UPDATE SET n = counts.n + excluded.n; END")
+    run("INSERT INTO t VALUES (1, 'x'), (2, 'y'), (3, 'x')")
+    run("INSERT INTO t VALUES (4, 'y')")
+    assert run("SELECT * FROM kinds ORDER BY kind") == [("x", 1), ("y", 2)]
+    assert run("SELECT * FROM counts ORDER BY kind") == [("x", 2), ("y", 2)]
+    run("CREATE VIEW v AS SELECT id, kind FROM t")
+    run("CREATE TRIGGER c INSTEAD OF INSERT ON v BEGIN INSERT INTO kinds VALUES (NEW.kind, 0); END")
+    with pytest.raises(UnsupportedError):
+        run("INSERT INTO v VALUES (9, 'z') ON CONFLICT (id) DO NOTHING")
+
+
+def test_truncate(engine, run):
+    run("CREATE TABLE p (id INTEGER PRIMARY KEY)")
+    run("CREATE TABLE c (id INTEGER, p INTEGER REFERENCES p (id))")
+    run("INSERT INTO p VALUES (1), (2)")
+    run("INSERT INTO c VALUES (1, 2)")
+    with pytest.raises(ConstraintViolation):
+        run("TRUNCATE TABLE p")
+    tx = engine.begin(0)
+    assert engine.query(0, "TRUNCATE c", tx_id=tx).affected_rows == 1
+    assert run("SELECT * FROM c") == [] and run("TRUNCATE TABLE c") == 0
+    engine.rollback(tx)
+    assert run("SELECT * FROM c") == [(1, 2)]
+    run("DELETE FROM c")
+    assert run("TRUNCATE TABLE p") == 2 and run("SELECT * FROM p") == []
+    with pytest.raises(SchemaError):
+        run("TRUNCATE TABLE nowhere")
+
+
+def test_fetch(run):
+    run("CREATE TABLE t (id INTEGER)")
+    run("INSERT INTO t VALUES (1), (2), (3), (4)")
+    assert run("SELECT id FROM t ORDER BY id FETCH FIRST 2 ROWS ONLY") == [(1,), (2,)]
+    assert run("SELECT id FROM t ORDER BY id OFFSET 1 ROW FETCH NEXT ROW ONLY") == [(2,)]
+    with pytest.raises(EngineError):
+        run("SELECT id FROM t ORDER BY id FETCH FIRST 2 ROWS WITH TIES")
+
+
+def test_match_operator(run):
+    run("CREATE VIRTUAL TABLE notes USING fts5(content, id)")
+    run("INSERT INTO notes VALUES ('green pears ripen', 1), ('red pears', 2), (NULL, 3)")
+    assert run("SELECT id FROM notes WHERE notes MATCH 'pears green'") == [("1",)]
+    assert run("SELECT id FROM notes WHERE content MATCH ?", ["pears"]) == [("1",), ("2",)]
+    assert run("SELECT n.id FROM notes n WHERE NOT n.content MATCH 'red' AND n MATCH 'pears'") == [("1",)]
+    assert run("SELECT id FROM notes WHERE content NOT MATCH 'green' AND content IS NOT NULL") == [("2",)]
+    assert run("SELECT id match FROM notes WHERE id = '2'") == [("2",)]
+    run("DELETE FROM notes WHERE notes MATCH 'red'")
+    assert run("SELECT COUNT(*) FROM notes") == [(2,)]
+
+
 def test_views(run):
     run("CREATE TABLE members (id INTEGER PRIMARY KEY, name TEXT, age INTEGER)")
     run("INSERT INTO members VALUES (1, 'Ines', 51), (2, 'Kid', 7)")
