@@ -19,8 +19,7 @@ def query_tokens(text: str) -> list[str]:
     return [w for w in re.findall(r"[a-z0-9]+", text.lower()) if len(w) > 2 and w not in STOPWORDS]
 
 
-#: A token of lower-cased text that is indexed, as a pattern of Java's.
-TOKEN = "(?<![a-z0-9])(?!(?:" + "|".join(w for w in STOPWORDS if len(w) > 2) + ")(?![a-z0-9]))[a-z0-9]{3,}"
+_LONG_STOPWORDS = [w for w in STOPWORDS if len(w) > 2]
 
 
 def has(column: str, token: str) -> str:
@@ -36,7 +35,8 @@ def match(column: str, query: str) -> str:
 
 def tokens(text: Column) -> Column:
     """The indexed tokens of a text in order, repeats included; none of a null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.coalesce(F.filter(runs, lambda w: ~w.isin(_LONG_STOPWORDS)), F.array().cast("array<string>"))
 
 
 def terms(texts: DataFrame) -> DataFrame:
