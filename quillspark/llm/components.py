@@ -27,9 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(store.joinable(least, 2 * seen[0]), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(floor, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        moved = large.join(store.joinable(floor, seen[0]), "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after, to = store.materialize(moved.unionAll(floor.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         store.drop(spark, path)
         path, now = to, after

@@ -17,8 +17,6 @@ from .workers import map_arrow
 RADIUS = 4
 #: Distinct fingerprints of a bucket beyond which it is split by a second set of masks.
 CAP = 4096
-#: Ids that are sent to every executor rather than joined by a shuffle of the texts.
-BROADCAST_ROWS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HASHES_AT_ONCE = 1 << 16
 
@@ -131,7 +129,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)]))
     tables = prints.select("fp", table.alias("m")).select("fp", "m.t", F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
     shared = tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows, path = store.materialize(tables.join(shared, ["t", "key"]), "buckets")
+    rows, path = store.materialize(tables.join(shared.hint("merge"), ["t", "key"]), "buckets")  # either side has up to 31 rows a fingerprint
     inner = F.create_map(*[x for t, m in enumerate(masks) for x in (F.lit(t), F.array(*[F.lit(_signed(m | s)) for s in covering_masks([b for b in range(64) if not m >> b & 1], radius)]))])
     split = rows.where(F.col("n") > CAP).select("fp", "t", F.posexplode(inner[F.col("t")]).alias("s", "mask"))
     split = split.select("fp", (F.col("t") * 64 + F.col("s") + 1).alias("g"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
@@ -178,12 +176,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc
     with store.keeping_only(docs.sparkSession) as kept:
         prints, prints_at = store.materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
         classes, _ = store.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+        n = classes.count()  # no table that follows has more rows
         found = connected_components(links(classes.select("fp"), radius))
-        rooted = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+        rooted = classes.join(store.joinable(found.withColumnRenamed("id", "fp"), n), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
         smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-        member, member_at = store.materialize(rooted.join(smallest, "root").select("fp", "component_id"), "members")
+        member, member_at = store.materialize(rooted.join(store.joinable(smallest, n), "root").select("fp", "component_id"), "members")
         kept |= {prints_at, member_at}
-    return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(store.joinable(member, n), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,6 +190,6 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id
     groups = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
     gone = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("all")).where("all").select("__gone")
     gone, _ = store.materialize(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:  # else texts and ids are shuffled to each other
+    if gone.count() <= store.BROADCAST_ROWS:  # else texts and ids are shuffled to each other
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

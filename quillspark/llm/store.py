@@ -15,6 +15,8 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that may be sent to every executor rather than joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _fallback: dict[str, str] = {}
 _written: dict[str, set[str]] = {}  # application -> tables that haven't been deleted
 _open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
@@ -69,6 +71,15 @@ def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
     return out
 
 
+def joinable(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` at most, as a side of a join: shuffled beyond BROADCAST_ROWS.
+
+    The planner goes by the size of files, which says little of rows: ids in order take a byte or
+    two each there, and exploded ones none. A broadcast is built in the driver's memory.
+    """
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table whose readers have all been materialized."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

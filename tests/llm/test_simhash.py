@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from quillspark.llm import simhash
+from quillspark.llm import simhash, store
 from quillspark.llm.components import connected_components
 
 
@@ -118,3 +118,41 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in root}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plans_of(monkeypatch, act):
+    """What ``act`` returns, and the plans of the tables that it wrote."""
+    plans, write = [], store.materialize
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(store, "materialize", noted)
+    return act(), plans
+
+
+def chains(spark):
+    """Texts of few words and copies of them, whose fingerprints link some."""
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefgh") * 3 for _ in range(120)] for _ in range(8)]
+    texts = [" ".join(w[:k] + ["x"] + w[k + 1 :]) for w in base for k in range(110, 116)]
+    return spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(2 * len(texts))], "doc_id long, text string")
+
+
+def test_tables_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    docs = chains(spark)
+    small = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    assert len({c for *_, c in small}) < len({f for _, f, _ in small})
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0, raising=False)
+    large, plans = plans_of(monkeypatch, lambda: simhash.near_duplicates(docs))
+    plans.append(large._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+    assert sorted(map(tuple, large.collect())) == small
+
+
+def test_buckets_are_not_broadcast(spark, monkeypatch):
+    prints, _ = store.materialize(simhash.fingerprints(chains(spark)).select("fp").distinct(), "prints")
+    _, plans = plans_of(monkeypatch, lambda: simhash.links(prints))
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
