@@ -190,6 +190,6 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id
     groups = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
     gone = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("all")).where("all").select("__gone")
     gone, _ = store.materialize(gone, "gone")
-    if gone.count() <= store.BROADCAST_ROWS:  # else texts and ids are shuffled to each other
-        gone = F.broadcast(gone)
+    n = gone.count()
+    gone = F.broadcast(gone) if n <= store.BROADCAST_ROWS else store.joinable(gone, n)  # else texts and ids are shuffled to each other
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

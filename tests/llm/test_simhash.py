@@ -156,3 +156,12 @@ def test_buckets_are_not_broadcast(spark, monkeypatch):
     prints, _ = store.materialize(simhash.fingerprints(chains(spark)).select("fp").distinct(), "prints")
     _, plans = plans_of(monkeypatch, lambda: simhash.links(prints))
     assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_dropped_ids_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    docs = chains(spark)
+    small = sorted(map(tuple, simhash.deduplicated(docs).collect()))
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0, raising=False)
+    large = simhash.deduplicated(docs)
+    assert "Broadcast" not in large._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(tuple, large.collect())) == small
