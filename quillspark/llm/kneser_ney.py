@@ -31,10 +31,11 @@ FAN, SALTS = 512, 16
 MAPS = 128
 _SCORE_TOKENS = 1_000_000
 # Bytes hashed at once; white space; and random numbers for marks, bytes and their places in a word.
-_BLOCK, _PLACES = 1 << 20, 20260101
+_BLOCK, _PLACES = 1 << 16, 20260101
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 BEGIN, END, *_drawn = np.random.default_rng(20260102).integers(0, 1 << 64, 258, np.uint64)
-_BYTES = np.array(_drawn)[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+# White space adds nothing to a hash.
+_BYTES = np.where(_SPACE, np.uint64(0), np.array(_drawn)[[c + 32 if 65 <= c <= 90 else c for c in range(256)]])
 _PLACE = np.random.default_rng(_PLACES).integers(0, 1 << 64, 4096, np.uint64)
 _GRAM, _CONTEXT, _TOKEN, _FACTS, _HOT = range(5)
 
@@ -87,6 +88,21 @@ class Layout:
         low = np.uint64(64 - self.taken)
         return np.where(hot, own, keys_of(core)) >> low << low | own & (np.uint64(1) << low) - np.uint64(1), hot
 
+    def within(self, h: np.ndarray, ends: np.ndarray, first: int, end: int) -> np.ndarray:
+        """Of the highest n-grams that end at ``ends`` in ``h``, the ends of those in the shards from ``first`` to before ``end``.
+
+        Only the words that tell the shard are gathered, and a whole n-gram only where those are all hot.
+        """
+        if self.order == 1:
+            shard = self.shard(self.keys(_GRAM, 1, h[ends][:, None])[0])
+        else:
+            inner = self.order > 2  # the highest level is primary
+            words = [h[ends - back] for back in range(self.order - 1 - inner, 0, -1)]
+            shard = self.shard(keys_of(np.stack(words, 1)))
+            hot = np.flatnonzero(np.logical_and.reduce([self.hot[np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)] == w for w in words]))
+            shard[hot] = self.shard(keys_of(_grams(h, ends[hot], self.order)))
+        return ends[(shard >= first) & (shard < end)]
+
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.taken)).astype(np.int64) if self.taken else np.zeros(len(keys), np.int64)
 
@@ -126,22 +142,22 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
                 at = to
                 continue
             gap = gap[: spaces[-1] + 1]
-        inside = ~gap
-        first = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
-        if len(first):
-            where = np.flatnonzero(inside)
-            begin = np.searchsorted(where, first)
-            place = where - np.repeat(first, np.diff(begin, append=len(where)))
-            longest = int(place.max()) + 1
+        before = np.ones(len(gap), bool)
+        before[1:] = gap[:-1]
+        first = np.flatnonzero(before & ~gap)
+        if len(first):  # each word with the white space after it
+            sizes = np.diff(first, append=len(gap))
+            place = np.arange(first[0], len(gap)) - np.repeat(first, sizes)
+            longest = int(sizes.max())
             places = _PLACE if longest <= len(_PLACE) else np.random.default_rng(_PLACES).integers(0, 1 << 64, longest, np.uint64)
-            hashes.append(np.add.reduceat(_BYTES[codes[at + where]] * places[place], begin))
+            hashes.append(np.add.reduceat(_BYTES[codes[at + first[0] : at + len(gap)]] * places[place], first - first[0]))
             starts.append(at + first)
         at += len(gap)
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of the n-gram that ends at each token (tokens x order), and the tokens of each text."""
+def line_up(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of all texts with their marks, where in them each token is, and the tokens of each text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     found, starts = word_hashes(b"\n".join(raw))
     sizes = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])), prepend=0) + 1
@@ -152,7 +168,21 @@ def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray
         h[last - sizes - order + 1 + j], inner[last - sizes - order + 1 + j] = BEGIN, False
     h[inner] = found
     ends = np.repeat((order - 1) * np.arange(1, len(sizes) + 1), sizes) + np.arange(sizes.sum())
-    return np.stack([h[ends - back] for back in range(order - 1, -1, -1)], 1) if len(sizes) else np.zeros((0, order), np.uint64), sizes
+    return h, ends, sizes
+
+
+def _grams(h: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    """The word hashes of the n-gram that ends at each of ``ends``."""
+    out = np.empty((len(ends), order), np.uint64)
+    for j in range(order):
+        out[:, j] = h[ends - (order - 1 - j)]
+    return out
+
+
+def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of the n-gram that ends at each token (tokens x order), and the tokens of each text."""
+    h, ends, sizes = line_up(texts, order)
+    return _grams(h, ends, order), sizes
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -187,7 +217,14 @@ def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     """Rows in order of their words, which become places in a list of the distinct ones; each column byte by byte, for the compressor."""
     names, at = np.unique(np.concatenate(words), return_inverse=True)
     at = at.reshape(len(words), -1)
-    order = np.lexsort(at[::-1])
+    bits = len(names).bit_length()
+    if bits * len(at) < 64:  # all places as one number
+        code = at[0]
+        for c in at[1:]:
+            code = code << bits | c
+        order = np.argsort(code)
+    else:
+        order = np.lexsort(at[::-1])
     columns = [c[order] for c in (*at, *values)]
     columns[0] = np.diff(columns[0], prepend=0)
     columns = [_narrow(c) for c in columns]
@@ -325,14 +362,14 @@ class Table:
         """Which keys there are, and the places of those."""
         run, rest = _run(keys, self.taken, self.bits), keys & np.uint64((1 << self.rest) - 1)
         a, b = self.start[run].astype(np.int64), self.start[run + 1].astype(np.int64)
-        ends, last = b, len(self.low) - 1
+        last = len(self.low) - 1
         if last < 0:
             return np.zeros(len(keys), bool), a[:0]
-        for _ in range(int((b - a).max(initial=0)).bit_length()):
-            middle = a + b >> 1
-            less = (a < b) & (self._at(np.minimum(middle, last)) < rest)
-            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
-        hit = (a < ends) & (self._at(np.minimum(a, last)) == rest)
+        for step in range(int((b - a).max(initial=0)).bit_length() - 1, -1, -1):
+            probe = a + ((1 << step) - 1)
+            less = (probe < b) & (self._at(np.minimum(probe, last)) < rest)
+            a += less.astype(np.int64) << step
+        hit = (a < b) & (self._at(np.minimum(a, last)) == rest)
         return hit, a[hit]
 
     def values(self, place: np.ndarray, width: int) -> np.ndarray:
@@ -430,19 +467,25 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layout = Layout(order, shards, np.zeros(0, np.uint64)) if kind == _TOKEN else Layout.of(local, order, shards)
             held: list[np.ndarray] = []
+            counts: list[np.ndarray] = []
 
             def flush() -> pa.RecordBatch:
-                grams = np.concatenate(held)
+                grams, n = np.concatenate(held), np.concatenate(counts)
                 held.clear()
-                return _batch(list(_rows_of(layout, kind, width, grams, [np.ones(len(grams), np.int64)])))
+                counts.clear()
+                return _batch(list(_rows_of(layout, kind, width, grams, [n])))
 
             for batch in batches:
                 for a in range(0, batch.num_rows, 1000):
-                    grams = windows(batch.column(0).slice(a, 1000).to_pylist(), width)[0]
-                    if end - first < shards:
-                        shard = layout.shard(layout.keys(kind, width, grams)[0])
-                        grams = grams[(shard >= first) & (shard < end)]
-                    held.append(grams)
+                    h, ends, _ = line_up(batch.column(0).slice(a, 1000).to_pylist(), width)
+                    grams = _grams(h, layout.within(h, ends, first, end) if end - first < shards else ends, width)
+                    if width == 1:  # words repeat
+                        words, n = np.unique(grams, return_counts=True)
+                        held.append(words[:, None])
+                        counts.append(n.astype(np.int64))
+                    else:
+                        held.append(grams)
+                        counts.append(np.ones(len(grams), np.int64))
                     if sum(map(len, held)) >= TOKENS_AT_ONCE:
                         yield flush()
             if held:
@@ -603,11 +646,11 @@ class Reader:
             d = np.array(model.levels[k].discounts)
             first, context = _grouped(at[-k] * contexts + context)
             contexts = len(first)
-            sums = self.find(_CONTEXT, k, *(x[first] for x in self.layout.keys(_CONTEXT, k, grams[:, -k:-1])), 4)
+            sums = self.find(_CONTEXT, k, *self.layout.keys(_CONTEXT, k, grams.take(first, 0)[:, -k:-1]), 4)
             total = np.maximum(sums[:, 0], 1)
             share = np.where(sums[:, 0] > 0, (sums[:, 1:] * d[1:]).sum(1) / total, 1.0)
             first, back = _grouped(context * len(names) + at[-1])
-            n = self.find(_GRAM, k, *(x[first] for x in self.layout.keys(_GRAM, k, grams[:, -k:])))
+            n = self.find(_GRAM, k, *self.layout.keys(_GRAM, k, grams.take(first, 0)[:, -k:]))
             p = (np.maximum(n - d[np.minimum(n, 3)], 0) / total[context[first]])[back] + share[context] * p
         return np.log10(p), known
 

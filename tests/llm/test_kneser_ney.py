@@ -207,3 +207,23 @@ def test_words_are_hashed_alike_in_blocks_of_any_size(monkeypatch):
         monkeypatch.setattr(kn, "_BLOCK", block)
         got, places = kn.word_hashes(raw)
         assert (got == want).all() and (places == at).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
+def test_a_pass_picks_its_shards_before_it_gathers(order):
+    texts = [" ".join(random.Random(i).choices(["a", "b", "hot", "warm", *map(str, range(40))], k=i)) for i in (0, 1, 7, 300)] + [None, "hot hot hot hot hot hot"]
+    hot = np.sort(np.concatenate([[kn.BEGIN], kn.word_hashes(b"hot warm")[0]]))
+    layout = kn.Layout(order, 8, hot)
+    h, ends, sizes = kn.line_up(texts, order)
+    whole, tokens_of = kn.windows(texts, order)
+    shard = layout.shard(layout.keys(kn._GRAM, order, whole)[0])
+    assert sizes.tolist() == tokens_of.tolist() and len(set(shard.tolist())) > 4
+    for first, end in ((0, 2), (2, 5), (5, 8)):
+        assert (kn._grams(h, layout.within(h, ends, first, end), order) == whole[(shard >= first) & (shard < end)]).all()
+
+
+def test_white_space_adds_nothing_to_a_hash():
+    words = [b"Ab", b"c" * 5000, "é".encode()]
+    spaced = b" \t" * 3000 + b"\n".join(w + b" \x0b" * 2500 for w in words)
+    found, starts = kn.word_hashes(spaced)
+    assert found.tolist() == [kn.word_hashes(w)[0][0] for w in words] and spaced[starts[0] : starts[0] + 2] == b"Ab"
