@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import os
+import resource
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,27 +29,35 @@ TOKENS_AT_ONCE, SHARD_NGRAMS, HOT = 4_000_000, 2_000_000, 1_000_000
 PASSES = 4
 #: Ranges of shards to which a task deals; with more shards, ranges are dealt again, by SALTS tasks each.
 FAN, SALTS = 512, 16
-#: Shard files that a worker has mapped at once.
-MAPS = 128
+#: Rows from which a table's commonest values are counted by code rather than sorted.
+LONG = 1 << 16
+#: Mean keys of a run, which a look-up goes through, that a table's file aims to stay under.
+RUN = 6
+#: Shard files that a worker has mapped at once; each takes a descriptor. No limit of those is given as -1, which the remainder makes large.
+MAPS = min(512, max(16, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2 % (1 << 62)))
 _SCORE_TOKENS = 1_000_000
-# Bytes hashed at once; white space; and random numbers for marks, bytes and their places in a word.
+# Bytes hashed at once; random numbers for marks and for the places of a word's stretches of eight bytes; which of those bytes a word has.
 _BLOCK, _PLACES = 1 << 16, 20260101
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-BEGIN, END, *_drawn = np.random.default_rng(20260102).integers(0, 1 << 64, 258, np.uint64)
-# White space adds nothing to a hash.
-_BYTES = np.where(_SPACE, np.uint64(0), np.array(_drawn)[[c + 32 if 65 <= c <= 90 else c for c in range(256)]])
+BEGIN, END, _SIZE = np.random.default_rng(20260102).integers(0, 1 << 64, 3, np.uint64)
 _PLACE = np.random.default_rng(_PLACES).integers(0, 1 << 64, 4096, np.uint64)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _GRAM, _CONTEXT, _TOKEN, _FACTS, _HOT = range(5)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """``x`` itself, each number replaced by another one to one."""
+    for factor, shift in ((0x9E3779B97F4A7C15, 32), (0xD6E8FEB86659FD93, 29)):
+        x *= np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+    return x
+
+
 def keys_of(grams: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of word hashes, well mixed in its top bits, which name the shard."""
     x = np.full(len(grams), grams.shape[1], np.uint64)
     for j in range(grams.shape[1]):
-        x = (x ^ grams[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x = x * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
+        x ^= grams[:, j]
+        _mix(x)
     return x
 
 
@@ -64,6 +74,8 @@ class Layout:
 
     def __init__(self, order: int, shards: int, hot: np.ndarray):
         self.order, self.shards, self.hot, self.taken = order, shards, hot, int(math.log2(shards))
+        self.maybe = np.zeros(1 << 16, bool)  # by a word's low bits
+        self.maybe[hot.astype(np.uint16)] = True
 
     @classmethod
     def of(cls, folder: str, order: int, shards: int) -> Layout:
@@ -73,6 +85,16 @@ class Layout:
     def primary(self, level: int) -> bool:
         return (self.order - level) % 2 == 0
 
+    def all_hot(self, words: list[np.ndarray]) -> np.ndarray:
+        """The rows of the columns ``words`` whose words are all hot."""
+        rows = None
+        for w in words:
+            own = w if rows is None else w[rows]
+            at = np.flatnonzero(self.maybe[own.astype(np.uint16)])
+            at = at[self.hot[np.minimum(np.searchsorted(self.hot, own[at]), len(self.hot) - 1)] == own[at]]
+            rows = at if rows is None else rows[at]
+        return rows
+
     def keys(self, kind: int, level: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For rows of word hashes, keys whose top bits name the shard, and which are hot."""
         own, hot = keys_of(grams), np.zeros(len(grams), bool)
@@ -81,8 +103,7 @@ class Layout:
         core = grams[:, :-1] if kind == _GRAM else grams
         if self.primary(level) and level > 2:
             core = core[:, 1:]
-        at = np.minimum(np.searchsorted(self.hot, core), len(self.hot) - 1)
-        hot = (self.hot[at] == core).all(1)
+        hot[self.all_hot([*core.T])] = True
         if not self.taken:
             return own, hot
         low = np.uint64(64 - self.taken)
@@ -98,8 +119,8 @@ class Layout:
         else:
             inner = self.order > 2  # the highest level is primary
             words = [h[ends - back] for back in range(self.order - 1 - inner, 0, -1)]
-            shard = self.shard(keys_of(np.stack(words, 1)))
-            hot = np.flatnonzero(np.logical_and.reduce([self.hot[np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)] == w for w in words]))
+            shard = self.shard(keys_of(np.array(words).T))
+            hot = self.all_hot(words)
             shard[hot] = self.shard(keys_of(_grams(h, ends[hot], self.order)))
         return ends[(shard >= first) & (shard < end)]
 
@@ -116,51 +137,89 @@ def _turn(level: int) -> list[int]:
     return [*range(1, level - 1), 0, level - 1] if level > 2 else list(range(level))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _spaces(codes: np.ndarray) -> np.ndarray:
+    return (codes == 32) | (codes - np.uint8(9) < 5)
+
+
+def _lower(codes: np.ndarray) -> np.ndarray:
+    """In lower case, and seven zeros."""
+    out = np.zeros(len(codes) + 7, np.uint8)
+    np.add(codes, (codes - np.uint8(65) < 26).view(np.uint8) * np.uint8(32), out=out[:-7])
+    return out
+
+
+def _stretches(own: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of eight bytes by what they are and their places in the word."""
+    return _mix(own ^ places)
+
+
+def word_hashes(raw: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of UTF-8 text, A-Z taken as lower case, and where it begins.
 
-    The hash is the sum of a random number for each byte times one for its place in the word, so all
-    words of a block of bytes are hashed at once, and a word longer than a block by its stretches.
+    The hash is a number for the first eight bytes and the size, to which one is added for each eight
+    bytes more and their place in the word. So all words of a block of bytes are hashed at once, and
+    a word longer than a block by its parts.
     """
-    codes = np.frombuffer(raw, np.uint8)
+    codes = np.frombuffer(raw, np.uint8) if len(raw) else np.zeros(0, np.uint8)
     hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(codes):
-        gap = _SPACE[codes[at : at + _BLOCK]]
-        if at + len(gap) < len(codes):
-            spaces = np.flatnonzero(gap)
+        own = codes[at : at + _BLOCK]
+        gap = np.ones(len(own) + 2, bool)
+        gap[1:-1] = _spaces(own)
+        if at + len(own) < len(codes):
+            spaces = np.flatnonzero(gap[max(1, len(own) - 256) : -1])
+            spaces = spaces + max(0, len(own) - 257) if len(spaces) else np.flatnonzero(gap[1:-1])
             if not len(spaces):  # inside a long word
-                to = at + len(gap)
-                while to < len(codes) and not _SPACE[codes[to]]:
-                    more = np.flatnonzero(_SPACE[codes[to : to + _BLOCK]])
+                to = at + len(own)
+                while to < len(codes):
+                    more = np.flatnonzero(_spaces(codes[to : to + _BLOCK]))
                     to += int(more[0]) if len(more) else len(codes[to : to + _BLOCK])
+                    if len(more):
+                        break
                 total, rng = np.zeros(1, np.uint64), np.random.default_rng(_PLACES)
-                for a in range(at, to, _BLOCK):
-                    own = codes[a : min(to, a + _BLOCK)]
-                    total += (_BYTES[own] * rng.integers(0, 1 << 64, len(own), np.uint64)).sum(dtype=np.uint64)
+                for a in range(at, to, 1 << 16):
+                    eights = _lower(codes[a : min(to, a + (1 << 16))])
+                    eights = eights[: len(eights) // 8 * 8].view(np.uint64)
+                    places = rng.integers(0, 1 << 64, len(eights), np.uint64)
+                    if a == at:
+                        places[:1] = np.array([to - at], np.uint64) * _SIZE
+                    total += _stretches(eights, places).sum(dtype=np.uint64)
                 hashes.append(total)
                 starts.append(np.array([at]))
                 at = to
                 continue
-            gap = gap[: spaces[-1] + 1]
-        before = np.ones(len(gap), bool)
-        before[1:] = gap[:-1]
-        first = np.flatnonzero(before & ~gap)
-        if len(first):  # each word with the white space after it
-            sizes = np.diff(first, append=len(gap))
-            place = np.arange(first[0], len(gap)) - np.repeat(first, sizes)
-            longest = int(sizes.max())
-            places = _PLACE if longest <= len(_PLACE) else np.random.default_rng(_PLACES).integers(0, 1 << 64, longest, np.uint64)
-            hashes.append(np.add.reduceat(_BYTES[codes[at + first[0] : at + len(gap)]] * places[place], first - first[0]))
+            own = own[: spaces[-1] + 1]
+            gap = gap[: len(own) + 1]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        first, sizes = edges[::2], edges[1::2] - edges[::2]
+        if len(first):
+            eights = np.ndarray(len(own), np.uint64, _lower(own), strides=(1,))  # from each byte on
+            found = _stretches(eights.take(first) & _MASK.take(sizes, mode="clip"), sizes.astype(np.uint64) * _SIZE)
+            long = np.flatnonzero(sizes > 8)
+            if len(long):
+                more = (sizes[long] - 1) >> 3
+                start = np.cumsum(more) - more
+                place = np.arange(1, int(more.sum()) + 1) - np.repeat(start, more)
+                longest = int(more.max()) + 1
+                places = _PLACE if longest <= len(_PLACE) else np.random.default_rng(_PLACES).integers(0, 1 << 64, longest, np.uint64)
+                left = np.repeat(sizes[long], more) - 8 * place
+                parts = eights.take(np.repeat(first[long], more) + 8 * place) & _MASK.take(left, mode="clip")
+                found[long] += np.add.reduceat(_stretches(parts, places[place]), start)
+            hashes.append(found)
             starts.append(at + first)
-        at += len(gap)
+        at += len(own)
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def line_up(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_up(texts: list[str | None] | pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The word hashes of all texts with their marks, where in them each token is, and the tokens of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    found, starts = word_hashes(b"\n".join(raw))
-    sizes = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])), prepend=0) + 1
+    if isinstance(texts, list):
+        texts = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else pa.binary()
+    lines = pc.binary_join_element_wise(pc.fill_null(texts.cast(kind), b""), pa.scalar(b"", kind), pa.scalar(b"\n", kind))
+    ends = np.cumsum(pc.binary_length(lines).to_numpy(), dtype=np.int64)
+    found, starts = word_hashes(lines.buffers()[2].slice(0, ends[-1]) if len(ends) else b"")
+    sizes = np.diff(np.searchsorted(starts, ends), prepend=0) + 1
     h = np.empty(len(found) + order * len(texts), np.uint64)
     last, inner = np.cumsum(sizes + order - 1) - 1, np.ones(len(h), bool)
     h[last], inner[last] = END, False
@@ -179,16 +238,45 @@ def _grams(h: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list[str | None] | pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of the n-gram that ends at each token (tokens x order), and the tokens of each text."""
     h, ends, sizes = line_up(texts, order)
     return _grams(h, ends, order), sizes
 
 
+def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``keys`` in their order, and the keys so.
+
+    Sorts as many bits as a number has room for beside the place, after those that all keys share;
+    hashes are mostly told apart by these, and where the result is out of order it is sorted in full.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), keys
+    bits = np.uint64(len(keys).bit_length())
+    shared = np.uint64(64 - max(1, int(np.bitwise_or.reduce(keys ^ keys[0])).bit_length()))
+    both = (keys << shared >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    both &= (np.uint64(1) << bits) - np.uint64(1)
+    order = both.view(np.int64)
+    out = keys.take(order)
+    if (out[1:] < out[:-1]).any():
+        order = np.argsort(keys)
+        out = keys.take(order)
+    return order, out
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and which of those each key is."""
+    order, keys = _in_order(keys)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], back
+
+
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, the place of one row of each, and sums of the values by key."""
-    order = np.argsort(keys)
-    keys = keys[order]
+    order, keys = _in_order(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], order[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
 
@@ -215,14 +303,15 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 
 def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     """Rows in order of their words, which become places in a list of the distinct ones; each column byte by byte, for the compressor."""
-    names, at = np.unique(np.concatenate(words), return_inverse=True)
+    names, at = _distinct(np.concatenate(words))
     at = at.reshape(len(words), -1)
     bits = len(names).bit_length()
-    if bits * len(at) < 64:  # all places as one number
+    if bits * len(at) < 64:  # all places as one number; the last bits, where there is no room for them, needn't be in order
         code = at[0]
         for c in at[1:]:
             code = code << bits | c
-        order = np.argsort(code)
+        own = len(code).bit_length()
+        order = np.sort(code >> max(0, bits * len(at) + own - 63) << own | np.arange(len(code))) & (1 << own) - 1
     else:
         order = np.lexsort(at[::-1])
     columns = [c[order] for c in (*at, *values)]
@@ -301,16 +390,28 @@ def _arrow(rows: list[tuple]) -> pa.Table:
 
 
 def _coded(rows: np.ndarray) -> list[np.ndarray]:
-    """A byte for each row, the places of the rows of byte 255, and the distinct rows: the commonest 255 by byte, then those of byte 255 by place."""
-    keys = keys_of(rows.astype(np.uint64))
-    distinct, at, n = _sum_by(keys, np.ones(len(keys), np.int64))
+    """A byte for each row, the places of the rows of byte 255, and the distinct rows: the commonest 255 (of those of small numbers, in a long table) by byte, then those of byte 255 by place."""
+    if len(rows) < LONG:
+        distinct, at = np.unique(keys_of(rows.astype(np.uint64)), return_inverse=True)
+        n = np.bincount(at)
+    else:  # small numbers side by side, and one more code for all other rows
+        bits, at, any_of = 20 // rows.shape[1], np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for j in range(rows.shape[1]):
+            at |= rows[:, j] << bits * j
+            any_of |= rows[:, j]
+        at[any_of >> bits > 0] = 1 << bits * rows.shape[1]
+        n = np.bincount(at)
+        n[1 << bits * rows.shape[1] :] = 0
     often = np.argsort(-n, kind="stable")[:255]
-    rank = np.full(len(distinct), 255, np.uint8)
+    often = often[n[often] > 0]
+    one = np.empty(len(n), np.int64)
+    one[at] = np.arange(len(at))
+    rank = np.full(len(n), 255, np.uint8)
     rank[often] = np.arange(len(often))
-    code = rank[np.searchsorted(distinct, keys)]
+    code = rank[at]
     odd = np.flatnonzero(code == 255)
     table = np.zeros((255 + len(odd), rows.shape[1]), np.int64)
-    table[: len(often)], table[255:] = rows[at[often]], rows[odd]
+    table[: len(often)], table[255:] = rows[one[often]], rows[odd]
     return [code, odd.astype(np.uint32), _narrow(table).ravel()]
 
 
@@ -324,7 +425,7 @@ def _save(path: str, taken: int, tables: list[tuple[np.ndarray, np.ndarray]]) ->
     for keys, rows in tables:
         n = len(keys)
         sizes = {b: (4 << b) + n * np.min_scalar_type((1 << max(0, 32 - taken - b)) - 1).itemsize for b in range(min(n.bit_length() + 1, 32 - taken))}
-        bits = min(sizes, key=sizes.get)
+        bits = min([b for b in sizes if n >> b < RUN] or [max(sizes)], key=sizes.get)
         rest = 64 - taken - bits
         start = np.searchsorted(_run(keys, taken, bits), np.arange((1 << bits) + 1))
         high = (keys & np.uint64((1 << rest) - 1)) >> np.uint64(32)
@@ -359,18 +460,25 @@ class Table:
         return self.high[place].astype(np.uint64) << np.uint64(32) | self.low[place]
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys there are, and the places of those."""
+        """Which keys there are, and the places of those. Long runs are halved until they are short; then all keys of the runs are compared at once."""
         run, rest = _run(keys, self.taken, self.bits), keys & np.uint64((1 << self.rest) - 1)
         a, b = self.start[run].astype(np.int64), self.start[run + 1].astype(np.int64)
-        last = len(self.low) - 1
+        hit, last = np.zeros(len(keys), bool), len(self.low) - 1
         if last < 0:
-            return np.zeros(len(keys), bool), a[:0]
-        for step in range(int((b - a).max(initial=0)).bit_length() - 1, -1, -1):
-            probe = a + ((1 << step) - 1)
-            less = (probe < b) & (self._at(np.minimum(probe, last)) < rest)
-            a += less.astype(np.int64) << step
-        hit = (a < b) & (self._at(np.minimum(a, last)) == rest)
-        return hit, a[hit]
+            return hit, a[:0]
+        while int((b - a).max(initial=0)) > 8 * RUN:
+            middle = (a + b) >> 1
+            below = self._at(np.minimum(middle, last)) <= rest
+            a, b = np.where(below, middle, a), np.where(below, b, middle)
+        sizes = b - a
+        ends = np.cumsum(sizes)
+        at = np.repeat(a - ends + sizes, sizes)
+        at += np.arange(len(at))
+        same = np.flatnonzero(self.low[at] == np.repeat(rest.astype(np.uint32), sizes))
+        place, which = at[same], np.searchsorted(ends, same, "right")
+        whole = self.high[place] == rest[which] >> np.uint64(32)
+        hit[which[whole]] = True
+        return hit, place[whole]
 
     def values(self, place: np.ndarray, width: int) -> np.ndarray:
         row = self.code[place].astype(np.int64)
@@ -477,7 +585,7 @@ def train(docs: DataFrame, order: int = ORDER, *, text_col: str = "text") -> Mod
 
             for batch in batches:
                 for a in range(0, batch.num_rows, 1000):
-                    h, ends, _ = line_up(batch.column(0).slice(a, 1000).to_pylist(), width)
+                    h, ends, _ = line_up(batch.column(0).slice(a, 1000), width)
                     grams = _grams(h, layout.within(h, ends, first, end) if end - first < shards else ends, width)
                     if width == 1:  # words repeat
                         words, n = np.unique(grams, return_counts=True)
@@ -611,10 +719,12 @@ class Reader:
         for which, name, table in places:
             which = np.flatnonzero(which)
             which = which[np.argsort(rough[which], kind="stable")]
+            own, found = keys[which], np.zeros((len(which), width), np.int64)
             for s, a, b in _runs(shard[which]):
                 if tables := self._tables(name, s):
-                    hit, place = tables[table].places(keys[which[a:b]])
-                    out[which[a:b][hit]] = tables[table].values(place, width)
+                    hit, place = tables[table].places(own[a:b])
+                    found[a:b][hit] = tables[table].values(place, width)
+            out[which] = found
         return out if width > 1 else out[:, 0]
 
     def scores(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -624,7 +734,7 @@ class Reader:
         context and n-gram is looked up once; all of them are told apart by exact codes of the words.
         """
         model, order = self.model, self.model.order
-        names, ids = np.unique(np.concatenate([grams[:, -1], [BEGIN], grams[: order - 1, :-1].ravel()]), return_inverse=True)
+        names, ids = _distinct(np.concatenate([grams[:, -1], [BEGIN], grams[: order - 1, :-1].ravel()]))
         at = [ids[: len(grams)]]
         for j in range(order - 2, -1, -1):  # mostly the last word of an earlier row
             guess = np.roll(at[0], 1)
@@ -667,23 +777,34 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = kept(("kneser_ney", model.folder), lambda: Reader(model))
         floor = model.tokens + model.vocabulary + 1
+        def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids, texts = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+            grams, sizes = windows(texts, model.order)
+            starts = np.cumsum(sizes) - sizes
+            cuts = np.linspace(0, len(grams), -(-len(grams) // _SCORE_TOKENS) + 1).astype(np.int64)
+            logs, seen = (np.concatenate(x) for x in zip(*(reader.scores(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))))
+            total = np.add.reduceat(logs, starts)
+            base = np.add.reduceat(np.log10((seen + 1) / floor), starts)
+            columns = [sizes, np.add.reduceat((seen > 0).astype(np.int64), starts), np.full(len(sizes), model.tokens), base, total, 10 ** np.minimum(-total / sizes, 300)]
+            return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+        held, room = [], _SCORE_TOKENS * 6
         for batch in batches:
             at = 0
-            texts = batch.column(1).to_pylist()
-            while at < len(texts):
-                to, room = at, _SCORE_TOKENS * 6
-                while to < len(texts) and (to == at or room > 0):
-                    room -= len(texts[to] or "")
-                    to += 1
-                grams, sizes = windows(texts[at:to], model.order)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                parts = [reader.scores(grams[a : a + _SCORE_TOKENS]) for a in range(0, len(grams), _SCORE_TOKENS)]
-                logs, seen = (np.concatenate(x) for x in zip(*parts))
-                total = np.add.reduceat(logs, starts)
-                base = np.add.reduceat(np.log10((seen + 1) / floor), starts)
-                columns = [sizes, np.add.reduceat((seen > 0).astype(np.int64), starts), np.full(len(sizes), model.tokens), base, total, 10 ** np.minimum(-total / sizes, 300)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy() + 6
+            ends = np.cumsum(lengths, dtype=np.int64)
+            while at < len(ends):  # up to where the room ends, and a text at least
+                before = ends[at - 1] if at else 0
+                to = max(int(np.searchsorted(ends, before + room)), at + (not held))
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+                    room -= int(ends[to - 1] - before)
+                if to < len(ends):
+                    yield scored(held)
+                    held, room = [], _SCORE_TOKENS * 6
                 at = to
+        if held:
+            yield scored(held)
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()

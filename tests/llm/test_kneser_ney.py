@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import kneser_ney as kn
@@ -227,3 +228,32 @@ def test_white_space_adds_nothing_to_a_hash():
     spaced = b" \t" * 3000 + b"\n".join(w + b" \x0b" * 2500 for w in words)
     found, starts = kn.word_hashes(spaced)
     assert found.tolist() == [kn.word_hashes(w)[0][0] for w in words] and spaced[starts[0] : starts[0] + 2] == b"Ab"
+
+
+def test_texts_come_as_arrow_arrays_too():
+    texts = ["A b", None, "", "x" * 70_000 + " y", "é\x00 z"] * 3
+    for kind in (pa.string(), pa.large_string()):
+        for a, n in ((0, 15), (3, 9), (2, 0)):
+            got, want = kn.line_up(pa.array(texts, kind).slice(a, n), 3), kn.line_up(texts[a : a + n], 3)
+            assert all((x == y).all() for x, y in zip(got, want))
+
+
+def test_look_ups_go_through_short_runs(tmp_path):
+    rng = np.random.default_rng(1)
+    for taken, n in ((6, 300_000), (20, 60_000)):  # too few bits are left for short runs at 20
+        keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) >> np.uint64(taken - 1))
+        kn._save(f"{tmp_path}/{taken}/file", taken, [(keys, np.arange(len(keys))[:, None])])
+        (table,) = kn.mapped(f"{tmp_path}/{taken}/file", taken)
+        assert len(keys) >> table.bits < kn.RUN or table.bits == 31 - taken
+        hit, place = table.places(np.concatenate([keys[::-1], keys[keys + np.uint64(1) != np.roll(keys, -1)] + np.uint64(1)]))
+        assert hit[: len(keys)].all() and not hit[len(keys) :].any() and (place == np.arange(len(keys))[::-1]).all()
+        assert (table.values(place, 1)[:, 0] == place).all()
+
+
+def test_keys_alike_in_their_top_bits_are_sorted_in_full():
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 1 << 63, 5000, np.uint64), np.append(rng.integers(0, 9, 5000).astype(np.uint64), np.uint64(1 << 63)), np.zeros(3, np.uint64), np.zeros(0, np.uint64)):
+        order, got = kn._in_order(keys)
+        assert (got == np.sort(keys)).all() and (keys[order] == got).all()
+        names, at = kn._distinct(keys)
+        assert (names == np.unique(keys)).all() and (names[at] == keys).all()
